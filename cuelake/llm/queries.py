@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import ORACLE_SQL as DECONTAM_SQL
 from .decontam import op10_decontamination
+from .packing import op9_packing
 from .pii import op1_pii
 from .quality import op2_quality
 from .quality_rules import op5_quality_rules
+from .simhash import op7_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
     "op5_quality_rules": op5_quality_rules,
+    "op7_simhash": op7_simhash,
+    "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
 
