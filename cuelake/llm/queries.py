@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import ORACLE_SQL as DECONTAM_SQL
 from .decontam import op10_decontamination
+from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
+from .line_dedup import op3_line_dedup
 from .packing import op9_packing
 from .pii import op1_pii
 from .quality import op2_quality
@@ -17,10 +19,14 @@ from .simhash import op7_simhash
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_decontamination": DECONTAM_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": LINE_DEDUP_SQL,
+    "op10_decontamination": DECONTAM_SQL,
+}
