@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op4_chat
 from .decontam import ORACLE_SQL as DECONTAM_SQL
 from .decontam import op10_decontamination
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
@@ -15,18 +16,23 @@ from .pii import op1_pii
 from .quality import op2_quality
 from .quality_rules import op5_quality_rules
 from .simhash import op7_simhash
+from .warc import ORACLE_SQL as WARC_SQL
+from .warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_chat": op4_chat,
     "op5_quality_rules": op5_quality_rules,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": LINE_DEDUP_SQL,
+    "op8_warc": WARC_SQL,
     "op10_decontamination": DECONTAM_SQL,
 }
