@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op4_chat
 from .decontam import ORACLE_SQL as DECONTAM_SQL
 from .decontam import op10_decontamination
+from .licences import op6_licences
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op3_line_dedup
 from .packing import op9_packing
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_chat": op4_chat,
     "op5_quality_rules": op5_quality_rules,
+    "op6_licences": op6_licences,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
