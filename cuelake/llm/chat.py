@@ -140,7 +140,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, tokenizer: str = TOK
             rows = []
             for at in range(0, batch.num_rows, 512):
                 part = [batch.column(c).slice(at, 512).to_pylist() for c in range(3)]
-                sizes = [len(x) // of.dtype.itemsize for x in of.many(part[2])]
+                sizes = [len(x) // of.dtype.itemsize for x in of.many(batch.column(2).slice(at, 512))]
                 for k, role, text, size in zip(*part, sizes, strict=True):
                     if state is None or k != conv:
                         for w in state.end() if state else ():

@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .text import SLICE, per_batch, table, texts
+from .text import per_batch, table, tidy
 
 WINDOW = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: A shard ends at so many documents or tokens, whichever is first; bounds memory and the cost of a retrieval.
-SHARD_DOCS, SHARD_TOKENS = 1024, 2_000_000
+SHARD_DOCS, SHARD_TOKENS = 1024, 1_000_000
+#: Documents that are tokenised at a time.
+TOKENISED = 1024
 #: Token ids below this are the vocabulary's first merges, too common to sign a document.
 COMMON_IDS = 2000
 #: Terms in more than this share of a shard's documents carry next to no weight and get no postings.
@@ -50,8 +52,9 @@ class Index:
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
         sizes = np.array([len(d) for d in docs], np.float64)
-        flat = np.concatenate(docs).astype(np.int64) if n else np.empty(0, np.int64)
-        keys, tf = np.unique(flat * n + np.repeat(np.arange(n), sizes.astype(np.int64)), return_counts=True)
+        flat = np.concatenate(docs) if n else np.empty(0, np.int64)
+        flat = flat.astype(np.int32 if flat.dtype.itemsize == 2 and n < 1 << 15 else np.int64)
+        keys, tf = np.unique(flat * n + np.repeat(np.arange(n, dtype=flat.dtype), sizes.astype(np.int64)), return_counts=True)
         terms, self.doc = keys // max(n, 1), keys % max(n, 1)
         self.terms, first, df = np.unique(terms, return_index=True, return_counts=True)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -160,12 +163,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         end = np.array([END], of.dtype).tobytes()
 
         def encode(batch: pa.Array) -> list:
-            found = [x for at in range(0, len(batch), SLICE) for x in of.many(list(texts(batch.slice(at, SLICE))))]
+            found = of.many(batch)
             return [[x + end for x in found], [of.dtype.itemsize] * len(found), [signature(np.frombuffer(x, of.dtype)) for x in found]]
 
         return encode
 
-    encoded = docs.select(F.col(key).cast("bigint").alias("key"), per_batch(prepare, "ids binary, width int, sign bigint")(F.col(text)).alias("t")).select("key", "t.*")
+    encoded = docs.select(F.col(key).cast("bigint").alias("key"), per_batch(prepare, "ids binary, width int, sign bigint", TOKENISED)(F.col(text)).alias("t")).select("key", "t.*")
     dealt = docs.sparkSession.sql("SELECT /*+ REBALANCE(sign) */ key, ids, width, sign FROM {encoded}", encoded=encoded).sortWithinPartitions("sign", "key", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +199,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
                 if out:
                     yield rows(out)
         yield rows(packer.flush(last=True))
+        del packer
+        tidy()
 
     return dealt.mapInArrow(run, f"key bigint, {_PIECES}" + ", ids array<bigint>" * ids).withColumnRenamed("key", key)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,6 +35,13 @@ def texts(batch: pa.Array) -> Iterator[str]:
             yield x or ""
 
 
+def tidy() -> None:
+    """Gives back what a worker has freed: Arrow's pool and the C heap keep it otherwise, beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_text(prepare: Callable[[], Callable[[str], tuple]], ddl: str) -> Callable[[Column], Column]:
     """A struct column from a function of one text. ``prepare`` runs once a task and returns that function."""
     schema = arrow_schema(ddl)
@@ -46,20 +55,26 @@ def per_text(prepare: Callable[[], Callable[[str], tuple]], ddl: str) -> Callabl
                 for column, value in zip(columns, one(x), strict=True):
                     column.append(value)
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], fields=list(schema))
+            del columns
+        tidy()
 
     return apply
 
 
-def per_batch(prepare: Callable[[], Callable[[pa.Array], list]], ddl: str) -> Callable[[Column], Column]:
-    """A struct column from a function of a whole Arrow batch of texts, which returns one list or array a field."""
+def per_batch(prepare: Callable[[], Callable[[pa.Array], list]], ddl: str, rows: int = 1 << 30) -> Callable[[Column], Column]:
+    """A struct column from a function of an Arrow batch of texts, or of so many rows of it at a time, which returns one list or array a field."""
     schema = arrow_schema(ddl)
 
     @F.arrow_udf(T.StructType.fromDDL(ddl))
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = prepare()
         for batch in batches:
-            columns = of(batch)
-            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], fields=list(schema))
+            for at in range(0, len(batch), rows):
+                columns = of(batch.slice(at, rows))
+                yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], fields=list(schema))
+                del columns
+        del of
+        tidy()
 
     return apply
 
