@@ -46,7 +46,7 @@ def snap(spark, sf_dir):
     return selection.snapped(both, "onset", "offset").select("o_orderkey", "new_start", "new_end")
 
 
-@query("g02_self_contained", """SELECT video_id, sentence_idx, round(greatest(0.0, least(1.0, 1 - 0.08 * len([w for w in list_slice(regexp_extract_all(lower(text), '[a-z'']+'), 1, 10) if list_contains(['he','she','it','they','him','her','them','his','hers','its','their','theirs','himself','herself','itself','themselves','this','that','these','those'], split_part(w, '''', 1))]) - 0.35 * (sentence_idx % 2))), 6) AS score FROM sent""", SENTENCES_SQL)
+@query("g02_self_contained", """SELECT video_id, sentence_idx, round(greatest(0.0, least(1.0, 1 - 0.08::DOUBLE * len([w for w in list_slice(regexp_extract_all(lower(text), '[a-z'']+'), 1, 10) if list_contains(['he','she','it','they','him','her','them','his','hers','its','their','theirs','himself','herself','itself','themselves','this','that','these','those'], split_part(w, '''', 1))]) - 0.35::DOUBLE * (sentence_idx % 2))), 6) AS score FROM sent""", SENTENCES_SQL)
 def self_contained(spark, sf_dir):
     """Self-containedness of opening lines."""
     s = sentences(spark, sf_dir)

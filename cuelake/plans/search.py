@@ -30,11 +30,11 @@ def bm25(spark, sf_dir):
     return _bm25(spark, sf_dir).withColumn("score", F.round("score", 5))
 
 
-@query("f01_search", """SELECT item_id, rank, video_id, sentence_idx, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 8) DESC, video_id, sentence_idx) AS rank FROM scored) WHERE rank <= 30""", SENTENCES_SQL, BM25_SQL)
+@query("f01_search", """SELECT item_id, rank, video_id, sentence_idx, round(score, 4) AS score FROM (SELECT item_id, video_id, sentence_idx, round(score, 8) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 8) DESC, video_id, sentence_idx) AS rank FROM scored) WHERE rank <= 30""", SENTENCES_SQL, BM25_SQL)
 def search(spark, sf_dir):
     """Each query's pool of 30 sentences."""
     scored = _bm25(spark, sf_dir).withColumn("score", F.round("score", 8))
-    return retrieval.top(scored, "item_id", ["video_id", "sentence_idx"]).select("item_id", "rank", "video_id", "sentence_idx", F.round("score", 5).alias("score"))
+    return retrieval.top(scored, "item_id", ["video_id", "sentence_idx"]).select("item_id", "rank", "video_id", "sentence_idx", F.round("score", 4).alias("score"))
 
 
 @query("r02_dense", """SELECT q, vec_id, rank FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0) WHERE rank <= 10""")

@@ -135,7 +135,7 @@ def content_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", texts.content_id(F.col("html")).alias("id"), texts.host(F.col("url")).alias("host"))
 
 
-@query("f28_colours", """SELECT p_partkey, '#' || printf('%02x', r) || printf('%02x', g) || printf('%02x', b) AS hex, round(CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE ELSE 0 END, 6) AS saturation, round(0.299 * r + 0.587 * g + 0.114 * b, 6) AS luminance
+@query("f28_colours", """SELECT p_partkey, '#' || printf('%02x', r) || printf('%02x', g) || printf('%02x', b) AS hex, round(CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE ELSE 0 END, 6) AS saturation, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 6) AS luminance
 FROM (SELECT p_partkey, p_partkey % 256 AS r, (p_partkey * 7) % 256 AS g, CAST(p_size AS BIGINT) * 5 % 256 AS b FROM part)""")
 def colours(spark, sf_dir):
     """Hex, saturation and luminance."""
