@@ -20,7 +20,7 @@ from .text import fresh, per_batch, table, texts
 
 #: Bytes of each dictionary, bytes of a block, and zstandard's level.
 DICT_BYTES = 110_000
-BLOCK = 4096
+BLOCK = 1024
 LEVEL = 3
 #: Steps of Newton's method and the ridge of the calibration.
 STEPS, RIDGE = 30, 1.0
