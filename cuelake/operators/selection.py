@@ -48,6 +48,35 @@ def topic_segments(sentences: DataFrame, group: str, order: str, vector: str) ->
     return sentences.select(group, order, vector).groupBy(group).applyInPandas(segment, f"{group} {kinds[group]}, {order} {kinds[order]}, segment bigint")
 
 
+def packed_windows(segments: DataFrame, group: str, order: str, size: int = 60, overlap: int = 10) -> DataFrame:
+    """(group, window, order): whole segments in turn in windows of ``size`` rows at most; a larger segment has windows of its own that overlap.
+
+    Segments are few: their sizes are folded in order, and rows then join their segment's windows.
+    """
+    sizes = segments.groupBy(group, "segment").agg(F.count("*").alias("n"))
+    kind = "array<struct<segment:bigint,n:bigint,window:bigint,filled:bigint>>"
+    step_ = size - overlap
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        own = F.when(x["n"] > size, F.ceil((x["n"] - size) / step_) + 1).otherwise(1)  # windows that this segment takes
+        joins = (F.size(done) > 0) & (x["n"] <= size) & (last["filled"] + x["n"] <= size)
+        at = F.when(F.size(done) == 0, 0).when(joins, last["window"]).otherwise(last["window"] + 1)
+        filled = F.when(joins, last["filled"] + x["n"]).when(x["n"] > size, size).otherwise(x["n"])
+        return F.concat(done, F.array(F.struct(x["segment"].alias("segment"), x["n"].alias("n"), (at + own - 1).cast("bigint").alias("window"), filled.cast("bigint").alias("filled"))))
+
+    folded = sizes.groupBy(group).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("segment", "n"))), F.array().cast(kind), step).alias("w"))
+    last = folded.select(group, F.explode("w").alias("w")).select(group, "w.segment", "w.n", F.col("w.window").alias("_last"))
+    place = F.row_number().over(W.partitionBy(group, "segment").orderBy(order)) - 1
+    rows = segments.withColumn("_p", place).join(last, [group, "segment"])
+    windows = F.when(F.col("n") > size, F.ceil((F.col("n") - size) / step_) + 1).otherwise(1)
+    low = F.greatest(F.lit(0), F.ceil((F.col("_p") - size + 1) / step_))
+    high = F.least(F.floor(F.col("_p") / step_), windows - 1)
+    numbers_ = F.when(F.col("n") > size, F.sequence(low.cast("bigint"), high.cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    moved = F.transform(numbers_, lambda k: (k + F.col("_last") - windows + 1).cast("bigint"))
+    return rows.select(group, F.explode(moved).alias("window"), order)
+
+
 def heuristic_beats(sentences: DataFrame) -> DataFrame:
     """(video_id, beat_type, first, last, needs): the opening line as a hook, questions with the sentence after as payoffs, sentences with a discourse marker as turning points that need the one before. Of beats of one kind that overlap, the first stays."""
     w = W.partitionBy("video_id").orderBy("sentence_idx")
