@@ -87,7 +87,8 @@ def _doubled(ranks: DataFrame, step: int) -> DataFrame:
 def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(d, h, i, n): stretches of n lines with a word, from the i-th, that occur earlier."""
     all_lines = cut(_sequences(docs, key, text))
-    repeated = all_lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    # written first, so that the join reads two plain shuffles and a very common line's rows can be split over tasks
+    repeated = cut(all_lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
     suffixes, stretches = _stretches(all_lines.join(repeated, "id").select(*_DOC, "i", "id", "words"), min_words)
     stretches = cut(stretches.withColumn("k", F.floor(F.log2("n")).cast("int")))
     deepest = stretches.agg(F.max("k")).first()[0]
@@ -104,7 +105,7 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     if out is None:
         return stretches.select(*_DOC, "i", "n")
     intervals = cut(out)
-    first = intervals.groupBy("n", "a", "b").agg(F.min(F.struct(*_DOC, "i")).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    first = cut(intervals.groupBy("n", "a", "b").agg(F.min(F.struct(*_DOC, "i")).alias("first"), F.count("*").alias("c")).filter("c > 1"))
     return intervals.join(first, ["n", "a", "b"]).filter(F.struct(*_DOC, "i") != F.col("first")).select(*_DOC, "i", "n")
 
 
