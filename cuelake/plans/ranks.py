@@ -30,7 +30,9 @@ def diversify(spark, sf_dir):
     return ranking.diversify(e, "label", "vec_id", 10)
 
 
-@query("t05_suppression")
+@query("t05_suppression", """, steps AS (SELECT video_id, k, [item] AS kept FROM ordered WHERE k = 1
+  UNION ALL SELECT p.video_id, p.k + 1, CASE WHEN len([x for x in p.kept if least(x.e - x.s, o.item.e - o.item.s) > 0 and (least(x.e, o.item.e) - greatest(x.s, o.item.s)) / least(x.e - x.s, o.item.e - o.item.s) >= 0.5]) > 0 THEN p.kept ELSE list_append(p.kept, o.item) END FROM steps p JOIN ordered o ON o.video_id = p.video_id AND o.k = p.k + 1)
+SELECT video_id, item.i AS sentence_idx, item.score AS score, item.s AS start_sec, item.e AS end_sec FROM (SELECT video_id, unnest(kept) AS item FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY k DESC) = 1))""", SENTENCES_SQL, "ordered AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY n_words DESC, sentence_idx) AS k, struct_pack(i := sentence_idx, s := (start_sec - 5)::DOUBLE, e := (end_sec + 5)::DOUBLE, score := n_words / 100) AS item FROM sent)")
 def suppression(spark, sf_dir):
     """Sentences suppressed where they overlap better ones."""
     s = sentences(spark, sf_dir).select("video_id", "sentence_idx", (F.col("start_sec") - 5).alias("start_sec"), (F.col("end_sec") + 5).alias("end_sec"), (F.col("n_words") / 100).alias("score"))

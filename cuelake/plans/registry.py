@@ -17,7 +17,8 @@ def query(name: str, sql: str | None = None, *ctes: str) -> Callable[[Query], Qu
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + sql
+            recursive = "RECURSIVE " * sql.startswith(",")  # goes on with a table that refers to itself
+            ORACLE_SQL[name] = (f"WITH {recursive}" + ",\n".join(ctes) + "\n" if ctes else "") + sql
         return f
 
     return add

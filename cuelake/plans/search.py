@@ -95,14 +95,28 @@ def suggested(spark, sf_dir):
     return c.select(F.concat(F.lit("Where did I talk about "), F.col("concept"), F.lit("?")).alias("query"))
 
 
-@query("f15_hook_cues")
+@query("f15_hook_cues", r"""SELECT video_id, sentence_idx, round(least(1.0, 0.30 * question + 0.30 * curiosity_gap + 0.20 * second_person + 0.15 * superlative + 0.10 * negation + 0.10 * numeral), 4) AS lexical, question, curiosity_gap, second_person, superlative, negation, numeral FROM (
+  SELECT video_id, sentence_idx, CAST(lower(trim(text)) LIKE '%?' OR coalesce(t[1] IN ('what', 'why', 'how', 'when', 'where', 'who', 'which', 'did', 'have', 'is', 'are', 'can', 'should', 'will'), false) AS DOUBLE) AS question,
+    CAST(regexp_matches(w, '\b(secret|mistake|truth|turns out|the thing is|little did|crazy part|actually|realized|surprising|here''?s (the|what|why))\b') AS DOUBLE) AS curiosity_gap,
+    CAST(regexp_matches(w, '\b(you|your|yourself|you''re|you''ve|you''ll)\b') AS DOUBLE) AS second_person,
+    CAST(regexp_matches(w, '\b(best|worst|biggest|only|never|nobody|no one|everyone|always|most|first|hardest|easiest|fastest)\b') AS DOUBLE) AS superlative,
+    CAST(regexp_matches(w, '\b(not|never|don''?t|doesn''?t|didn''?t|can''?t|won''?t|stop|avoid|wrong)\b') AS DOUBLE) AS negation, CAST(regexp_matches(w, '[0-9]') AS DOUBLE) AS numeral
+  FROM (SELECT video_id, sentence_idx, text, t, array_to_string(t, ' ') AS w FROM (SELECT *, list_slice(regexp_extract_all(lower(text), '[a-z0-9'']+'), 1, 15) AS t FROM sent)))""", SENTENCES_SQL)
 def hooks(spark, sf_dir):
     """The lexical hook score and cues of each sentence."""
     s = sentences(spark, sf_dir)
     return s.select("video_id", "sentence_idx", F.round(texts.hook_lexical(F.col("text")), 4).alias("lexical"), *[c.alias(k) for k, c in texts.hook_cues(F.col("text")).items()])
 
 
-@query("f17_points_back")
+_LEADS_SQL = "leads AS (SELECT ['so', 'and', 'but', 'then', 'now', 'well', 'okay', 'ok', 'yeah', 'right', 'actually', 'basically', 'obviously', 'anyway', 'however', 'because', 'since', 'plus', 'also', 'though', 'although'] AS c)"
+
+
+@query("f17_points_back", r"""SELECT video_id, sentence_idx, CASE WHEN low = '' THEN false WHEN regexp_matches(low, '^(as i said|as i mentioned|like i said|like i mentioned|as we discussed|going back to|back to that|that''s why|thats why|which is why|that''s when|thats when|so anyway|anyway|as a result|because of that|after that|the same thing|same thing|that said)') THEN true
+  WHEN f = 'it' THEN NOT regexp_matches(array_to_string(rest, ' '), '^it\s*''?s?\s+(been|going|about|time|cold|hot|hard|easy|important|possible|impossible|worth|clear|obvious|likely|unlikely|true|false|funny|weird|crazy|nice|good|bad|great|late|early|okay|fine)\b|^it\s+(is|was|has|had|will|would|takes|took|seems|seemed|turns|turned|looks|looked|appears|appeared|feels|felt|happens|happened|occurred|matters|mattered)\b|^it\s*''?s?\s*(rain|snow|pour|drizzle|hail|thunder)(s|ed|ing)?\b|^it\s*''?s\b\s+(a|an|the|not|no|just|only|all|so|too|very|really)\b')
+  WHEN f IN ('he', 'she', 'they', 'him', 'her', 'them', 'his', 'hers', 'its', 'their', 'theirs', 'himself', 'herself', 'itself', 'themselves') THEN true
+  WHEN f IN ('this', 'that', 'these', 'those') THEN coalesce(split_part(rest[2], '''', 1), '') NOT IN ('week', 'weekend', 'month', 'year', 'morning', 'afternoon', 'evening', 'night', 'day', 'time', 'summer', 'winter', 'spring', 'fall', 'season', 'video', 'channel', 'episode', 'lesson', 'podcast', 'series', 'clip', 'course', 'session', 'one') ELSE false END AS points_back
+FROM (SELECT *, split_part(rest[1], '''', 1) AS f FROM (SELECT *, list_slice(w, 1 + CASE WHEN NOT coalesce(list_contains(c, w[1]), false) THEN 0 WHEN NOT coalesce(list_contains(c, w[2]), false) THEN 1 WHEN NOT coalesce(list_contains(c, w[3]), false) THEN 2 ELSE 3 END, len(w)) AS rest
+  FROM (SELECT video_id, sentence_idx, lower(trim(text)) AS low, regexp_extract_all(lower(trim(text)), '[a-zA-Z'']+') AS w FROM sent), leads))""", SENTENCES_SQL, _LEADS_SQL)
 def anaphors(spark, sf_dir):
     """Whether each sentence points back."""
     return sentences(spark, sf_dir).select("video_id", "sentence_idx", texts.points_back(F.col("text")).alias("points_back"))

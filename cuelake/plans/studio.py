@@ -49,7 +49,9 @@ def pitch(spark, sf_dir):
     return prosody.frames(table(spark, sf_dir, "supplier").filter("s_suppkey <= 8").select(F.col("s_suppkey").alias("video_id"), tone.alias("pcm")))
 
 
-@query("g03_rate_delta")
+@query("g03_rate_delta", """SELECT video_id AS clip_id, round(greatest(0.0, least(1.0, abs(w2 - w1) / greatest(w1, w2, 1.0))), 6) AS rate_delta FROM (
+  SELECT video_id, (n // 2) / (greatest(mid - first, 0.01) / 60) AS w1, (n - n // 2) / (greatest(last - mid, 0.01) / 60) AS w2 FROM (
+    SELECT video_id, n, min(start) AS first, min(start) FILTER (p = n // 2) AS mid, max("end") FILTER (p = n - 1) AS last FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, "end") - 1 AS p, count(*) OVER (PARTITION BY video_id) AS n FROM wrd WHERE start <= 864000) WHERE n >= 4 GROUP BY 1, 2))""", WORDS_SQL)
 def rate(spark, sf_dir):
     """How the rate of words changes within each user's first ten days."""
     w = words(spark, sf_dir)
@@ -119,7 +121,10 @@ def error_kinds(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", studio.error_kind(m).alias("kind"))
 
 
-@query("t12_moments")
+@query("t12_moments", """SELECT m.first, m.video_id, m.last, m.type, m.score, (SELECT min(b.sentence_idx) FROM sent b WHERE b.video_id = m.video_id AND b.start_sec BETWEEN a.start_sec - 15 AND a.start_sec) AS lead_in FROM (
+  SELECT * FROM (SELECT good.*, t.n, t.c, t.k, row_number() OVER (PARTITION BY good.video_id, type ORDER BY score DESC, first) AS p FROM good JOIN (SELECT video_id, sum(c) AS n, max(c) AS c, arg_max(type, struct_pack(c := c, t := type)) AS k FROM (SELECT video_id, type, count(*) AS c FROM good GROUP BY 1, 2) GROUP BY 1) t ON t.video_id = good.video_id)
+  WHERE NOT (type = k AND c > n * 0.6 AND p > greatest(1, floor(n * 0.6))) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, first) <= 15) m JOIN sent a ON a.video_id = m.video_id AND a.sentence_idx = m.first""", SENTENCES_SQL,
+  "good AS (SELECT video_id, sentence_idx AS first, sentence_idx + 1 AS last, CASE WHEN n_words % 4 = 0 THEN 'story' ELSE 'insight' END AS type, n_words % 10 AS score FROM sent s WHERE EXISTS (SELECT 1 FROM sent b WHERE b.video_id = s.video_id AND b.sentence_idx = s.sentence_idx + 1))")
 def moments(spark, sf_dir):
     """Moments on known sentences, once a range, no type over its share, with their lead-in."""
     s = sentences(spark, sf_dir)

@@ -36,7 +36,10 @@ def island_merge(spark, sf_dir):
     return runs.filter("end_sec - start_sec <= 90")
 
 
-@query("w05_capped_islands")
+@query("w05_capped_islands", """, steps AS (SELECT *, 1 AS g FROM ordered WHERE k = 1
+  UNION ALL SELECT o.video_id, o.k, CASE WHEN fits THEN least(p.first, o.first) ELSE o.first END, CASE WHEN fits THEN greatest(p.last, o.last) ELSE o.last END, CASE WHEN fits THEN least(p.s, o.s) ELSE o.s END, CASE WHEN fits THEN greatest(p.e, o.e) ELSE o.e END, CASE WHEN fits THEN greatest(p.score, o.score) ELSE o.score END, p.g + CASE WHEN fits THEN 0 ELSE 1 END
+  FROM (SELECT a.*, b.first <= a.last + 1 AND greatest(a.e, b.e) - least(a.s, b.s) <= 90 AS fits FROM steps a JOIN ordered b ON b.video_id = a.video_id AND b.k = a.k + 1) p JOIN ordered o ON o.video_id = p.video_id AND o.k = p.k + 1)
+SELECT video_id, first, last, s AS start_sec, e AS end_sec, score FROM steps QUALIFY row_number() OVER (PARTITION BY video_id, g ORDER BY k DESC) = 1""", SENTENCES_SQL, "ordered AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY greatest(0, sentence_idx - 1), sentence_idx) AS k, greatest(0, sentence_idx - 1) AS first, sentence_idx + 1 AS last, start_sec AS s, end_sec AS e, n_words / 100 AS score FROM sent)")
 def capped_islands(spark, sf_dir):
     """Ranges merged in order while the whole spans 90 seconds at most."""
     s = sentences(spark, sf_dir).select("video_id", F.greatest(F.lit(0), F.col("sentence_idx") - 1).alias("first"), (F.col("sentence_idx") + 1).alias("last"), "start_sec", "end_sec", (F.col("n_words") / 100).alias("score"))
