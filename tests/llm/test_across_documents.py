@@ -149,7 +149,9 @@ def test_near_duplicates_of_odd_documents(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_components_of_a_long_chain_and_a_star(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW", few)
     pairs = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 180)] + [(5, 5), (1, 0)]
     table = spark.createDataFrame(pairs, "u bigint, v bigint")
     roots = {r.u: r.root for r in components.components(table).collect()}
