@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("rep")))
     roots = cut(components(links(nodes.select("fp"))).withColumnRenamed("u", "fp"))
     linked = nodes.join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # written first: the join then reads two plain shuffles, and a large component's rows can be split over tasks
+    least = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id")))
     named = roots.join(least, "root").select("fp", "component_id")
     alone = nodes.join(roots, "fp", "left_anti").select("fp", F.col("rep").alias("component_id"))
     return prints.join(named.unionByName(alone), "fp").select(key, "fp", "component_id")
