@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import cut
 from .text import table
 
-FANOUT = 16
+FANOUT = 64
 #: Ids whose records share a file.
 FILE_IDS = 4096
 CRLF = "\r\n"
@@ -79,26 +79,27 @@ def leaves(found: DataFrame) -> DataFrame:
     return placed.withColumn("start", F.coalesce(F.sum("length").over(w), F.lit(0)))
 
 
-def _above(level: DataFrame) -> DataFrame:
+def _up() -> Column:
+    return F.floor(F.col("node") / FANOUT).cast("bigint")
+
+
+def _above(level: DataFrame, up: Column) -> DataFrame:
     """The next level's nodes (node, hash, length)."""
     child = F.struct("node", "hash", "length")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda x: F.concat_ws(":", x["node"], x["hash"], x["length"])), ",")
-    return level.groupBy(F.floor(F.col("node") / FANOUT).cast("bigint").alias("node")).agg(F.sha2(joined, 256).alias("hash"), F.sum("length").alias("length"))
+    return level.groupBy(up.alias("node")).agg(F.sha2(joined, 256).alias("hash"), F.sum("length").alias("length"))
 
 
 def trees(replicas: list[DataFrame]) -> list[list[DataFrame]]:
     """Each replica's levels (node, hash, length, and offsets at the leaves), from leaves to root; all as high as the ids of all need."""
     levels = [[cut(leaves(r))] for r in replicas]
-    for _ in range(2 + 64 // 4):
-        ends = [x[-1].agg(F.min("node"), F.max("node")).first() for x in levels]
-        known = [v for e in ends for v in e if v is not None]
-        if not known or min(known) == max(known):
-            return levels
-        if min(known) == -1 and max(known) == 0:  # the negative half's root and the other's never meet by division
-            both = [x[-1].groupBy(F.lit(0).cast("bigint").alias("node")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "node", "hash", "length"))), ","), 256).alias("hash"), F.sum("length").alias("length")) for x in levels]
-            return [[*x, b] for x, b in zip(levels, both, strict=True)]
-        levels = [[*x, cut(_above(x[-1]))] for x in levels]
-    raise RuntimeError("the trees have no root")
+    ends = [v for x in levels for v in x[0].agg(F.min("node"), F.max("node")).first() if v is not None]
+    low, high = (min(ends), max(ends)) if ends else (0, 0)
+    while low != high:
+        halves = (low, high) == (-1, 0)  # division never brings the negative half's node and the other's together
+        levels = [[*x, cut(_above(x[-1], F.lit(0).cast("bigint") if halves else _up()))] for x in levels]
+        low, high = (0, 0) if halves else (low // FANOUT, high // FANOUT)
+    return levels
 
 
 def _status(a: Column, b: Column) -> Column:
@@ -116,8 +117,8 @@ def audit(reference: DataFrame, replica: DataFrame) -> DataFrame:
     for depth in range(len(a) - 1, -1, -1):
         left, right = a[depth], b[depth]
         if suspects is not None:
-            above = F.floor(F.col("node") / FANOUT).cast("bigint") if depth < len(a) - 2 or not _halves(a, depth) else F.lit(0).cast("bigint")
-            left, right = (x.withColumn("up", above).join(suspects, "up", "left_semi").drop("up") for x in (left, right))
+            root = depth == len(a) - 2  # its children are all the root's, whatever their numbers
+            left, right = (x if root else x.withColumn("up", _up()).join(suspects, "up", "left_semi").drop("up") for x in (left, right))
         both = left.alias("l").join(right.alias("r"), F.col("l.node") == F.col("r.node"), "full").filter(~F.col("l.hash").eqNullSafe(F.col("r.hash")))
         if depth:
             suspects = cut(both.select(F.coalesce("l.node", "r.node").alias("up")))
@@ -128,11 +129,6 @@ def audit(reference: DataFrame, replica: DataFrame) -> DataFrame:
     return both.select(F.coalesce("l.node", "r.node").alias("page_id"), _status(F.col("l.hash"), F.col("r.hash")).alias("status"), F.coalesce("l.file", "r.file").alias("file"), F.col("l.start").alias("start"), F.col("l.length").alias("length"), F.col("r.start").alias("replica_start"), F.col("r.length").alias("replica_length"))
 
 
-def _halves(levels: list[DataFrame], depth: int) -> bool:
-    """Whether the root joins a negative and a non-negative half."""
-    return depth == len(levels) - 2 and levels[depth].filter("node < 0").isEmpty() is False
-
-
 def damaged(pages: DataFrame) -> DataFrame:
     """A replica with known faults: of ids modulo 97, those with 5 have an altered page, with 11 are lost, with 23 are cut short."""
     fault = F.pmod(F.col("page_id"), F.lit(97))
