@@ -36,7 +36,11 @@ def _gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.nda
     own = sizes[at]
     ends = np.cumsum(own)
     starts = np.cumsum(sizes) - sizes
-    return flat[np.repeat(starts[at] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)], own
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    places = np.repeat((starts[at] - ends + own).astype(kind), own)
+    places += np.arange(total, dtype=kind)
+    return flat[places], own
 
 
 def _tails(words: pa.Array, runs: pa.Array) -> pa.Array:
@@ -111,8 +115,10 @@ class WordTokenizer:
         return found
 
     def _part(self, texts: pa.Array) -> list[bytes]:
-        data = texts.buffers()[2]
-        plain = data is None or not any(x in memoryview(data).tobytes() for x in (b"<|", b"\xcc", b"\xcd"))
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        whole = texts.buffers()[2].slice(int(bounds[0]), int(bounds[-1] - bounds[0])).to_pybytes() if bounds[-1] > bounds[0] else b""
+        plain = not (b"<|" in whole or b"\xcc" in whole or b"\xcd" in whole)
+        del whole
         # A-Z in lower case, unless that could make a special token or change how a mark composes
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if plain else texts)
         coded = split.flatten().dictionary_encode()
@@ -145,7 +151,7 @@ class WordTokenizer:
         out, at = [], 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER_CHARS, "right")))
-            out += self._part(pa.concat_arrays([texts.slice(at, end - at)]))
+            out += self._part(texts.slice(at, end - at))
             at = end
         return out
 
