@@ -22,6 +22,8 @@ from .text import fresh, per_batch, table, texts
 DICT_BYTES = 110_000
 BLOCK = 1024
 LEVEL = 3
+#: Fewer samples than this train no dictionary.
+LEAST_SAMPLES = 16
 #: Steps of Newton's method and the ridge of the calibration.
 STEPS, RIDGE = 30, 1.0
 N_FEATURES = 5
@@ -36,25 +38,25 @@ class Model(NamedTuple):
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """Content for zstandard to start from: pieces of the samples in turn, as many bytes of each, so that no long text fills it."""
-    if not samples:
-        return b""
-    share = max(64, DICT_BYTES // len(samples))
-    out, total = [], 0
-    for x in samples:
-        piece = x[max(0, (len(x) - share) // 2) :][:share]
-        if total + len(piece) > DICT_BYTES:
-            break
-        out.append(piece)
-        total += len(piece)
-    return b"\n".join(out)
+    """A trained zstandard dictionary; of samples too few or short to train one, pieces of each as plain content; empty of none."""
+    samples = [x for x in samples if x]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) >= LEAST_SAMPLES else _content(samples)
+    except zstandard.ZstdError:
+        return _content(samples)
+
+
+def _content(samples: list[bytes]) -> bytes:
+    """As many bytes from the middle of each sample, so that no long text fills it."""
+    share = max(64, DICT_BYTES // max(1, len(samples)))
+    return b"\n".join(x[max(0, (len(x) - share) // 2) :][:share] for x in samples[: DICT_BYTES // 64])[:DICT_BYTES]
 
 
 class Sizes:
     """Features of texts from compressed sizes under a model's dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
-        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None, write_content_size=False, write_checksum=False, write_dict_id=False)
+        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.good, self.bad, self.none = make(good).compress, make(bad).compress, make(b"").compress
 
     def __call__(self, text: str) -> tuple:
