@@ -7,11 +7,14 @@ its distance) that returns a spanning forest of their links, never all pairs. Th
 shuffle brings their members instead of being broadcast: all trees together are as large as the corpus has fingerprints,
 which has no bound. A shard of more than MOST_IN_TREE members is linked exactly without comparing pairs: two
 fingerprints within two bits have a value within one bit of both, and at most 65 fingerprints are within one bit of a value.
+
+``alike`` finds near-duplicates by the similarity of their shingle sets instead. Sets 0.8 alike lie about ten bits apart,
+some of them twenty, where neither trees nor blocks prune; so MinHash bands propose the pairs and the sets confirm them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,22 +33,33 @@ RADIUS = 2
 #: Bit blocks by the count of distinct fingerprints: more blocks mean longer keys, and so smaller shards.
 BLOCKS = ((1 << 24, 3), (1 << 34, 4), (1 << 64, 5))
 MOST_IN_TREE = 256
+#: Texts are alike if LEAST_SAME / LEAST_OF of the shingles of either are shingles of both.
+ALIKE_SHINGLE, LEAST_SAME, LEAST_OF = 5, 4, 5
+#: Of pairs just as much alike, all bands miss one in 20 million: (1 - 0.8 ** ROWS) ** BANDS.
+BANDS, ROWS = 32, 4
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each word shingle of a text in its order, all words being one shingle if they are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     set_ = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
@@ -188,15 +202,93 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(named.unionByName(alone), "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A signed number a band from the smallest products of the hashes with ROWS factors; none without hashes."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, _MASK, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        np.minimum(least, (_FACTORS[0][:, None] * hashes[at : at + (1 << 12)]).min(axis=1), out=least)
+    mixed = (least ^ (least >> np.uint64(29))) * _FACTORS[1]
+    return (mixed ^ (mixed >> np.uint64(32))).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _set(text: str | None) -> tuple[int, np.ndarray]:
+    """The digest of a text's set of shingles, signed, and the sorted set."""
+    hashes = np.unique(shingle_hashes(text, ALIKE_SHINGLE))
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), hashes
+
+
+#: That two sets a and b are enough alike, without a division; sizes rule out most that are not.
+_ALIKE = f"{LEAST_OF} * size(a) >= {LEAST_SAME} * size(b) AND {LEAST_OF} * size(b) >= {LEAST_SAME} * size(a) AND size(array_intersect(a, b)) * {LEAST_SAME + LEAST_OF} >= {LEAST_SAME} * (size(a) + size(b))"
+
+
+def alike(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row with a key: key, component_id: the smallest key that it reaches over pairs of texts that are alike.
+
+    Equal sets are one node. A band's members are first compared with the one that meets most others in all bands, the
+    least changed of a group of copies, which settles the group without its pairs; then all pairs of a band's members
+    that are not yet connected are.
+    """
+
+    def sketches():
+        def one(x: str) -> tuple:
+            d, hashes = _set(x)
+            return d, bands(hashes)
+
+        return one
+
+    def whole():
+        def one(x: str) -> tuple:
+            d, hashes = _set(x)
+            return d, hashes.view(np.int64)
+
+        return one
+
+    named = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = cut(named.select("key", per_text(sketches, "d bigint, bands array<bigint>")(F.col("text")).alias("s")).select("key", "s.*"))
+    nodes = cut(rows.groupBy("d").agg(F.min("key").alias("rep")))
+    banded = rows.select("d", F.explode("bands").alias("band")).distinct()
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut(banded.join(shared, "band").select("band", "d", "n"))
+    members = members.join(cut(members.groupBy("d").agg(F.sum("n").alias("w"))), "d")
+    hubs = cut(members.groupBy("band").agg(F.max(F.struct("w", "d"))["d"].alias("v")))
+    members = cut(members.join(hubs, "band").select("band", "d", "v"))
+    reps = nodes.join(members.select("d").distinct(), "d")
+    texts = named.join(reps.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
+    found = texts.select(per_text(whole, "d bigint, hashes array<bigint>")(F.col("text")).alias("s")).select("s.*")
+    sets = cut(found.join(reps.select("d"), "d", "left_semi").dropDuplicates(["d"]))
+    stars = cut(members.filter("d <> v").select(F.greatest("d", "v").alias("u"), F.least("d", "v").alias("v")).distinct())
+    left, right = (sets.select(F.col("d").alias(x), F.col("hashes").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    near = cut(stars.join(left, "u").join(right, "v").filter(_ALIKE).select("u", "v"))
+    roots = cut(components(near).withColumnRenamed("u", "d"))
+    parts = cut(members.join(roots, "d", "left").select("band", "d", F.coalesce("root", "d").alias("part")))
+    apart = parts.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).filter("a <> b AND n > 2").select("band")
+    parts = cut(parts.join(apart, "band"))
+    # the sets are compared within the join, which gives the links alone and never writes a group's pairs
+    one = parts.select("band", F.col("d").alias("u"), F.col("part").alias("p")).join(left, "u")
+    other = parts.select(F.col("band").alias("band_"), F.col("d").alias("v"), F.col("part").alias("q")).join(right, "v")
+    rest = one.join(other, F.expr(f"band = band_ AND u > v AND p <> q AND {_ALIKE}")).select("u", "v").distinct()
+    roots = cut(components(near.unionByName(rest)).withColumnRenamed("u", "d"))
+    linked = nodes.join(roots, "d")
+    least = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id")))
+    of = roots.join(least, "root").select("d", "component_id")
+    alone = nodes.join(roots, "d", "left_anti").select("d", F.col("rep").alias("component_id"))
+    return rows.select("key", "d").join(of.unionByName(alone), "d").select(F.col("key").alias(key), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", by: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """One row of each component, that with the smallest key, with all its columns; of rows with equal keys one. Rows with a null key can't be named and all stay."""
-    found = cut(near_duplicates(docs, key, text))
+    found = cut(by(docs, key, text))
     kept = fresh(docs, "_kept")
     stay = found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias(kept)).agg(F.count("*").alias("_n"))
     repeated = not stay.filter("_n > 1").isEmpty()
     out = docs.join(stay.select(kept), F.col(key) == F.col(kept), "left_semi")
     out = out.dropDuplicates([key]) if repeated else out
-    return out if found.filter(F.col(key).isNull()).isEmpty() else out.unionByName(docs.filter(F.col(key).isNull()))
+    return out if docs.filter(F.col(key).isNull()).isEmpty() else out.unionByName(docs.filter(F.col(key).isNull()))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

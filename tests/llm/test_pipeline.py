@@ -83,3 +83,29 @@ def test_stages_take_odd_and_empty_tables(spark, corpus, rows):
         if name == "SimHash near-dedup" and rows:
             assert sorted(r.doc_id for r in out.collect() if r.doc_id) == [1, 4, 6, 7, 8]
     assert (corpus_pipeline.STAGES[-1][1](spark, table, corpus[0]).count() > 0) == bool(rows)
+
+
+def test_near_deduplication_takes_all_that_are_alike(spark):
+    """Against all pairs of shingle sets; most of these copies are more than two bits apart."""
+    rng = random.Random(21)
+    rows = []
+    for group in range(40):
+        words = prose(rng, rng.randint(4, 250)).split()
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(4):
+            copy = words[:]
+            for at in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 40))):
+                copy[at] = "changed"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, t in rows if (w := t.split())]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if 9 * same >= 4 * (len(sets[i]) + len(sets[j])) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    prints = plain_roots([plain_fingerprint(t) for _, t in rows])
+    out = corpus_pipeline.simhash_near_deduplication(spark, docs(spark, rows), "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(root))
+    assert len(set(root)) < len(set(prints))
