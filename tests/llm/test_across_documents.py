@@ -215,6 +215,20 @@ def test_index_scores_are_plain_bm25():
         assert np.allclose(index.scores(doc), want)
 
 
+def test_scores_keep_the_terms_of_most_documents():
+    """BM25 over all terms, by other documents; half of the terms are in most documents."""
+    rng = np.random.default_rng(2)
+    pieces = [np.concatenate([rng.integers(0, 30, 40), rng.integers(100, 400, 10)]).astype("<u2") for _ in range(40)]
+    index = packing.Index(pieces)
+    n, mean = len(pieces), np.mean([len(p) for p in pieces])
+    df = {t: sum(t in p for p in pieces) for t in range(400)}
+    assert max(df.values()) > n / 2
+    for doc in range(n):
+        want = [sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (c := (p == t).sum()) * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.B + packing.B * len(p) / mean)) for t in set(pieces[doc].tolist())) for p in pieces]
+        others = np.arange(n) != doc
+        assert np.allclose(index.scores(doc)[others], np.array(want)[others])
+
+
 def test_neighbours_share_a_window():
     packer = packing.Packer(window=20, shard_docs=100)
     kinds = [np.arange(1000 * k, 1000 * k + 10, dtype="<u2") for k in range(1, 6)]
