@@ -19,7 +19,7 @@ before the shuffle and joins may be split.
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -109,29 +109,36 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     return intervals.join(first, ["n", "a", "b"]).filter(F.struct(*_DOC, "i") != F.col("first")).select(*_DOC, "i", "n")
 
 
-def cleaned(text: str | None, spans: list[tuple[int, int]] | None) -> tuple[str | None, int, int, int]:
-    """The text without the lines of the spans (place among lines with a word, number of them), its lines with a word, and the lines and words deleted."""
-    if not spans:
-        return text, sum(bool(x) and not x.isspace() for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")), 0, 0
-    found = lines(text or "")
-    gone = {k for i, n in spans for k in range(i, i + n)}
-    drop = {found[k][0] for k in gone}
-    kept = "\n".join(x for at, x in enumerate(text.split("\n")) if at not in drop)
-    return kept, len(found), len(drop), sum(found[k][2] for k in gone)
+#: A line's first word and what follows; a word. Words are what ASCII white space separates.
+_LINE_WITH_WORD, _WORD = "[^ \\t\\n\\r\\x0B\\x0C][^\\n]*", "[^ \\t\\n\\r\\x0B\\x0C]+"
 
 
-def _joined(docs: DataFrame, key: str, text: str, min_words: int) -> tuple[DataFrame, str]:
-    """All rows and columns with a struct column (text, n_lines, n_deleted_lines, n_deleted_words) besides, and its name."""
-    spans = later_copies(docs, key, text, min_words).groupBy(*_DOC).agg(F.collect_set(F.struct("i", "n")).alias("spans"))
-    d, h, s, name = (fresh(docs, x) for x in ("_d", "_h", "_spans", "_cleaned"))
-    keys = [c.alias(n) for c, n in zip(_document(key, text), (d, h), strict=True)]
+def _without(text: str, gone: str) -> Column:
+    """The text without those of its lines with a word whose numbers are in the array ``gone``, distinct ones.
+
+    Lines with a word and numbers with a mark are brought to one order and met place by place, which looks nothing up;
+    lines without a word stay where they were.
+    """
+    numbered = F.transform(F.split(text, "\n"), lambda x, at: F.struct(at.alias("at"), x.alias("line")))
+    worded, blank = F.filter(numbered, lambda x: x["line"].rlike(_WORD)), F.filter(numbered, lambda x: ~x["line"].rlike(_WORD))
+    every = F.sequence(F.lit(0), F.regexp_count(text, F.lit(_LINE_WITH_WORD)) - 1)
+    mark = lambda numbers, stays: F.transform(numbers, lambda i: F.struct(i.alias("i"), F.lit(stays).alias("stays")))
+    marks = F.array_sort(F.concat(mark(F.col(gone), False), mark(F.array_except(every, F.col(gone)), True)))
+    kept = F.filter(F.zip_with(worded, marks, lambda line, m: F.when(m["stays"], line)), lambda x: x.isNotNull())
+    return F.array_join(F.transform(F.array_sort(F.concat(blank, kept)), lambda x: x["line"]), "\n")
 
-    @F.udf("struct<text:string,n_lines:bigint,n_deleted_lines:bigint,n_deleted_words:bigint>", useArrow=True)
-    def clean(text, spans):
-        return cleaned(text, [(x["i"], x["n"]) for x in spans or ()])
 
-    wide = docs.select("*", *keys).join(spans.select(F.col("d").alias(d), F.col("h").alias(h), F.col("spans").alias(s)), [d, h], "left")
-    return wide.withColumn(name, clean(F.col(text), F.col(s))).drop(d, h, s), name
+def _joined(docs: DataFrame, key: str, text: str, min_words: int) -> tuple[DataFrame, str]:
+    """All rows and columns, and besides the numbers of the row's lines to delete (null if none), and that column's name.
+
+    The lines are cut out by column functions, in the tasks of the join: no text goes through a Python worker for it.
+    """
+    spans = later_copies(docs, key, text, min_words)
+    numbers = F.flatten(F.collect_set(F.sequence(F.col("i"), (F.col("i") + F.col("n") - 1).cast("int"))))
+    d, h, gone = (fresh(docs, x) for x in ("_d", "_h", "_gone"))
+    per_doc = cut(spans.groupBy(*_DOC).agg(F.array_distinct(numbers).alias(gone))).select(F.col("d").alias(d), F.col("h").alias(h), gone)
+    keys = [c.alias(n) for c, n in zip(_document(key, text), (d, h), strict=True)]
+    return docs.select("*", *keys).join(per_doc, [d, h], "left").drop(d, h), gone
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -141,18 +148,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     once and get the same result; with equal ids and other texts the order between them is by a hash of the text; null ids come
     first. Other columns of the input are left out.
     """
-    wide, name = _joined(docs.select(F.col(key), F.col(text)), key, text, min_words)
-    return wide.select(F.col(key), F.col(name)["text"].alias("text"), *[F.col(name)[c].alias(c) for c in ("n_lines", "n_deleted_lines", "n_deleted_words")])
+    wide, gone = _joined(docs.select(F.col(key), F.col(text)), key, text, min_words)
+    has, words = F.col(gone).isNotNull(), lambda c: F.regexp_count(c, F.lit(_WORD)).cast("bigint")
+    lines_ = F.coalesce(F.regexp_count(text, F.lit(_LINE_WITH_WORD)), F.lit(0)).cast("bigint")
+    sized = wide.select(F.col(key), F.col(text).alias("_was"), F.when(has, _without(text, gone)).otherwise(F.col(text)).alias("text"), lines_.alias("n_lines"), F.when(has, F.size(gone)).otherwise(0).cast("bigint").alias("n_deleted_lines"))
+    return sized.select(F.col(key), "text", "n_lines", "n_deleted_lines", F.when(F.col("n_deleted_lines") > 0, words("_was") - words("text")).otherwise(0).alias("n_deleted_words"))
 
 
 def dedup_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows with all their columns and the text without later copies; n_chars, if there is such a number, follows the text. Rows that lose their last line go."""
-    wide, name = _joined(docs, key, text, min_words)
-    left = wide.filter((F.col(f"{name}.n_deleted_lines") == 0) | (F.col(f"{name}.n_deleted_lines") < F.col(f"{name}.n_lines")))
-    new = {text: F.col(f"{name}.text")}
+    wide, gone = _joined(docs, key, text, min_words)
+    has = F.col(gone).isNotNull()
+    left = wide.filter(~has | (F.size(gone) < F.regexp_count(text, F.lit(_LINE_WITH_WORD))))
+    new = left.withColumn(text, F.when(has, _without(text, gone)).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col(f"{name}.n_deleted_lines") > 0, F.length(f"{name}.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumns(new).select(docs.columns)
+        new = new.withColumn("n_chars", F.when(has, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return new.select(docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
