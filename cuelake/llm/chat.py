@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .text import table
+from .text import table, tidy
 
 BUDGET = 1024
 #: Turns before a span that its window repeats, and their tokens, at most.
@@ -152,6 +152,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, tokenizer: str = TOK
                         count += 1
             yield batch_of(rows)
         yield batch_of([(conv, count + k, w.text, w.loss) for k, w in enumerate(state.end())] if state else [])
+        del of, state
+        tidy()
 
     turns = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")

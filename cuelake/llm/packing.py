@@ -31,8 +31,6 @@ SHARD_DOCS, SHARD_TOKENS = 1024, 1_000_000
 TOKENISED = 1024
 #: Token ids below this are the vocabulary's first merges, too common to sign a document.
 COMMON_IDS = 2000
-#: The share of a shard's documents up to which a term has postings: every term has them that could join two documents.
-MAX_DF = 1.0
 K1, B = 1.2, 0.75
 
 
@@ -60,7 +58,7 @@ class Index:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(sizes.mean() if n else 1, 1))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc]) if n else np.empty(0)
-        keep = (df > 1) & (df <= MAX_DF * n)
+        keep = df > 1  # every term that can join two documents, however many have it
         self.terms, self.first, self.df, self.n = self.terms[keep], first[keep], df[keep], n
         by_doc = np.flatnonzero(np.repeat(keep, df)) if n else np.empty(0, np.int64)
         row = np.repeat(np.arange(len(self.terms)), self.df)

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only for a local master, whose tasks share the machine, a temporary folder where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="shared-")
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to spark.checkpoint.dir so that a lost executor never recomputes what came before.
+    """The same rows, written once to the shared folder so that a lost executor never recomputes what came before.
 
-    Only where that setting is absent (tests) a temporary folder is used.
+    With spark.cleaner.referenceTracking.cleanCheckpoints Spark removes them when nothing refers to them any more.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()

@@ -8,20 +8,21 @@ Texts are split, and their words made distinct, as Arrow arrays; only distinct w
 Words not seen before are encoded together. Words of ASCII letters are one piece each, whose last token is known by its
 end mark. Between others stands a digit: a digit is always a piece of its own, so its id tells where a word's ids end.
 Words that hold the digit, or a special token's "<|", are encoded alone.
+
+Whether a vocabulary file behaves so is tried on probe texts when it is loaded; texts of one that doesn't are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker remembers at most: two generations of half as many. When the young one is full it becomes the
-#: old one; words of the old one that come again are young again.
-MOST_WORDS = 500_000
+#: Words whose ids a task remembers at most: two generations of half as many. When the young one is full it becomes the
+#: old one; words of the old one that come again are young again. With LONG_WORD this bounds the bytes, to 60 MB at most and 25 MB as a rule.
+MOST_WORDS = 200_000
 #: Words longer than this many bytes are not remembered.
 LONG_WORD = 64
 #: Words that are encoded together, and bytes of text whose words are made distinct together.
@@ -29,6 +30,8 @@ TOGETHER = 8192
 TOGETHER_CHARS = 6_000_000
 _END = "</w>"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+#: Texts on which a vocabulary's ids word by word are compared with those of the whole text.
+PROBES = ("Word word, WORD; \"quoted\" it's don't IT'S", "a0b 10,000.00 x0 0", "  leading\ttabs\nlines  ", "naïve Éa, xé. İstanbul 한국", "<|a|> b<|c", "snake_case camelCase a/b #tag ***", "")
 
 
 def _gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +66,19 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[k for token, k in vocabulary.items() if token.endswith(_END)]] = True
-        self._digit = vocabulary[f"0{_END}"]
+        self._digit = vocabulary.get(f"0{_END}")
         self._known: dict[bytes, bytes] = {b"": b""}
         self._old: dict[bytes, bytes] = {}
+        self.by_words = self._digit is not None and self._as_whole(pa.array(PROBES))
+
+    def _as_whole(self, texts: pa.Array) -> bool:
+        try:
+            return self._part(texts) == self._whole(texts)
+        except (KeyError, ValueError):  # pieces without the marks that tell where a word's ids end
+            return False
+
+    def _whole(self, texts: pa.Array) -> list[bytes]:
+        return [self._encode(x.encode()).tobytes() for x in texts.to_pylist()]
 
     def _encode(self, data: bytes) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([data.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, self.dtype)
@@ -151,7 +164,7 @@ class WordTokenizer:
         out, at = [], 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER_CHARS, "right")))
-            out += self._part(texts.slice(at, end - at))
+            out += (self._part if self.by_words else self._whole)(texts.slice(at, end - at))
             at = end
         return out
 
@@ -159,9 +172,8 @@ class WordTokenizer:
         return np.frombuffer(self.many(pa.array([text], pa.string()))[0], self.dtype)
 
 
-@lru_cache(maxsize=2)
 def tokenizer(name: str) -> WordTokenizer:
-    """This process's tokenizer of a vocabulary file, given by a path or a name among the public ones, with all it remembers."""
+    """The tokenizer of a vocabulary file, given by a path or a name among the public ones. A task makes its own, which goes with it: what it remembers doesn't stay in a worker that waits for other stages."""
     if "/" in name:
         return WordTokenizer(name)
     import public_tokenizers

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import zlib
@@ -170,8 +171,25 @@ def tokenizer():
 ODD_TEXTS = ["a <|endoftext|>b c<|startoftext|>", "J̌ Ẅ. Éa, xé. (ABC) ABC*** a.b.c, <|ENDOFTEXT|>", "İstanbul ΣΑΣ Σ", "a\x1cb \x85c\xa0d e", "it's don't 's IT'S,", "한국 é", "", "  \n\t ", "123 45a6 10,000.00 a0.", "x​y", "—. a—. ’s"]
 
 
+@functools.cache
+def fast():
+    return tokens.tokenizer("word_bpe_49k.json")
+
+
+def test_vocabularies_of_other_habits_encode_whole_texts(monkeypatch, tmp_path):
+    """One that keeps capitals apart: its own words, cut at white space."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    plain = Tokenizer(models.WordLevel({"Word": 1, "word": 2, "0</w>": 3, "?": 0}, unk_token="?"))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    plain.save(path := str(tmp_path / "plain.json"))
+    of = tokens.tokenizer(path)
+    assert not of.by_words and of.ids("Word word other").tolist() == [1, 2, 0] and of.ids(None).tolist() == []
+
+
 def test_ids_are_the_tokenizers(tokenizer):
-    of = tokens.tokenizer("word_bpe_49k.json")
+    of = fast()
+    assert of.by_words
     for text in [*ODD_TEXTS, *[t for _, t in odd_rows() if t]]:
         assert of.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -184,7 +202,7 @@ def test_ids_of_any_text_are_the_tokenizers(text):
 
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")) if not hasattr(tokens, "_plain") else tokens._plain
     tokens._plain = plain
-    assert tokens.tokenizer("word_bpe_49k.json").ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert fast().ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_is_a_whole_partition_of_the_ids(spark, tokenizer):
@@ -211,7 +229,7 @@ def test_index_scores_are_plain_bm25():
     n, mean = len(pieces), np.mean([len(p) for p in pieces])
     df = {t: sum(t in p for p in pieces) for t in range(400)}
     for doc in (0, 7):
-        want = [sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (c := (p == t).sum()) * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.B + packing.B * len(p) / mean)) for t in set(pieces[doc].tolist()) if 1 < df[t] <= packing.MAX_DF * n and t in p) for p in pieces]
+        want = [sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (c := (p == t).sum()) * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.B + packing.B * len(p) / mean)) for t in set(pieces[doc].tolist()) if df[t] > 1 and t in p) for p in pieces]
         assert np.allclose(index.scores(doc), want)
 
 
@@ -229,6 +247,29 @@ def test_scores_keep_the_terms_of_most_documents():
         assert np.allclose(index.scores(doc)[others], np.array(want)[others])
 
 
+def test_windows_are_filled_with_copies():
+    """A shard of 1024 unrelated tails of which 200 are copies but for four tokens: a copy's window holds copies."""
+    rng = np.random.default_rng(3)
+    body = rng.integers(2000, 40_000, 200)
+    docs_ = [("other", k, rng.integers(2000, 40_000, 200)) for k in range(824)]
+    for k in range(200):
+        copy = body.copy()
+        copy[rng.choice(200, 4, replace=False)] = rng.integers(2000, 40_000, 4)
+        docs_.append(("copy", k, copy))
+    order = rng.permutation(1024)
+    packer, out = packing.Packer(window=2000), []
+    for k in order:
+        out += packer.add(docs_[k][:2], docs_[k][2].astype("<u2"))
+    out += packer.flush(last=True)
+    assert sum(p[2] for p in out) == 1024 * 200
+    windows: dict = {}
+    for doc, _, length, sequence, _ in out:
+        windows.setdefault(sequence, []).append((doc[0][0], length))
+    with_copies = [w for w in windows.values() if any(kind == "copy" for kind, _ in w)]
+    full = [w for w in with_copies if all(kind == "copy" for kind, _ in w)]
+    assert len(full) >= len(with_copies) - 2 and len(with_copies) <= 22
+
+
 def test_neighbours_share_a_window():
     packer = packing.Packer(window=20, shard_docs=100)
     kinds = [np.arange(1000 * k, 1000 * k + 10, dtype="<u2") for k in range(1, 6)]
