@@ -185,20 +185,51 @@ def contaminated():
     return items, rows
 
 
-def test_decontamination_is_the_plain_search(spark, contaminated):
+def plain_longest(text: str, items: list[tuple]) -> tuple:
+    """(words, place, item) of the longest match that holds a whole window, by comparing all places."""
+    text, best = [w.decode() for w in decontam.words(text or "")], (0, None, None)
+    for item, body in items:
+        seq = [w.decode() for w in decontam.words(body or "")]
+        for i in range(len(seq)):
+            for at in range(len(text)):
+                n = next((k for k in range(min(len(seq) - i, len(text) - at)) if seq[i + k] != text[at + k]), min(len(seq) - i, len(text) - at))
+                if n >= 13 or (i == 0 and n == len(seq)):
+                    best = min(best, (-n, at, str(item)), key=lambda x: (x[0], x[1] or 0, x[2] or ""))
+    return (-best[0], *best[1:])
+
+
+@pytest.mark.parametrize("chars", [decontam.BLOCK_CHARS, 1600, 300])
+def test_decontamination_is_the_plain_search(spark, contaminated, chars):
+    """In one block and in many, with null and repeated ids and repeated rows. Blocks of 300 characters cut items, and so may cut the longest match."""
     items, rows = contaminated
+    rng = random.Random(15)
+    items = items + [(50 + k, prose(rng, 40)) for k in range(30)]
+    whole = chars > 300
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, n_words string")
-    table = docs(spark, rows, extra=True)
-    want = sorted((d or -1, *plain_verdict(t, items)) for d, t in rows if t is None or len(t) < 5000)
-    for chars in (decontam.BLOCK_CHARS, 300):
-        source = table if chars > 300 else table.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        found = decontam.judge(spark, source, bench, block_chars=chars).collect()
-        got = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found if r.n_words < 800 and r.doc_id != 7)
-        ids = [g[0] for g in got]
-        assert got == [w for w in want if w[0] in ids] if chars > 300 else set(got) <= set(want)
-    kept = decontam.remove(spark, table, bench)
-    assert kept.columns == table.columns and kept.count() == decontam.judge(spark, table, bench).filter("NOT contaminated").count()
-    assert decontam.judge(spark, table, bench.limit(0)).filter("n_hit > 0").isEmpty() and decontam.judge(spark, docs(spark, []), bench).isEmpty()
+    table = docs(spark, rows + [(7, items[0][1]), (None, items[1][1]), (100, "clean words")], extra=True)
+    small = [(d, t) for d, t in [(r.doc_id, r.text) for r in table.collect()] if t is None or len(t) < 5000]
+    want = [(d or -1, *plain_verdict(t, items), *(plain_longest(t, items) if whole else ())) for d, t in small]
+    found = decontam.judge(spark, table, bench, block_chars=chars).collect()
+    assert len(found) == table.count()
+    got = [(r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, *((r.longest, r.longest_start, r.longest_item) if whole else ())) for r in found]
+    assert sum(n > 20_000 for _, n, *_ in got) == 1
+    assert sorted(map(str, [g for g in got if g[1] < 20_000 and (g[0] != 7 or g[2])])) == sorted(map(str, [w for w in want if w[0] != 7 or w[2]]))
+    kept = decontam.remove(spark, table, bench, block_chars=chars)
+    assert kept.columns == table.columns
+    clean = {(d, t) for d, t in small if not plain_verdict(t, items)[-1]}
+    assert {(r.doc_id, r.text) for r in kept.collect() if r.text is None or len(r.text) < 5000} == clean
+    assert kept.count() == sum(not r.contaminated for r in found)
+    assert decontam.judge(spark, table, bench.limit(0), block_chars=chars).filter("n_hit > 0").isEmpty() and decontam.judge(spark, docs(spark, []), bench, block_chars=chars).isEmpty()
+
+
+def test_blocks_hold_the_bound_and_the_windows(spark):
+    rng = random.Random(14)
+    items = [(0, prose(rng, 3000)), (0, prose(rng, 40)), (1, prose(rng, 40)), (1, None)] * 2
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    parts = [p.collect() for p in decontam.blocks(bench, "item_id", "text", 4000)]
+    assert len(parts) > 1 and max(sum(len(r.text) for r in p) for p in parts) <= 4000
+    windows = lambda rows: {(str(i), tuple(w[k : k + 13])) for i, t in rows for w in [decontam.words(t or "")] for k in range(len(w) - 12)}
+    assert windows([(r.item, r.text) for p in parts for r in p]) == windows(items)
 
 
 def test_longest_matches_are_the_plain_ones(spark, contaminated):
@@ -211,7 +242,7 @@ def test_longest_matches_are_the_plain_ones(spark, contaminated):
         seq = [w.decode() for w in decontam.words(body)]
         for at in range(len(seq)):
             best = max(next((n for n in range(len(seq) - at, 0, -1) if any(t[i : i + n] == seq[at : at + n] for i in range(len(t) - n + 1))), 0) for t in texts)
-            assert got.get((item, at), best if best < 2 else 0) == best
+            assert got.get((str(item), at), best if best < 2 else 0) == best
 
 
 def test_licences(spark):
