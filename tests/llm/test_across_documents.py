@@ -319,30 +319,65 @@ def pages(spark, rows: list[tuple]):
 
 def test_audit_finds_what_differs(spark, tmp_path):
     rows = [(k * 7 - 300, f"http://h/{k}", f"<p>{k}\r\n\r\nWARC/1.0 é</p>" * (k % 5)) for k in range(300)] + [(None, None, None), (14, None, "twin"), (14, None, "twin")]
-    whole = warc.records(pages(spark, rows))
+    records = warc.records(pages(spark, rows))
+    whole = warc.planned(records)
     assert warc.audit(whole, whole).count() == 0
     other = [r if k != 5 else (r[0], r[1], "changed") for k, r in enumerate(rows) if k not in (9, 200)] + [(99_999, "u", "extra"), (14, None, "twin")]
-    found = {r.page_id: r for r in warc.audit(whole, warc.records(pages(spark, other))).collect()}
+    found = {r.page_id: r for r in warc.audit(whole, warc.planned(warc.records(pages(spark, other)))).collect()}
     assert {k: r.status for k, r in found.items()} == {rows[5][0]: "changed", rows[9][0]: "missing", rows[200][0]: "missing", 99_999: "extra", 14: "changed"}
     assert found[rows[9][0]].replica_start is None and found[99_999].start is None
-    path = str(tmp_path / "warc")
-    warc.write(whole, path)
-    again = warc.read(spark, path)
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, whole.collect()))
-    assert warc.audit(whole, again).count() == 0
-    none = warc.records(pages(spark, []))
+    none = warc.planned(warc.records(pages(spark, [])))
     assert warc.audit(none, none).count() == 0 and {r.status for r in warc.audit(whole, none).collect()} == {"missing"}
+    warc.write(warc.records(pages(spark, [])), f"{tmp_path}/none")
+    assert warc.audit(none, warc.scan(spark, f"{tmp_path}/none")).count() == 0
 
 
-def test_offsets_are_those_in_the_file(spark, tmp_path):
-    rows = [(k, f"http://h/{k}", f"<p>é{k}</p>") for k in range(20)]
-    whole = warc.records(pages(spark, rows))
-    warc.write(whole.coalesce(1).sortWithinPartitions("page_id"), str(tmp_path / "one"))
-    data = next(p for p in (tmp_path / "one").iterdir() if p.name.startswith("part-")).read_bytes()
-    starts = {int(r.split(b"urn:page:")[1].split(b">")[0]): at for at, r in warc.parse(data)}
-    assert {r.node: r.start for r in warc.leaves(whole).collect()} == starts
-    with pytest.raises(ValueError):
-        list(warc.parse(data[:-1]))
+@pytest.mark.parametrize("copies", [warc.MOST_COPIES, 1])
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_files_are_as_planned(spark, tmp_path, monkeypatch, copies, compression):
+    """Records come back, and offsets are true in the stored bytes; with one copy at most, repeated ids have files of their own."""
+    monkeypatch.setattr(warc, "MOST_COPIES", copies)
+    rows = [(k * 7 - 300, f"http://h/{k}\r\nx", f"<p>{k}\r\n\r\nWARC/1.0 é</p>" * (k % 5)) for k in range(80)] + [(None, None, None), (9000, "u", "far"), (14, None, "twin"), (14, None, "twin"), (14, None, "other")]
+    records = warc.records(pages(spark, rows))
+    path = str(tmp_path / "warc")
+    warc.write(records, path, compression)
+    assert sorted(map(tuple, warc.read(spark, path).collect())) == sorted(map(tuple, records.collect()))
+    found = warc.scan(spark, path)
+    assert warc.audit(warc.planned(records), found).count() == 0
+    stored = {r.page_id: (r.name, r.start, r.n) for r in found.collect()}
+    for r in warc.leaves(warc.planned(records)).collect():
+        name, start, n = stored[r.node]
+        if r.start is not None and r.node != 14:
+            data = warc._plain(open(name.removeprefix("file:"), "rb").read())
+            assert r.start == start and data[start : start + n].startswith(b"WARC/1.0") and f"<urn:page:{r.node}>".encode() in data[start : start + n]
+    assert (14 in {r.node for r in warc.leaves(warc.planned(records)).filter("start IS NULL").collect()}) == (copies == 1)
+
+
+def test_damaged_files_become_rows(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", f"<p>é{k}</p>" * 9) for k in range(40)] + [(5000, "u", "in another file")]
+    records = warc.records(pages(spark, rows))
+    warc.write(records, str(tmp_path / "warc"))
+    path = next((tmp_path / "warc" / "file=0").rglob("part-*"))
+    data = path.read_bytes()
+    at = {page: (a, b) for a, b, page in warc.parse(data)}
+
+    def audit(changed: bytes, name: str) -> dict:
+        for p in (tmp_path / "warc").rglob(".*.crc"):
+            p.unlink()
+        path.write_bytes(changed)
+        return {(r.page_id, r.status): r for r in warc.audit(warc.planned(records), warc.scan(spark, str(tmp_path / "warc"))).collect()}
+
+    a, b = at[7]
+    flipped = audit(data[: b - 9] + bytes([data[b - 9] ^ 0x80]) + data[b - 8 :], "a byte of a page")
+    assert set(flipped) == {(7, "changed")} and flipped[7, "changed"].replica_start == a == flipped[7, "changed"].start
+    head = audit(data[: a + 3] + b"?" + data[a + 4 :], "a byte of a head")
+    assert set(head) == {(7, "missing"), (None, "unreadable")} and (head[None, "unreadable"].replica_start, head[None, "unreadable"].replica_length) == (a, b - a)
+    cut_off = audit(data[: at[38][0] + 20], "a cut file")
+    assert set(cut_off) == {(38, "missing"), (39, "missing"), (None, "unreadable")} and cut_off[None, "unreadable"].replica_start == at[38][0]
+    moved = audit(data[:a] + data[b:] + data[a:b], "a moved record")
+    assert set(moved) == {(7, "moved")} and moved[7, "moved"].replica_start == len(data) - (b - a)
+    garbage = audit(b"\xff\xfe" * 50, "no record at all")
+    assert sum(s == "missing" for _, s in garbage) == 40 and garbage[None, "unreadable"].replica_length == 100
 
 
 def test_sql_of_the_operators(spark, tmp_path):
