@@ -1,8 +1,10 @@
 """Compression classifier: zstandard dictionaries of good and bad text; the normalised size difference becomes a score.
 
-Half of the labelled sample gives the two dictionaries, the other half calibrates. Each text is compressed block by block
-under both dictionaries. The difference of the sizes over the text's length, of the whole text and of its worst block,
-and the size under the good one go through a logistic regression fitted on the calibration half. Compression time and memory are linear in the text.
+Half of the labelled sample gives the two dictionaries, equally long ones, the other half calibrates. Each text is
+compressed block by block under the good dictionary, the bad one and none. Only differences between these sizes are
+features: bad less good and none less good over the text's length, each of the whole text and of its worst block, and
+what either dictionary saves over the size without one, which tells text that repeats itself. A logistic regression
+fitted on the calibration half makes a score of them. Compression time and memory are linear in the text.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from .labelled import held_out, sample
 from .text import fresh, per_batch, table, texts
 
 #: Bytes of each dictionary, bytes of a block, and zstandard's level.
-DICT_BYTES = 110_000
-BLOCK = 1024
+DICT_BYTES = 50_000
+BLOCK = 512
 LEVEL = 3
 #: Fewer samples than this train no dictionary.
 LEAST_SAMPLES = 16
 #: Steps of Newton's method and the ridge of the calibration.
 STEPS, RIDGE = 30, 1.0
-N_FEATURES = 5
+FEATURES = ("bad less good", "bad less good of the worst block", "none less good", "none less good of the worst block", "saved by good", "saved by bad")
+N_FEATURES = len(FEATURES)
 
 
 class Model(NamedTuple):
@@ -37,13 +40,20 @@ class Model(NamedTuple):
     weights: np.ndarray
 
 
-def dictionary(samples: list[bytes]) -> bytes:
+def dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
     """A trained zstandard dictionary; of samples too few or short to train one, pieces of each as plain content; empty of none."""
     samples = [x for x in samples if x]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) >= LEAST_SAMPLES else _content(samples)
+        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= LEAST_SAMPLES else _content(samples)[:size]
     except zstandard.ZstdError:
-        return _content(samples)
+        return _content(samples)[:size]
+
+
+def dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
+    """One of each kind, the longer made again as short as the other one, so that no difference comes from the room that they have."""
+    both = dictionary(good), dictionary(bad)
+    least = min(map(len, both))
+    return tuple(d if len(d) == least else (again if len(again := dictionary(x, least)) == least else d[:least]) for d, x in zip(both, (good, bad), strict=True))
 
 
 def _content(samples: list[bytes]) -> bytes:
@@ -63,13 +73,16 @@ class Sizes:
         data = text.encode("utf-8", "surrogatepass")
         if not data:
             return (0.0,) * N_FEATURES
-        n, g, b, worst = len(data), 0, 0, 0.0
+        n, g, b, z = len(data), 0, 0, 0
+        worst, least = [], []
         for at in range(0, n, BLOCK):
             block = data[at : at + BLOCK]
-            x, y = len(self.good(block)), len(self.bad(block))
-            g, b = g + x, b + y
-            worst = min(worst, (y - x) / max(len(block), 256)) if at else (y - x) / max(len(block), 256)
-        return (b - g) / n, worst, g / n, len(self.none(data)) / n, float(np.log1p(n))
+            x, y, none = len(self.good(block)), len(self.bad(block)), len(self.none(block))
+            g, b, z = g + x, b + y, z + none
+            room = max(len(block), BLOCK // 4)
+            worst.append((y - x) / room)
+            least.append((none - x) / room)
+        return (b - g) / n, min(worst), (z - g) / n, min(least), (z - g) / z, (z - b) / z
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +101,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     """From (text, label) rows: even ones make the dictionaries, odd ones calibrate. Without both labels every text scores the labels' smoothed mean."""
     y = np.array([label for _, label in rows], np.float64)
     source = [(t.encode("utf-8", "surrogatepass"), label) for t, label in rows[::2]]
-    good, bad = (dictionary([t for t, label in source if label == k]) for k in (1, 0))
+    good, bad = dictionaries(*([t for t, label in source if label == k] for k in (1, 0)))
     if not good or not bad or len(set(y[1::2])) < 2:
         mean = (y.sum() + 1) / (len(y) + 2)
         return Model(good, bad, np.zeros(N_FEATURES), np.ones(N_FEATURES), np.array([0.0] * N_FEATURES + [np.log(mean / (1 - mean))]))

@@ -92,6 +92,38 @@ def test_quality_learns_from_the_other_folds_only(spark, corpus):
     assert [tuple(r) for r in quality.score(table, quality.train(table, flipped)).orderBy("doc_id").collect()] == [tuple(r) for r in sorted(found)]
 
 
+def test_quality_scores_are_the_plain_ones(spark, corpus):
+    """Block by block with new compressors, differences and logistic curve written out."""
+    import zstandard
+
+    model = quality.train(*corpus[:2])
+    assert len(model.good) == len(model.bad) > 0
+
+    def size(block: bytes, dictionary: bytes) -> int:
+        options = {"level": quality.LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        return len(zstandard.ZstdCompressor(**options, **({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {})).compress(block))
+
+    def plain(text: str) -> float:
+        data = text.encode()
+        cut = [data[k : k + quality.BLOCK] for k in range(0, len(data), quality.BLOCK)]
+        good, bad, none = ([size(x, d) for x in cut] for d in (model.good, model.bad, b""))
+        rooms = [max(len(x), quality.BLOCK / 4) for x in cut]
+        x = [(sum(bad) - sum(good)) / len(data), min((b - g) / r for b, g, r in zip(bad, good, rooms)), (sum(none) - sum(good)) / len(data), min((z - g) / r for z, g, r in zip(none, good, rooms)), 1 - sum(good) / sum(none), 1 - sum(bad) / sum(none)] if data else [0.0] * 6
+        return 1 / (1 + np.exp(-sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale)) - model.weights[-1]))
+
+    rng = random.Random(16)
+    rows = [(k, t) for k, t in enumerate([prose(rng, 40), prose(rng, 900), junk(rng, 300), "word " * 900, "", "é"])]
+    assert np.allclose([r.score for r in quality.score(docs(spark, rows), model).orderBy("doc_id").collect()], [plain(t) for _, t in rows])
+
+
+def test_dictionaries_are_equally_long():
+    rng = random.Random(17)
+    good, bad = [prose(rng, 400).encode() for _ in range(200)], [junk(rng, 60).encode() for _ in range(40)]
+    for a, b in ((good, bad), (bad, good[:3]), (good[:2], bad[:1])):
+        assert len({len(x) for x in quality.dictionaries(a, b)}) == 1
+    assert quality.dictionaries(good, []) == (b"", b"")
+
+
 def test_quality_of_odd_documents(spark, corpus):
     model = quality.train(*corpus[:2])
     rows = odd_rows()
