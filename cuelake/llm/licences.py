@@ -4,11 +4,12 @@ A sparse logistic regression (softmax over licence families and "none"; proximal
 driver from the notices below and ordinary sentences, with words dropped, added and cut. Leaving out one family at a time
 gives the calibration: how sure the model is of a licence it never saw, from which follows how sure it must be of a
 known one; what is surely a licence but of no family for sure is "unknown". A prediction is confirmed if the paragraph
-holds enough of the words of one of its family's notices.
+holds enough of the words of one of its family's notices, or consists of such words.
 
-The corpus side is DataFrame functions alone. Paragraphs are lines. Only n-grams with one of the model's anchor words
-have weights, so that lines without such a word score the constant; the others' n-grams meet the weights in a broadcast
-join: the model has at most MOST_FEATURES rows, whatever the corpus.
+The corpus side is DataFrame functions alone. A notice may be wrapped, so that a paragraph is a run of lines, unbroken by
+a blank line, that each hold LEAST_ANCHORS or more of the model's anchor words (see ``paragraphs``); other lines belong to no notice. Only n-grams
+with an anchor word have weights. The paragraphs, a small part of the texts, are written once; their n-grams meet the weights in
+a broadcast join: the model has at most MOST_FEATURES rows, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .text import table
 
 # Notices by which licences are granted, by family.
@@ -77,6 +79,7 @@ NOTICES = {
     "proprietary": [
         "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.",
         "This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited.",
+        "All rights reserved.",
     ],
 }
 # Ordinary sentences, some with words that notices use as well.
@@ -105,8 +108,10 @@ MOST_FEATURES = 4000
 #: n-grams of fewer training paragraphs get no weight.
 LEAST_PARAGRAPHS = 5
 COPIES, STEPS, CALIBRATION_STEPS, L1, SEED = 12, 300, 60, 2e-4, 7
-#: Least share of a notice's distinct words that confirms a prediction.
-CONFIRM = 0.6
+#: Least share of a notice's distinct words that confirms a prediction; least share of the paragraph's own, of LEAST_WORDS at least, that are a notice's.
+CONFIRM, CONTAINED, LEAST_WORDS = 0.6, 0.9, 3
+#: Distinct anchor words of a line that can belong to a notice.
+LEAST_ANCHORS = 2
 
 _SPLIT = "[^a-z0-9]+"
 
@@ -191,41 +196,47 @@ def _shares(model: tuple, words: list[str], anchors: frozenset) -> tuple[float,
 @lru_cache(maxsize=1)
 def train() -> Model:
     """The model of the notices above; the same on every run."""
+    return fitted(NOTICES)
+
+
+def fitted(notices_of: dict[str, list[str]], calibrate: bool = True) -> Model:
+    """The model of some notices by family, families as in NOTICES; without calibration the least shares are a half."""
     rng = np.random.default_rng(SEED)
-    examples = [(v, family) for family, notices in NOTICES.items() for text in notices for v in _variants(text, rng)]
+    examples = [(v, family) for family, notices in notices_of.items() for text in notices for v in _variants(text, rng)]
     plain = [(v, NONE) for text in ORDINARY for v in _variants(text, rng)] + [([], NONE)] * COPIES
-    anchors = frozenset(w for words, family in examples for text in NOTICES[family] for w in words_of(text)) - _FUNCTION_WORDS
+    anchors = frozenset(w for words, family in examples for text in notices_of[family] for w in words_of(text)) - _FUNCTION_WORDS
     alone = sorted(anchors)
     plain += [([a], NONE) for a in alone for _ in range(4)] + [([alone[i] for i in rng.integers(0, len(alone), 2)], NONE) for _ in range(4 * len(alone))]
     model = _fit(examples + plain, anchors, STEPS)
     known, unseen = [_shares(model, w, anchors) for w, _ in examples], []
-    for family in NOTICES:
+    for family in notices_of if calibrate else ():
         left = _fit([e for e in examples[::2] if e[1] != family] + plain[::2], anchors, CALIBRATION_STEPS)
         unseen += [_shares(left, w, anchors) for w, f in examples if f == family]
     none = [_shares(model, w, anchors)[0] for w, _ in plain]
-    least_licence = max(0.5, float(np.quantile(none, 0.99)))
+    least_licence = max(0.5, float(np.quantile(none, 0.99))) if calibrate else 0.5
     cuts = np.linspace(0.3, 0.99, 70)
     sure, lost = np.array([f for p, f in known if p >= least_licence]), np.array([f for p, f in unseen if p >= least_licence])
     errors = [(sure < c).mean() * 4 + (lost >= c).mean() if len(lost) else (sure < c).mean() for c in cuts]
-    least_family = float(cuts[int(np.argmin(errors))])
+    least_family = float(cuts[int(np.argmin(errors))]) if calibrate else 0.5
     names, w, b = model
     keep = np.flatnonzero(np.abs(w).max(axis=1) > 1e-6)
     return Model(sorted(anchors), [names[k] for k in keep], np.round(w[keep], 9), np.round(b, 9), least_licence, least_family)
 
 
 def classify(paragraphs: DataFrame, model: Model, keys: list[str], text: str) -> DataFrame:
-    """(keys, family, score, similarity, confirmed) of the paragraphs that are licences: score is the licences' share, family may be unknown, similarity is the largest share of a notice's words that the paragraph holds."""
+    """(keys, family, score, similarity, contained, confirmed) of the paragraphs that are licences: score is the licences'
+    share, family may be unknown, similarity is the largest share of a notice's words that the paragraph holds, contained that of its own words that a notice has."""
     spark = paragraphs.sparkSession
     weights = spark.createDataFrame([(g, *map(float, w)) for g, w in zip(model.features, model.weights, strict=True)], "gram string, " + ", ".join(f"w{k} double" for k in range(len(CLASSES))))
     notices = spark.createDataFrame([(family, sorted(set(words_of(t)))) for family, ts in NOTICES.items() for t in ts], "family string, notice array<string>")
-    words = F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
-    held = paragraphs.select(*keys, words.alias("words")).filter(F.arrays_overlap("words", F.array(*map(F.lit, model.anchors))))
+    held = cut(paragraphs.select(*keys, F.col(text).alias("paragraph")))
+    words = held.select(*keys, _words("paragraph").alias("words"))
 
     def sliding(n: int) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
         return F.when(F.size("words") >= n, each).otherwise(F.array().cast("array<string>"))
 
-    each = held.select(*keys, F.explode(F.array_distinct(F.concat("words", *map(sliding, range(2, GRAMS + 1))))).alias("gram"))
+    each = words.select(*keys, F.explode(F.array_distinct(F.concat("words", *map(sliding, range(2, GRAMS + 1))))).alias("gram"))
     z = each.join(F.broadcast(weights), "gram").groupBy(*keys).agg(*[(F.sum(f"w{k}") + float(model.bias[k])).alias(f"z{k}") for k in range(len(CLASSES))])
     top = F.greatest(*[F.col(f"z{k}") for k in range(len(CLASSES))])
     e = [F.exp(F.col(f"z{k}") - top) for k in range(len(CLASSES))]
@@ -234,25 +245,39 @@ def classify(paragraphs: DataFrame, model: Model, keys: list[str], text: str) ->
     best = F.greatest(*[F.struct(F.col(f"z{k}").alias("z"), F.lit(c).alias("c"), e[k].alias("e")) for k, c in enumerate(NOTICES)])
     judged = z.select(*keys, score.alias("score"), best["c"].alias("best"), (best["e"] / licences).alias("share")).filter(F.col("score") >= model.least_licence)
     named = judged.select(*keys, "score", "best", F.when(F.col("share") >= model.least_family, F.col("best")).otherwise(UNKNOWN).alias("family"))
-    like = named.join(held, keys).join(F.broadcast(notices.withColumnRenamed("family", "best")), "best")
-    similarity = F.size(F.array_intersect("words", "notice")) / F.size("notice")
-    return like.groupBy(*keys).agg(F.first("family").alias("family"), F.first("score").alias("score"), F.max(similarity).alias("similarity")).withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRM))
+    like = named.join(words.withColumn("words", F.array_distinct("words")), keys).join(F.broadcast(notices.withColumnRenamed("family", "best")), "best")
+    both = F.size(F.array_intersect("words", "notice"))
+    contained = F.when(F.size("words") >= LEAST_WORDS, both / F.size("words")).otherwise(0.0)
+    found = like.groupBy(*keys).agg(F.first("family").alias("family"), F.first("score").alias("score"), F.max(both / F.size("notice")).alias("similarity"), F.max(contained).alias("contained"))
+    return found.withColumn("confirmed", (F.col("family") != UNKNOWN) & ((F.col("similarity") >= CONFIRM) | (F.col("contained") >= CONTAINED)))
+
 
+def _words(text: str | Column) -> Column:
+    return F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
 
-def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, h, p, line): the lines of each document, which is its id and a hash of its text."""
-    return docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("p", "line"))
+
+def paragraphs(docs: DataFrame, anchors: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(d, h, p, paragraph): runs of lines that hold enough anchor words, in lower case; a document is its id and a hash of its text.
+
+    Lines that hold fewer become blank ones within the row, so that blank lines end all runs; a text is split once. A run
+    also ends behind a line that ends a sentence, and around a licence tag, so that notices of several licences stay apart.
+    """
+    known = F.array(*map(F.lit, anchors))
+    tag = lambda x: x.rlike("(?i)spdx-license-identifier")
+    parted = lambda x: F.concat(F.when(tag(x), "\n").otherwise(""), F.lower(x), F.when(tag(x) | x.rlike(r"[.!?][\"')\]\s]*$"), "\n").otherwise(""))
+    line = lambda x: F.when(F.size(F.array_intersect(_words(x), known)) >= LEAST_ANCHORS, parted(x)).otherwise("")
+    runs = F.split(F.array_join(F.transform(F.split(text, "\n"), line), "\n"), "\n\n+")
+    return docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(runs).alias("p", "paragraph")).filter(F.trim("paragraph") != "")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_licences (licence paragraphs), n_confirmed, n_unknown, families (sorted, joined by commas; without unknown), score (of the surest paragraph, 0 of none).
 
     Null and empty texts have no licence; rows with equal id and text each get the same result, null ids as well. Other
-    columns of the input are left out. The text stays at the scan: only lines with an anchor word are shuffled.
+    columns of the input are left out. The text stays at the scan: only lines with anchor words are written and shuffled.
     """
     model = train()
-    lines = paragraphs(docs, key, text)
-    found = classify(lines.filter(F.col("line") != ""), model, ["d", "h", "p"], "line")
+    found = classify(paragraphs(docs, model.anchors, key, text), model, ["d", "h", "p"], "paragraph")
     known = F.array_distinct(F.collect_list(F.when(F.col("family") != UNKNOWN, F.col("family"))))
     per_doc = found.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.count("*").alias("n"), F.count_if("confirmed").alias("c"), F.count_if(F.col("family") == UNKNOWN).alias("u"), F.array_join(F.array_sort(known), ",").alias("f"), F.max("score").alias("s"))
     rows = docs.select(F.col(key), F.xxhash64(text).alias("_own"))

@@ -138,8 +138,8 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
     return "".join(out) + text[done:]
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the key, counts of the base kinds, base_sha256, spans, the highest score and the redacted text.
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", redacted: bool = True) -> DataFrame:
+    """Per row: the key, counts of the base kinds, base_sha256, spans, the highest score and, unless it isn't wanted, the redacted text.
 
     Null texts count as empty (no spans, redacted text empty); rows with equal keys each give a row; other columns of the input are left out.
     """
@@ -149,14 +149,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             spans = find(x)
             base = [s for s in spans if s.kind in BASE]
             counts = [sum(s.kind == k for s in base) for k in BASE]
-            return (*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans), max((s.score for s in spans), default=0.0), redact(x, spans))
+            return (*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans), max((s.score for s in spans), default=0.0), *([redact(x, spans)] if redacted else []))
 
         return one
 
-    ddl = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, max_score double, redacted string"
+    ddl = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, max_score double" + ", redacted string" * redacted
     return with_fields(docs, key, text, per_text(prepare, ddl))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
-    return scan(table(spark, sf_dir, "documents")).drop("redacted")
+    return scan(table(spark, sf_dir, "documents"), redacted=False)
