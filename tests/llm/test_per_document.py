@@ -46,6 +46,7 @@ def test_checksums_and_context():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
     found = pii.find("My bank account GB82 WEST 1234 5698 7654 32, ssn 078-05-1120, id 078-05-1121" + " " * 60 + "and 078-05-1122 there")
     assert [x.kind for x in found if x.kind in ("iban", "ssn")] == ["iban", "ssn", "ssn"]
+    assert not [x for x in pii.find("ssn 000-12-3456, ssn 666-12-3456, ssn 900-12-3456, ssn 123-00-4567, ssn 123-45-0000") if x.kind == "ssn"]
     hexes = "0123456789abcdef" * 2
     assert [x.kind for x in pii.find(f"token = {hexes}")] == ["secret"]
     assert pii.find(f"commit {hexes} of it") == []
