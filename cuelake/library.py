@@ -6,17 +6,21 @@ that fails leaves the one before. Paths go through Spark's file systems alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import times
-from .operators import concepts, mutation, ranking, retrieval, selection, sequences, solver
+from .functions.texts import word_count
+from .operators import concepts, mutation, ranking, retrieval, search, selection, solver
 from .sources.segmenting import segment
 
 SCHEMAS = {
     "videos": "id string, title string, status string, total_seconds bigint, error string, version bigint",
     "chunks": "id string, video_id string, sentence_idx bigint, start_sec bigint, end_sec bigint, start_timestamp string, end_timestamp string, text string, enriched_text string, section_topic string, questions array<string>, concepts array<string>",
+    "vectors": "video_id string, sentence_idx bigint, kind string, status string, vector array<double>",
     "words": "video_id string, pos bigint, word string, start double, end double",
     "clips": "video_id string, first bigint, last bigint, beats bigint, gain double, dangling array<bigint>, start_sec double, end_sec double",
     "feedback": "clip_id string, verdict string, ts double",
@@ -76,9 +80,10 @@ class Library:
         self.write("videos", mutation.upsert(old, row.withColumn("version", F.lit(version).cast("bigint")).select(old.columns), ["id"], ["version"]))
 
     def delete(self, video_id: str) -> None:
-        """The video and its chunks; its words and clips stay."""
+        """The video, its chunks and their vectors of all kinds; its words and clips stay."""
         gone = self.spark.createDataFrame([(video_id,)], "video_id string")
         self.write("chunks", mutation.delete(self.table("chunks"), gone, ["video_id"]))
+        self.write("vectors", mutation.delete(self.table("vectors"), gone, ["video_id"]))
         self.write("videos", mutation.delete(self.table("videos"), gone.withColumnRenamed("video_id", "id"), ["id"]))
 
     def videos(self) -> DataFrame:
@@ -95,24 +100,88 @@ class Library:
         c = self.table("chunks")
         return concepts.suggested_queries(c, retrieval.idf(c, "text"), ["people", "thing", "really", "something"])
 
-    def search(self, query: str, k: int = 5) -> DataFrame:
-        """(video_id, first, last, score, start_sec, end_sec, text, confidence), best first: BM25 pool, the sentences around, merged, suppressed and gated; a blank query or an empty library gives none."""
+    def put_vectors(self, rows: DataFrame) -> None:
+        """Vectors of sentences (video_id, sentence_idx, kind, status, vector) in place of those of the same sentence and kind; kind is dense or visual, status of a visual one ok or video-level."""
+        self.write("vectors", mutation.replace(self.table("vectors"), rows, ["video_id", "sentence_idx", "kind"]))
+
+    def reindex(self, embed: Callable[[DataFrame], DataFrame]) -> None:
+        """All dense vectors anew: ``embed`` makes (video_id, sentence_idx, vector) of all chunks; concepts follow the whole library's frequencies."""
         c = self.table("chunks")
-        asked = self.spark.createDataFrame([(0, query or "")], "q int, text string")
-        scored = retrieval.bm25(c, ["video_id", "sentence_idx"], "text", asked, "q", "text").filter("score > 0").withColumn("score", F.round("score", 8))
-        pool = retrieval.top(scored, "q", ["video_id", "sentence_idx"])
-        w = W.partitionBy("video_id").orderBy("sentence_idx")
-        spans = c.select("video_id", "sentence_idx", F.coalesce(F.lag("sentence_idx").over(w), "sentence_idx").alias("first"), F.coalesce(F.lead("sentence_idx").over(w), "sentence_idx").alias("last"), F.coalesce(F.lag("start_sec").over(w), "start_sec").alias("start_sec"), F.coalesce(F.lead("end_sec").over(w), "end_sec").alias("end_sec"))
-        best = pool.groupBy("q").agg(F.max("score").alias("top"))
-        wide = pool.join(spans, ["video_id", "sentence_idx"]).join(F.broadcast(best), "q").withColumn("score", F.col("score") / F.col("top"))
-        merged = sequences.islands(wide, ["video_id"])
-        kept = ranking.suppress_overlapping(merged, ["video_id"], "first")
-        shown = ranking.display_gates(kept, "video_id", ["first"]).select("video_id", "first", "score").join(merged.drop("score"), ["video_id", "first"])
-        rows = shown.join(c.select("video_id", "sentence_idx", "text"), "video_id").filter("sentence_idx BETWEEN first AND last")
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_idx", "text"))), lambda x: x["text"]), " ")
-        out = rows.groupBy("video_id", "first", "last", "score", "start_sec", "end_sec").agg(text.alias("text"))
-        confidence = F.when(F.col("score") >= 0.35, "strong").otherwise("possible")
-        return out.withColumn("confidence", confidence).orderBy(F.desc("score"), "video_id", "first").limit(k)
+        s = c.select("video_id", "sentence_idx", "text")
+        found = concepts.concepts(s, ["video_id", "sentence_idx"], "text", retrieval.idf(s, "text"))
+        old = [x for x in c.columns if x in ("video_id", "sentence_idx") or x not in found.columns and x != "enriched_text"]
+        self.write("chunks", c.select(old).join(found, ["video_id", "sentence_idx"]).withColumn("enriched_text", concepts.enriched(F.col("text"), F.col("section_topic"))))
+        new = embed(self.table("chunks")).select("video_id", "sentence_idx", F.lit("dense").alias("kind"), F.lit("ok").alias("status"), "vector")
+        self.write("vectors", self.table("vectors").filter("kind <> 'dense'").unionByName(new))
+
+    def search(self, query: str, k: int = 5, mode: str = "spoken", embed: Callable[[str], list[float] | None] | None = None, rerank: Callable[[Column, Column], Column] | None = None, least: float | None = None) -> DataFrame:
+        """(kind, place, video_id, first, last, score, start_sec, end_sec, text, confidence, reason), results by place, or near misses where nothing is good enough.
+
+        The pool is the best by dense and lexical rank; ``embed`` makes a query's vector (None: TF-IDF stands in for it), and ``least`` is a floor
+        of the pool. ``rerank`` gives a column of logits for the query and a text; without it results are unranked. In visual mode
+        sentences are ranked by their pictures alone, those with a picture of the whole video last. A blank query, an empty
+        library, or one without pictures in visual mode gives no row. Long texts are shrunk to the part around their middle.
+        """
+        c, vectors, visual = self.table("chunks"), self.table("vectors"), mode == "visual"
+        keys = ["video_id", "sentence_idx"]
+        empty = self.spark.createDataFrame([], "kind string, place int, video_id string, first bigint, last bigint, score double, start_sec double, end_sec double, text string, confidence string, reason string")
+        mine = vectors.filter(F.col("kind") == ("visual" if visual else "dense"))
+        if not (query or "").strip() or c.isEmpty() or visual and mine.filter("status = 'ok'").isEmpty():
+            return empty
+        asked = self.spark.createDataFrame([(0, query)], "q int, text string")
+        vector = embed(query) if embed else None
+        if vector is not None and not mine.isEmpty():
+            q = self.spark.createDataFrame([(0, [float(x) for x in vector])], "q int, v array<double>")
+            both = mine.join(c.select(*keys), keys, "left_semi")
+            score = retrieval.dense(q, "q", "v", both, [*keys, "status"], "vector")
+            dense = score.withColumn("score", F.when(F.col("status") == "video-level", -1.0).otherwise(F.col("score"))).drop("status") if visual else score.drop("status")
+        else:
+            dense = retrieval.tfidf(c, keys, "text", asked, "q", "text")
+        spoken = c if visual else c.filter(~F.coalesce(F.col("text"), F.lit("")).startswith(search.SCENE))
+        lexical = None if visual else retrieval.bm25(c, keys, "text", asked, "q", "text").filter("score > 0")
+        silent = lambda x: x if x is None or visual else x.join(spoken.select(*keys), keys, "left_semi")
+        pool = search.fused(silent(lexical), silent(dense), "q", keys)
+        if least is not None:
+            pool = pool.filter(F.col("score") >= least)
+        found = search.merged(pool, c, "q")
+        if rerank is not None and not visual:
+            found = found.withColumn("score", F.round(1 / (1 + F.exp(-rerank(F.lit(query), F.col("text")))), 4))
+        found = found.cache()  # some thirty rows, which are looked at several times
+        limits = (search.VISUAL_RELEVANT, search.VISUAL_STRONG, None) if visual else (search.RELEVANT, search.STRONG, ranking.DISPLAY_FLOOR)
+        chosen = search.decide(found, "q", k, visual or rerank is not None, *limits)
+        texts = chosen.join(found.select("video_id", "first", "last", "text"), ["video_id", "first"])
+        about = c.select("video_id", F.col("sentence_idx").alias("first"), search.reason(F.col("section_topic"), F.col("concepts"), visual).alias("reason"))
+        full = texts.join(about, ["video_id", "first"], "left").cache()
+        shown = full if visual else self._focused(full, c)
+        return shown.select(empty.columns).orderBy("kind", "place")
+
+    def _focused(self, found: DataFrame, chunks: DataFrame) -> DataFrame:
+        """Long texts as the sentences around their middle; times stay those of the whole."""
+        name = F.concat_ws("|", "kind", "place")
+        each = found.select(name.alias("n"), "video_id", F.explode(F.sequence("first", "last")).alias("sentence_idx")).join(chunks.select("video_id", "sentence_idx", "text", "start_sec", "end_sec"), ["video_id", "sentence_idx"])
+        lines = each.select(F.col("n").alias("video_id"), "sentence_idx", word_count("text").cast("bigint").alias("n_words"), "start_sec", "end_sec")
+        part = selection.focus_quotes(lines).select(F.col("video_id").alias("n"), F.col("first").alias("a"), F.col("last").alias("b"))
+        kept = each.join(part, "n").filter("sentence_idx BETWEEN a AND b")
+        short = kept.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_idx", "text"))), lambda x: x["text"]), " ").alias("short"))
+        return found.withColumn("n", name).join(short, "n", "left").withColumn("text", F.coalesce("short", "text")).drop("n", "short")
+
+    def answer(self, query: str, k: int = 5, mode: str = "spoken", **plugged) -> dict:
+        """A search's rows with what an application shows around them; at most k + 3 rows are fetched."""
+        began = time.perf_counter()
+        rows = [r.asDict() for r in self.search(query, k, mode, **plugged).collect()]
+        found = {x: [r for r in rows if r["kind"] == x] for x in ("result", "near_miss")}
+        degraded = mode != "visual" and plugged.get("rerank") is None and bool(rows)
+        no_pictures = mode == "visual" and not rows and self.table("vectors").filter("kind = 'visual' AND status = 'ok'").isEmpty()
+        message = "No relevance model is there: results are unranked." if degraded else "This library has no pictures of moments yet." if no_pictures else None
+        return {"query": query, "results": found["result"], "near_misses": found["near_miss"], "execution_time_ms": round((time.perf_counter() - began) * 1000, 2), "total_chunks_scanned": self.table("chunks").count(), "library_video_count": self.table("videos").count(), "search_mode": mode, "degraded": degraded, "message": message}
+
+    def job(self, job_id: str) -> DataFrame:
+        return self.table("jobs").filter(F.col("id") == job_id)
+
+    def jobs(self, video_id: str | None = None) -> DataFrame:
+        """Jobs, of one video or all, the latest first."""
+        rows = self.table("jobs")
+        return (rows if video_id is None else rows.filter(F.col("video_id") == video_id)).orderBy(F.desc("updated_at"), "id")
 
     def analyse(self, video_id: str) -> None:
         """Replaces the video's clips by what the solver finds."""

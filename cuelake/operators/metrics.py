@@ -34,3 +34,63 @@ def recall_at(rank: Column, k: int) -> Column:
 
 def mean_reciprocal_rank(rank: Column) -> Column:
     return F.avg(F.coalesce(1.0 / rank, F.lit(0.0)))
+
+
+def retrieval_report(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row of how results (query, rank, video_id, start_sec, end_sec, words) answer expected queries (query, video_id, a, b); a null video_id expects nothing.
+
+    The first result that meets the window in its video, both ends closed, is the hit. A seek error is how far its start
+    lies outside the window. A query without a hit counts zero for recall and reciprocal rank and has no seek error; a
+    result for a query that expects nothing makes it a false positive.
+    """
+    met = results.join(expected.withColumnRenamed("query", "_q"), (F.col("query") == F.col("_q")) & results["video_id"].eqNullSafe(expected["video_id"])).filter("start_sec <= b AND a <= end_sec")
+    hit = met.groupBy("_q").agg(F.min(F.struct("rank", "start_sec", "a", "b")).alias("h"))
+    counts = results.groupBy(F.col("query").alias("_c")).agg(F.count("*").alias("n"), F.sum("words").alias("w"), F.max("words").alias("longest"))
+    each = expected.join(hit, F.col("query") == F.col("_q"), "left").join(counts, F.col("query") == F.col("_c"), "left")
+    positive, rank = F.col("video_id").isNotNull(), F.col("h.rank")
+    seek = F.when(rank.isNotNull(), F.greatest(F.col("h.a") - F.col("h.start_sec"), F.col("h.start_sec") - F.col("h.b"), F.lit(0)))
+    of = lambda c: F.when(positive, c)
+    recall = [F.avg(of(F.coalesce((rank <= k).cast("double"), F.lit(0.0)))).alias(f"recall_{k}") for k in (1, 3, 5)]
+    n = F.coalesce("n", F.lit(0))
+    return each.agg(
+        F.count_if(positive).alias("n_positive"), F.count_if(~positive).alias("n_negative"), *recall, F.avg(of(F.coalesce(1 / rank, F.lit(0.0)))).alias("mrr"), F.avg(of(seek)).alias("seek_error"),
+        F.avg(F.when(~positive, (n > 0).cast("double"))).alias("false_positive_rate"), F.avg(of(n)).alias("mean_results"), (F.sum(of(F.col("w"))) / F.sum(of(F.col("n")))).alias("mean_quote_words"), F.max(of(F.col("longest"))).alias("max_quote_words"),
+    )
+
+
+def clip_report(candidates: DataFrame, examples: DataFrame, starts: DataFrame, width: float = 60.0) -> DataFrame:
+    """One row of how candidates (video_id, first, start_sec, end_sec) cover examples (example, video_id, a, b, setup): coverage, and of the covered
+    the mean overlap, boundary error and share whose setup, if one is needed, is inside; and the share of candidates that start at none of the sentences' starts (video_id, start_sec).
+
+    An example's best candidate has the largest intersection over union, the earlier on a tie; both meet by cells of time.
+    """
+    cell = lambda a, b: F.explode(F.sequence(F.floor(a / width).cast("bigint"), F.floor(b / width).cast("bigint")))
+    met = examples.withColumn("_c", cell(F.col("a"), F.col("b"))).join(candidates.withColumn("_c", cell(F.col("start_sec"), F.col("end_sec"))), ["video_id", "_c"]).drop("_c").distinct()
+    shared = F.greatest(F.lit(0), F.least("end_sec", "b") - F.greatest("start_sec", "a"))
+    iou = shared / (F.greatest("end_sec", "b") - F.least("start_sec", "a"))
+    best = met.withColumn("iou", iou).filter("iou > 0").groupBy("example").agg(F.max(F.struct("iou", (-F.col("start_sec")).alias("s"), (-F.col("end_sec")).alias("e"), (-F.col("first")).alias("f"), "a", "b", "setup")).alias("x"))
+    error = (F.abs(-F.col("x.s") - F.col("x.a")) + F.abs(-F.col("x.e") - F.col("x.b"))) / 2
+    inside = F.when(F.col("x.setup").isNotNull(), (-F.col("x.f") <= F.col("x.setup")).cast("double"))
+    found = best.agg(F.count("*").alias("covered"), F.avg("x.iou").alias("mean_iou"), F.avg(error).alias("boundary_error"), F.avg(inside).alias("setup_containment"))
+    at = starts.select("video_id", "start_sec", F.lit(True).alias("_at")).distinct()
+    loose = candidates.join(at, ["video_id", "start_sec"], "left").agg(F.count("*").alias("candidates"), F.avg(F.col("_at").isNull().cast("double")).alias("mid_sentence_starts"))
+    n = examples.agg(F.count("*").alias("examples"))
+    return n.join(F.broadcast(found)).join(F.broadcast(loose)).select("examples", "candidates", (F.col("covered") / F.col("examples")).alias("coverage"), "mean_iou", "boundary_error", "setup_containment", "mid_sentence_starts")
+
+
+def ablation(reports: dict[str, DataFrame], base: str) -> DataFrame:
+    """(variant, metrics, and each metric less the base's): one-row reports side by side."""
+    out = None
+    for name, report in reports.items():
+        row = report.select(F.lit(name).alias("variant"), *report.columns)
+        out = row if out is None else out.unionByName(row)
+    columns = reports[base].columns
+    first = reports[base].toDF(*[f"_{c}" for c in columns])
+    return out.join(F.broadcast(first)).select("variant", *columns, *[(F.col(c) - F.col(f"_{c}")).alias(f"{c}_delta") for c in columns])
+
+
+def suggested_bounds(rows: DataFrame, positive: Column, raw: Column, scored: Column) -> DataFrame:
+    """(floor, ceiling, delta): the raw score's 5th percentile of the negatives and 95th of the positives, between which a score should run, and the difference of the classes' medians of another form of it, so that forms can be compared."""
+    of = lambda c, where, p: F.percentile(F.when(where, c), p)
+    delta = of(scored, positive, 0.5) - of(scored, ~positive, 0.5)
+    return rows.agg(F.round(of(raw, ~positive, 0.05), 6).alias("floor"), F.round(of(raw, positive, 0.95), 6).alias("ceiling"), F.round(delta, 6).alias("delta"))

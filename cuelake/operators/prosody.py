@@ -11,11 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp01, normalise, semitones
+from .intervals import range_join
 
 RATE, FRAME, HOP = 16_000, 1024, 512
 LOWEST, HIGHEST = 60.0, 400.0
 VOICING, SILENCE = 0.45, 0.02
 LEAST_VOICED, MEDIAN, BATCH = 30, 5, 8192
+#: Frames that are given back at a time; seconds of a cell by which words meet clips.
+FRAMES, CELL = 65_536, 3600.0
 ACOUSTIC = {"pitch_range": 0.40, "energy_delta": 0.30, "pitch_delta": 0.15, "rate_delta": 0.15}
 
 
@@ -59,7 +62,9 @@ def frames(signals: DataFrame, key: str = "video_id", pcm: str = "pcm") -> DataF
         for pdf in batches:
             for k, x in zip(pdf[key], pdf[pcm], strict=True):
                 rms, f0 = contour(x)
-                yield pd.DataFrame({key: k, "frame": np.arange(len(rms)), "rms": rms, "f0": f0})
+                for at in range(0, len(rms), FRAMES):
+                    part = slice(at, at + FRAMES)
+                    yield pd.DataFrame({key: k, "frame": np.arange(len(rms))[part], "rms": rms[part], "f0": f0[part]})
 
     return signals.select(key, pcm).mapInPandas(run, f"{key} {kind}, frame bigint, rms float, f0 float")
 
@@ -101,7 +106,7 @@ def emotional_delta(arc: Column, measured: Column) -> Column:
 
 def rate_delta(words: DataFrame, clips: DataFrame, key: str = "video_id", clip: str = "clip_id") -> DataFrame:
     """(clip, rate_delta): how much the rate of words changes between a clip's halves; no row of fewer than four words."""
-    inside = words.join(clips.select(key, clip, "start_sec", "end_sec"), key).filter("start BETWEEN start_sec AND end_sec")
+    inside = range_join(words, "start", clips.select(key, clip, "start_sec", "end_sec"), key, "start_sec", "end_sec", CELL)
     w = W.partitionBy(clip)
     placed = inside.withColumn("p", F.row_number().over(w.orderBy("start", "end")) - 1).withColumn("n", F.count("*").over(w)).filter("n >= 4").withColumn("h", F.floor(F.col("n") / 2))
     g = placed.groupBy(clip, "n", "h").agg(F.min("start").alias("first"), F.min(F.when(F.col("p") == F.col("h"), F.col("start"))).alias("mid"), F.max(F.when(F.col("p") == F.col("n") - 1, F.col("end"))).alias("last"))

@@ -99,16 +99,6 @@ def heuristic_beats(sentences: DataFrame) -> DataFrame:
     return folded.select("video_id", "beat_type", F.explode("k").alias("k")).select("video_id", "beat_type", "k.*")
 
 
-def candidates(beats: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(video_id, first, last, start_sec, end_sec): a clip for each payoff or turning point with what it needs, if its length is allowed: the needed setup is a hard bound."""
-    seeds = beats.filter("beat_type <> 'hook'").select("video_id", F.least("first", F.coalesce("needs", "first")).alias("first"), "last")
-    s = sentences.select("video_id", F.col("sentence_idx").alias("first"), "start_sec")
-    e = sentences.select("video_id", F.col("sentence_idx").alias("last"), "end_sec")
-    timed = seeds.distinct().join(s, ["video_id", "first"]).join(e, ["video_id", "last"])
-    length = F.col("end_sec") - F.col("start_sec")
-    return timed.filter((length >= MIN_CLIP) & (length <= MAX_CLIP)).select("video_id", "first", "last", "start_sec", "end_sec")
-
-
 def merge_candidates(found: DataFrame, share: float = MERGE_IOU) -> DataFrame:
     """Candidates in order of their start; one that overlaps the last kept by more than the share of sentences gives way to the longer."""
     kind = "array<struct<first:bigint,last:bigint,s:bigint,e:bigint>>"
@@ -131,6 +121,12 @@ def snapped(clips: DataFrame, start_word: str, end_word: str) -> DataFrame:
     return clips.withColumn("new_start", s).withColumn("new_end", e).withColumn("precise", F.col("new_end") > F.col("new_start"))
 
 
+def snap_info(start: Column, end: Column, new_start: Column, new_end: Column, reason: Column) -> Column:
+    """A struct of how far a clip's bounds moved, with their signs, and whether they did."""
+    a, b = F.round(new_start - start, 4), F.round(new_end - end, 4)
+    return F.struct(((a != 0) | (b != 0)).alias("snapped"), a.alias("start_moved_by"), b.alias("end_moved_by"), reason.alias("reason"))
+
+
 def self_containedness(text: Column, dangling: Column) -> Column:
     """1 less 0.35 for each dangling reference (null: not measured) and 0.08 for each pointing word among the first ten."""
     words = F.slice(F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0)), 1, 10)
@@ -153,7 +149,7 @@ def focus_quotes(sentences: DataFrame) -> DataFrame:
     def focus(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sentence_idx")
         n, s, e, at = (pdf[c].to_numpy() for c in ("n_words", "start_sec", "end_sec", "sentence_idx"))
-        empty = pd.DataFrame({"video_id": [], "first": [], "last": [], "n_words": []})
+        empty = pd.DataFrame({"video_id": pd.Series([], dtype=object), "first": [], "last": [], "n_words": []})
         if n.sum() <= FOCUS_WORDS or len(n) < 2:
             return empty
         lo = hi = len(n) // 2
@@ -164,6 +160,6 @@ def focus_quotes(sentences: DataFrame) -> DataFrame:
                 a, b = min(a, lo), max(b, hi)
                 if a >= 0 and b < len(n) and (a, b) != (lo, hi) and n[a : b + 1].sum() <= FOCUS_WORDS and e[b] - s[a] <= FOCUS_SECONDS:
                     lo, hi, grew = a, b, True
-        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]], "first": [at[lo]], "last": [at[hi]], "n_words": [n[lo : hi + 1].sum()]})
+        return pd.DataFrame({"video_id": pd.Series([pdf["video_id"].iloc[0]], dtype=object), "first": [at[lo]], "last": [at[hi]], "n_words": [n[lo : hi + 1].sum()]})
 
     return sentences.select("video_id", "sentence_idx", "n_words", "start_sec", "end_sec").groupBy("video_id").applyInPandas(focus, f"video_id {kinds['video_id']}, first bigint, last bigint, n_words bigint")

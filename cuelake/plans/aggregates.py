@@ -10,14 +10,9 @@ from ..operators import metrics, retrieval
 from ..sources.library import SENTENCES_SQL, sentences, table
 from .registry import query
 
-TERMS_SQL = r"""terms AS (
-  SELECT video_id, sentence_idx, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'n''t\b', ' not', 'gi'), '''re\b', ' are', 'gi'), '''ve\b', ' have', 'gi'), '''ll\b', ' will', 'gi'), '''d\b', ' would', 'gi'), '''m\b', ' am', 'gi'), '[a-z]+')) AS term
-  FROM sent WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))"""
-
-
-def _ascii(spark, sf_dir):
-    """Sentences of ASCII letters alone: engines differ in what ends a word of others."""
-    return sentences(spark, sf_dir).filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+TERMS_SQL = r"""terms AS (SELECT * FROM (
+  SELECT video_id, sentence_idx, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'n''t\b', ' not', 'gi'), '''re\b', ' are', 'gi'), '''ve\b', ' have', 'gi'), '''ll\b', ' will', 'gi'), '''d\b', ' would', 'gi'), '''m\b', ' am', 'gi'), '[\p{L}\p{N}_]+')) AS term
+  FROM sent) WHERE regexp_full_match(term, '[a-zA-Z]+'))"""
 
 
 @query("a01_library_stats", "SELECT count(*) FILTER (o_orderstatus = 'F') AS indexed, count(*) FILTER (o_orderstatus = 'O') AS indexing, count(*) FILTER (o_orderstatus = 'P') AS failed, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice / 100) ELSE 0 END) AS BIGINT) AS seconds, count(*) FILTER (o_orderstatus = 'F') = count(*) AS is_fully_indexed FROM orders")
@@ -27,10 +22,10 @@ def library_stats(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.count_if(s == "F").alias("indexed"), F.count_if(s == "O").alias("indexing"), F.count_if(s == "P").alias("failed"), F.sum(F.when(s == "F", F.floor(F.col("o_totalprice") / 100)).otherwise(0)).alias("seconds"), (F.count_if(s == "F") == F.count("*")).alias("is_fully_indexed"))
 
 
-@query("a02_idf", "SELECT term, count(*) AS df, round(ln((n + 1.0) / (count(*) + 1)) + 1, 6) AS idf FROM (SELECT DISTINCT video_id, sentence_idx, term FROM terms), (SELECT count(*) AS n FROM sent WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY term, n", SENTENCES_SQL, TERMS_SQL)
+@query("a02_idf", "SELECT term, count(*) AS df, round(ln((n + 1.0) / (count(*) + 1)) + 1, 6) AS idf FROM (SELECT DISTINCT video_id, sentence_idx, term FROM terms), (SELECT count(*) AS n FROM sent) GROUP BY term, n", SENTENCES_SQL, TERMS_SQL)
 def idf(spark, sf_dir):
     """Each term's sentences and inverse frequency."""
-    return retrieval.idf(_ascii(spark, sf_dir), "text").select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.idf(sentences(spark, sf_dir), "text").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("a03_bm25_stats", """SELECT (SELECT count(*) FROM sent) AS n, (SELECT round(avg(len(regexp_extract_all(lower(text), '[a-z0-9'']+'))), 6) FROM sent) AS avgdl, count(DISTINCT t) AS terms FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS t FROM sent)""", SENTENCES_SQL)
@@ -95,11 +90,37 @@ def contour(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.percentile(v, 0.5), 6).alias("median"), F.round(F.percentile(v, 0.9) - F.percentile(v, 0.1), 6).alias("range"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("peak"), F.round(F.count_if(v > 20) / F.count("*"), 6).alias("voiced"))
 
 
-@query("a12_retrieval_metrics", """SELECT source, avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END) AS r1, avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END) AS r3, avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END) AS r5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT source, CASE WHEN doc_id % 7 < 5 THEN doc_id % 7 + 1 END AS r FROM documents) GROUP BY 1""")
+_RESULTS_SQL = "res AS (SELECT item_id AS query, row_number() OVER (PARTITION BY item_id ORDER BY (video_id * 31 + item_id * 17 + sentence_idx) % 101, video_id, sentence_idx) AS rank, video_id, start_sec, end_sec, n_words AS words FROM benchmark b JOIN sent ON video_id % 10 = item_id % 10 QUALIFY rank <= 5)"
+_EXPECTED_SQL = "exp AS (SELECT item_id AS query, CASE WHEN item_id % 4 < 3 THEN item_id % 10 END AS video_id, CASE WHEN item_id % 4 < 3 THEN item_id % 7 * 10 END AS a, CASE WHEN item_id % 4 < 3 THEN item_id % 7 * 10 + 15 END AS b FROM benchmark)"
+
+
+def _results(spark, sf_dir):
+    """Five results a benchmark item from every tenth video, in an order by numbers, and windows that three of four items expect."""
+    b, s = table(spark, sf_dir, "benchmark"), sentences(spark, sf_dir)
+    met = b.select("item_id", (F.col("item_id") % 10).alias("m")).join(s.withColumn("m", F.col("video_id") % 10), "m")
+    order = W.partitionBy("item_id").orderBy((F.col("video_id") * 31 + F.col("item_id") * 17 + F.col("sentence_idx")) % 101, "video_id", "sentence_idx")
+    found = met.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select(F.col("item_id").alias("query"), "rank", "video_id", "start_sec", "end_sec", F.col("n_words").alias("words"))
+    i = F.col("item_id")
+    of = lambda c: F.when(i % 4 < 3, c)
+    return found, b.select(i.alias("query"), of(i % 10).alias("video_id"), of(i % 7 * 10).alias("a"), of(i % 7 * 10 + 15).alias("b"))
+
+
+@query("a12_retrieval_metrics", """SELECT count(video_id) AS n_positive, count(*) - count(video_id) AS n_negative, round(avg(CASE WHEN coalesce(rank, 9) <= 1 THEN 1.0 ELSE 0 END) FILTER (pos), 6) AS recall_1, round(avg(CASE WHEN coalesce(rank, 9) <= 3 THEN 1.0 ELSE 0 END) FILTER (pos), 6) AS recall_3, round(avg(CASE WHEN coalesce(rank, 9) <= 5 THEN 1.0 ELSE 0 END) FILTER (pos), 6) AS recall_5,
+  round(avg(coalesce(1.0 / rank, 0)) FILTER (pos), 6) AS mrr, round(avg(greatest(0, a - s, s - b)) FILTER (pos AND rank IS NOT NULL), 6) AS seek_error, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0 END) FILTER (NOT pos), 6) AS false_positive_rate, round(avg(n) FILTER (pos), 6) AS mean_results, round(sum(w) FILTER (pos) / sum(n) FILTER (pos), 6) AS mean_quote_words, max(longest) FILTER (pos) AS max_quote_words
+FROM (SELECT e.*, e.video_id IS NOT NULL AS pos, h.rank, h.s, coalesce(c.n, 0) AS n, c.w, c.longest FROM exp e
+  LEFT JOIN (SELECT r.query, min(rank) AS rank, arg_min(start_sec, rank) AS s FROM res r JOIN exp e ON r.query = e.query AND r.video_id = e.video_id AND r.start_sec <= e.b AND e.a <= r.end_sec GROUP BY 1) h USING (query)
+  LEFT JOIN (SELECT query, count(*) AS n, sum(words) AS w, max(words) AS longest FROM res GROUP BY 1) c USING (query))""", SENTENCES_SQL, _RESULTS_SQL, _EXPECTED_SQL)
 def retrieval_metrics(spark, sf_dir):
-    """Recall at 1, 3 and 5, and the mean reciprocal rank; a query without a hit counts as zero."""
-    r = F.when(F.col("doc_id") % 7 < 5, F.col("doc_id") % 7 + 1)
-    return table(spark, sf_dir, "documents").groupBy("source").agg(*[metrics.recall_at(r, k).alias(f"r{k}") for k in (1, 3, 5)], F.round(metrics.mean_reciprocal_rank(r), 6).alias("mrr"))
+    """Recall, reciprocal rank, seek error, false positives and volume of a search's results."""
+    report = metrics.retrieval_report(*_results(spark, sf_dir))
+    return report.select([F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in report.dtypes])
+
+
+@query("m12_ranker_ablation")
+def ranker_ablation(spark, sf_dir):
+    """The same report of all results and of those at odd ranks alone, side by side."""
+    found, expected = _results(spark, sf_dir)
+    return metrics.ablation({"all": metrics.retrieval_report(found, expected), "odd": metrics.retrieval_report(found.filter("rank % 2 = 1"), expected)}, "all")
 
 
 @query("a14_nearest_rank", """SELECT source, percent, n_chars FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents), (SELECT unnest([5, 50, 95, 99]) AS percent) WHERE p = round_even(percent / 100.0::DOUBLE * (n - 1), 0)""")
@@ -143,12 +164,18 @@ def merged_notes(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"))
 
 
-@query("a13_clip_metrics", """SELECT lang, avg(CASE WHEN n_chars >= 800 THEN 1.0 ELSE 0 END) AS coverage, round(avg(iou) FILTER (n_chars >= 800), 6) AS mean_iou FROM (SELECT lang, n_chars, least(n_chars, 2000) / greatest(n_chars, 2000)::DOUBLE AS iou FROM documents) GROUP BY 1""")
+@query("a13_clip_metrics", """SELECT (SELECT count(*) FROM ex) AS examples, (SELECT count(*) FROM cand) AS candidates, round(count(*) / (SELECT count(*) FROM ex)::DOUBLE, 6) AS coverage, round(avg(iou), 6) AS mean_iou, round(avg((abs(start_sec - a) + abs(end_sec - b)) / 2.0), 6) AS boundary_error, round(avg(CASE WHEN setup IS NULL THEN NULL WHEN first <= setup THEN 1.0 ELSE 0 END), 6) AS setup_containment,
+  (SELECT round(avg(CASE WHEN s.video_id IS NULL THEN 1.0 ELSE 0 END), 6) FROM cand c LEFT JOIN (SELECT DISTINCT video_id, start_sec FROM sent) s ON c.video_id = s.video_id AND c.start_sec = s.start_sec) AS mid_sentence_starts
+FROM (SELECT *, shared / (greatest(end_sec, b) - least(start_sec, a))::DOUBLE AS iou FROM (SELECT *, greatest(0, least(end_sec, b) - greatest(start_sec, a)) AS shared FROM ex JOIN cand USING (video_id)) WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY example ORDER BY shared / (greatest(end_sec, b) - least(start_sec, a))::DOUBLE DESC, start_sec, end_sec, first) = 1)""", SENTENCES_SQL,
+  "cand AS (SELECT video_id, sentence_idx AS first, start_sec + CASE WHEN sentence_idx % 3 = 1 THEN 1 ELSE 0 END AS start_sec, end_sec + 7 AS end_sec FROM sent WHERE role = 'user')", "ex AS (SELECT video_id * 1000 + sentence_idx AS example, video_id, start_sec AS a, end_sec + 12 AS b, CASE WHEN sentence_idx > 1 THEN sentence_idx - 1 END AS setup FROM sent WHERE role = 'assistant')")
 def clip_metrics(spark, sf_dir):
-    """Coverage, and the mean overlap of what is covered."""
-    c = F.col("n_chars")
-    share = F.least(c, F.lit(2000)) / F.greatest(c, F.lit(2000))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.avg((c >= 800).cast("double")).alias("coverage"), F.round(F.avg(F.when(c >= 800, share)), 6).alias("mean_iou"))
+    """Users' turns, some of them late, as clips for what the assistants say: coverage, overlap, bounds, setups, clean starts."""
+    s = sentences(spark, sf_dir)
+    i = F.col("sentence_idx")
+    clips = s.filter("role = 'user'").select("video_id", i.alias("first"), (F.col("start_sec") + F.when(i % 3 == 1, 1).otherwise(0)).alias("start_sec"), (F.col("end_sec") + 7).alias("end_sec"))
+    examples = s.filter("role = 'assistant'").select((F.col("video_id") * 1000 + i).alias("example"), "video_id", F.col("start_sec").alias("a"), (F.col("end_sec") + 12).alias("b"), F.when(i > 1, i - 1).alias("setup"))
+    report = metrics.clip_report(clips, examples, s.select("video_id", "start_sec"))
+    return report.select([F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in report.dtypes])
 
 
 @query("a22_throttle_snapshot", "SELECT event_type AS bucket, count(*) AS calls FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 1 HOUR AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, texts
-from ..operators import retrieval, selection
+from ..operators import retrieval, selection, solver
 from ..operators.intervals import as_of
 from ..sources.library import SENTENCES_SQL, WORDS_SQL, sentences, table, words
+from .aggregates import TERMS_SQL
 from .registry import query
 
 
@@ -28,11 +29,11 @@ def beats(spark, sf_dir):
 
 @query("n07_candidates")
 def candidates(spark, sf_dir):
-    """Merged clip candidates of allowed length: users' turns with their answers, which need the turn before."""
+    """Merged clip candidates of allowed length by the solver: users' turns with their answers, which need the turn before."""
     s = sentences(spark, sf_dir)
     at = F.col("sentence_idx")
     beats = s.filter("role = 'user'").select("video_id", F.lit("payoff").alias("beat_type"), at.alias("first"), (at + 1).alias("last"), F.when(at > 0, at - 1).alias("needs"))
-    return selection.merge_candidates(selection.candidates(beats.unionByName(selection.heuristic_beats(s)), s))
+    return selection.merge_candidates(solver.solve(s, beats.unionByName(selection.heuristic_beats(s))))
 
 
 @query("n11_snapped", """SELECT o_orderkey, CASE WHEN abs(after - t) <= 1.2 THEN greatest(0.0, after - 0.12) ELSE t END AS new_start, CASE WHEN abs(before - e) <= 1.2 THEN before + 0.25 ELSE e END AS new_end FROM (
@@ -53,11 +54,10 @@ def self_contained(spark, sf_dir):
     return s.select("video_id", "sentence_idx", F.round(selection.self_containedness(F.col("text"), F.col("sentence_idx") % 2), 6).alias("score"))
 
 
-@query("g04_quotability", """SELECT video_id, sentence_idx, round(coalesce(greatest(0.0, least(1.0, (avg(idf) - 4.0) / 2.3)), 0.2), 5) AS score FROM (SELECT video_id, sentence_idx, term FROM terms) JOIN (SELECT term, ln((n + 1.0) / (count(*) + 1)) + 1 AS idf FROM (SELECT DISTINCT video_id, sentence_idx, term FROM terms), (SELECT count(*) AS n FROM sent WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY term, n) USING (term) GROUP BY 1, 2""", SENTENCES_SQL,
-  r"terms AS (SELECT video_id, sentence_idx, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM sent WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))")
+@query("g04_quotability", """SELECT video_id, sentence_idx, round(coalesce(greatest(0.0, least(1.0, (avg(idf) - 4.0) / 2.3)), 0.2), 5) AS score FROM terms JOIN (SELECT term, ln((n + 1.0) / (count(*) + 1)) + 1 AS idf FROM (SELECT DISTINCT video_id, sentence_idx, term FROM terms), (SELECT count(*) AS n FROM sent) GROUP BY term, n) USING (term) GROUP BY 1, 2""", SENTENCES_SQL, TERMS_SQL)
 def quotability(spark, sf_dir):
     """The mean inverse frequency of a sentence's terms, between 4.0 and 6.3."""
-    s = sentences(spark, sf_dir).filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    s = sentences(spark, sf_dir)
     each = s.select("video_id", "sentence_idx", F.explode(texts.terms(F.col("text"))).alias("term"))
     mean = each.join(retrieval.idf(s, "text"), "term").groupBy("video_id", "sentence_idx").agg(F.avg("idf").alias("m"))
     return mean.select("video_id", "sentence_idx", F.round(numbers.normalise(F.col("m"), 4.0, 6.3), 5).alias("score"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..operators import dependencies
 from ..operators.intervals import as_of, range_join
 from ..operators.sequences import context
 from ..sources.library import SENTENCES_SQL, WORDS_SQL, sentences, table, words
@@ -66,15 +68,14 @@ def beat_type(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct(rank, "event_id")).alias("kind"))
 
 
-@query("j08_dependency_closure", """SELECT video_id, sentence_idx, CAST(CASE WHEN sentence_idx = 0 THEN 0 ELSE floor(log2(sentence_idx)) + 1 END AS BIGINT) AS steps FROM sent""", SENTENCES_SQL)
+@query("j08_dependency_closure", """, reach AS (SELECT video_id, sentence_idx, needs FROM need WHERE needs IS NOT NULL UNION SELECT r.video_id, r.sentence_idx, n.needs FROM reach r JOIN need n ON n.video_id = r.video_id AND n.sentence_idx = r.needs WHERE n.needs IS NOT NULL)
+SELECT video_id, sentence_idx, min(needs) AS earliest FROM reach GROUP BY 1, 2""", SENTENCES_SQL, "need AS (SELECT video_id, sentence_idx, CASE WHEN role = 'user' OR n_words % 3 = 0 THEN (sentence_idx * 7 + n_words) % count(*) OVER (PARTITION BY video_id) END AS needs FROM sent)")
 def closure(spark, sf_dir):
-    """How many dependencies lead from each sentence to the first, if each needs the one at half its place: doubling over the edges."""
-    s = sentences(spark, sf_dir).select("video_id", "sentence_idx")
-    path = s.select("video_id", "sentence_idx", F.floor(F.col("sentence_idx") / 2).alias("at"), F.when(F.col("sentence_idx") > 0, 1).otherwise(0).cast("bigint").alias("steps"))
-    for _ in range(5):  # twice as far each time: 32 steps back, and a place is halved no more often in 2^32 sentences
-        there = path.select("video_id", F.col("sentence_idx").alias("at"), F.col("at").alias("then"), F.col("steps").alias("more"))
-        path = path.join(there, ["video_id", "at"], "left").select("video_id", "sentence_idx", F.coalesce("then", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-    return path.select("video_id", "sentence_idx", "steps")
+    """The earliest turn that each needs, over all that those need in turn, cycles among them."""
+    size = F.count("*").over(W.partitionBy("video_id"))
+    i = F.col("sentence_idx")
+    needs = F.when((F.col("role") == "user") | (F.col("n_words") % 3 == 0), (i * 7 + F.col("n_words")) % size)
+    return dependencies.earliest_needed(sentences(spark, sf_dir).select("video_id", "sentence_idx", needs.alias("needs")))
 
 
 @query("j09_as_of", """SELECT o_orderkey, (SELECT max(e."end") FROM wrd e WHERE e.video_id = o.v AND e."end" <= o.t) AS before, (SELECT min(e.start) FROM wrd e WHERE e.video_id = o.v AND e.start >= o.t) AS after
@@ -131,13 +132,14 @@ def labels(spark, sf_dir):
     return j.groupBy("quality").agg(F.count("*").alias("labels"), F.count_if(F.col("found").isNull()).alias("unmatched"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
 
 
-@query("j15_dangling", """SELECT video_id, sentence_idx, CASE WHEN sentence_idx % 4 = 3 AND sentence_idx >= 1 THEN [sentence_idx] ELSE [] END AS dangling FROM sent WHERE sentence_idx % 4 >= 2""", SENTENCES_SQL)
+@query("j15_dangling", """SELECT c.video_id, c.sentence_idx AS first, c.sentence_idx + 3 AS last, coalesce(list_sort(list(n.sentence_idx) FILTER (n.needs < c.sentence_idx)), []) AS dangling
+FROM sent c LEFT JOIN need n ON n.video_id = c.video_id AND n.sentence_idx BETWEEN c.sentence_idx AND c.sentence_idx + 3 GROUP BY 1, 2""", SENTENCES_SQL, "need AS (SELECT video_id, sentence_idx, sentence_idx - 1 - n_words % 3 AS needs FROM sent WHERE role = 'assistant' AND sentence_idx > 2)")
 def dangling(spark, sf_dir):
-    """Of clips that begin at each sentence, the openings whose need lies before them."""
-    s = sentences(spark, sf_dir).filter("sentence_idx % 4 >= 2")
-    needs = F.when(F.col("sentence_idx") % 4 == 3, F.col("sentence_idx") - 1)
-    out = F.when(needs < F.col("sentence_idx"), F.array("sentence_idx")).otherwise(F.array().cast("array<bigint>"))
-    return s.select("video_id", "sentence_idx", out.alias("dangling"))
+    """Of clips of four turns from each on, the turns that need one before the clip."""
+    s = sentences(spark, sf_dir)
+    i = F.col("sentence_idx")
+    needs = s.filter("role = 'assistant' AND sentence_idx > 2").select("video_id", "sentence_idx", (i - 1 - F.col("n_words") % 3).alias("needs"))
+    return dependencies.dangling(s.select("video_id", i.alias("first"), (i + 3).alias("last")), needs)
 
 
 @query("j17_orphans", "SELECT doc_id, 'no label' AS why FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'no document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import ranking, retrieval, sequences
+from ..operators import retrieval
+from ..operators import search as found
 from ..sources.library import SENTENCES_SQL, sentences, table
 from .registry import query
 
@@ -59,23 +60,38 @@ def fusion(spark, sf_dir):
 @query("r03_tfidf", r"""SELECT item_id, doc_id, round(s, 6) AS score FROM (SELECT item_id, doc_id, sum(q.w * d.w) AS s FROM
   (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM (SELECT item_id, term, tf * (ln((n + 1.0) / (df + 1)) + 1) AS w FROM (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM benchmark) GROUP BY 1, 2) JOIN df USING (term), (SELECT count(*) AS n FROM small))) q
   JOIN (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM (SELECT doc_id, term, tf * (ln((n + 1.0) / (df + 1)) + 1) AS w FROM dt JOIN df USING (term), (SELECT count(*) AS n FROM small))) d USING (term) GROUP BY 1, 2)""",
-  "small AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND text IS NOT NULL)", "dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM small) GROUP BY 1, 2)", "df AS (SELECT term, count(*) AS df FROM dt GROUP BY 1)")
+  "small AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)", "dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM small) GROUP BY 1, 2)", "df AS (SELECT term, count(*) AS df FROM dt GROUP BY 1)")
 def tfidf(spark, sf_dir):
     """The TF-IDF cosine of each query with each document that shares a term."""
-    return retrieval.tfidf(table(spark, sf_dir, "documents").filter("lang = 'en' AND text IS NOT NULL"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 6))
+    return retrieval.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 6))
+
+
+@query("r06_hybrid", """SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT item_id, doc_id, round(sum(1.0 / (60 + r)), 8) AS score FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 8) DESC, doc_id) AS r FROM lexical UNION ALL
+    SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 8) DESC, d.doc_id) FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e JOIN documents d ON d.doc_id = e.vec_id)
+  WHERE r <= 1000 GROUP BY 1, 2)) WHERE rank <= 30""",
+  "post AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS t FROM documents))", "tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM post GROUP BY ALL)",
+  "size AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+'))) AS avgdl FROM documents)", "raw AS (SELECT term, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), size)",
+  "weight AS (SELECT term, avgdl, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw)", "asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM benchmark) GROUP BY 1, 2)",
+  "lexical AS (SELECT item_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked JOIN tf USING (term) JOIN weight USING (term) GROUP BY 1, 2)")
+def hybrid(spark, sf_dir):
+    """Each benchmark item's 30 documents by dense and lexical rank together; documents without a vector have a lexical rank alone."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    b, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
+    lexical = retrieval.bm25(d, ["doc_id"], "text", b, "item_id", "text")
+    asked = b.join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")), "item_id").select("item_id", "v")
+    vectors = e.withColumnRenamed("vec_id", "doc_id").join(d.select("doc_id"), "doc_id", "left_semi")
+    dense = retrieval.dense(asked, "item_id", "v", vectors, "doc_id", "embedding")
+    return found.fused(lexical, dense, "item_id", ["doc_id"]).select("item_id", "rank", "doc_id", "score")
 
 
 @query("r09_results")
 def results(spark, sf_dir):
-    """Search end to end: pool, context windows, merged ranges, suppression, display gates."""
+    """Search end to end: pool, sentences around, merged ranges, suppression, gates, near misses. A score is the share of the query's best."""
     s = sentences(spark, sf_dir)
-    pool = retrieval.top(_bm25(spark, sf_dir).withColumn("score", F.round("score", 8)), "item_id", ["video_id", "sentence_idx"])
-    best = pool.groupBy("item_id").agg(F.max("score").alias("top"))
-    spans = s.select("video_id", "sentence_idx", F.lag("start_sec", 1).over(W.partitionBy("video_id").orderBy("sentence_idx")).alias("b"), F.lead("end_sec", 1).over(W.partitionBy("video_id").orderBy("sentence_idx")).alias("a"), "start_sec", "end_sec")
-    wide = pool.join(best, "item_id").join(spans, ["video_id", "sentence_idx"]).select("item_id", "video_id", F.greatest(F.lit(0), F.col("sentence_idx") - 1).alias("first"), (F.col("sentence_idx") + 1).alias("last"), F.coalesce("b", "start_sec").alias("start_sec"), F.coalesce("a", "end_sec").alias("end_sec"), (F.col("score") / F.col("top")).alias("score"))
-    merged = sequences.islands(wide, ["item_id", "video_id"])
-    kept = ranking.suppress_overlapping(merged, ["item_id", "video_id"], "first")
-    return ranking.display_gates(kept, "video_id", ["first"], per=["item_id"]).select("item_id", "video_id", "first", F.round("score", 6).alias("score"), "start_sec", "end_sec")
+    pool = found.fused(_bm25(spark, sf_dir), None, "item_id", ["video_id", "sentence_idx"])
+    wide = found.merged(pool.withColumn("score", F.col("score") / F.max("score").over(W.partitionBy("item_id"))), s, "item_id")
+    return found.decide(wide, "item_id", 5).withColumn("score", F.round("score", 6))
 
 
 @query("r11_focus_quote")

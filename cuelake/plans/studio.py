@@ -46,7 +46,7 @@ def pitch(spark, sf_dir):
     """Loudness and pitch of a synthetic second of voice for each supplier."""
     n = F.sequence(F.lit(0), F.lit(15_999))
     tone = F.transform(n, lambda i: (F.sin(i * (2 * 3.141592653589793 / 16_000) * (100 + F.col("s_suppkey") % 8 * 25)) * 0.5).cast("float"))
-    return prosody.frames(table(spark, sf_dir, "supplier").filter("s_suppkey <= 8").select(F.col("s_suppkey").alias("video_id"), tone.alias("pcm")))
+    return prosody.frames(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("video_id"), tone.alias("pcm")))
 
 
 @query("g03_rate_delta", """SELECT video_id AS clip_id, round(greatest(0.0, least(1.0, abs(w2 - w1) / greatest(w1, w2, 1.0))), 6) AS rate_delta FROM (

@@ -27,10 +27,10 @@ def count_windows(spark, sf_dir):
     return sequences.count_windows(table(spark, sf_dir, "documents"), "source", "doc_id", 60, 10)
 
 
-@query("w05_islands", """SELECT video_id, g, min(sentence_idx) AS first, max(sentence_idx) AS last, min(start_sec) AS start_sec, max(end_sec) AS end_sec FROM (SELECT *, sentence_idx - row_number() OVER (PARTITION BY video_id ORDER BY sentence_idx) AS g FROM sent WHERE sentence_idx % 3 < 2 AND n_words <= 40) GROUP BY 1, 2 HAVING max(end_sec) - min(start_sec) <= 90""", SENTENCES_SQL)
+@query("w05_islands", """SELECT video_id, g, min(sentence_idx) AS first, max(sentence_idx) AS last, min(start_sec) AS start_sec, max(end_sec) AS end_sec FROM (SELECT *, sentence_idx - row_number() OVER (PARTITION BY video_id ORDER BY sentence_idx) AS g FROM sent WHERE n_words <= 40) GROUP BY 1, 2 HAVING max(end_sec) - min(start_sec) <= 90""", SENTENCES_SQL)
 def island_merge(spark, sf_dir):
     """Runs of neighbouring short sentences."""
-    s = sentences(spark, sf_dir).filter("sentence_idx % 3 < 2 AND n_words <= 40")
+    s = sentences(spark, sf_dir).filter("n_words <= 40")
     g = F.col("sentence_idx") - F.row_number().over(W.partitionBy("video_id").orderBy("sentence_idx"))
     runs = s.withColumn("g", g).groupBy("video_id", "g").agg(F.min("sentence_idx").alias("first"), F.max("sentence_idx").alias("last"), F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"))
     return runs.filter("end_sec - start_sec <= 90")

@@ -25,7 +25,7 @@ def test_library(spark, tmp_path):
     lib.ingest("a", "Again", segments(spark, ["Should not be added here."]))
     assert {(r.id, r.chunk_count) for r in lib.videos().collect()} == {("a", 5), ("b", 3)}
     found = lib.search("sourdough bread").collect()
-    assert found[0].video_id == "a" and "fermentation" in found[0].text and found[0].confidence == "strong"
+    assert found[0].video_id == "a" and "fermentation" in found[0].text and found[0].confidence == "unranked"
     assert lib.search("").count() == 0 and lib.search("zebra").count() == 0
     assert 0 < lib.suggested_queries().count() <= 4
     lib.analyse("a")

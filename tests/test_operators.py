@@ -98,7 +98,8 @@ def test_beats_and_candidates(spark):
     table = spark.createDataFrame([(1, k, t, 10 * k, 10 * k + 10) for k, t in enumerate(said)], "video_id bigint, sentence_idx bigint, text string, start_sec bigint, end_sec bigint")
     beats = selection.heuristic_beats(table)
     assert sorted((r.beat_type, r.first, r.last, r.needs) for r in beats.collect() if r.beat_type != "hook") == [("payoff", 1, 2, 1), ("turning_point", 4, 4, 3)]
-    assert sorted((r.first, r.last) for r in selection.merge_candidates(selection.candidates(beats, table)).collect()) == [(1, 2), (3, 4)]
+    found = spark.createDataFrame([(1, 1, 2, 10, 30), (1, 3, 4, 30, 50), (1, 3, 5, 30, 60)], "video_id bigint, first bigint, last bigint, start_sec bigint, end_sec bigint")
+    assert sorted((r.first, r.last) for r in selection.merge_candidates(found).collect()) == [(1, 2), (3, 5)]
 
 
 def test_as_of_is_the_plain_search(spark):
