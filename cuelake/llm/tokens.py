@@ -15,16 +15,22 @@ Whether a vocabulary file behaves so is tried on probe texts when it is loaded;
 from __future__ import annotations
 
 import os
+import threading
+import time
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a task remembers at most: two generations of half as many. When the young one is full it becomes the
-#: old one; words of the old one that come again are young again. With LONG_WORD this bounds the bytes, to 60 MB at most and 25 MB as a rule.
-MOST_WORDS = 200_000
+from .text import tidy
+
+#: Words whose ids a process remembers at most: two generations of half as many. When the young one is full it becomes the
+#: old one; words of the old one that come again are young again. With LONG_WORD this bounds the bytes, to 140 MB at most and 60 MB as a rule.
+MOST_WORDS = 500_000
 #: Words longer than this many bytes are not remembered.
 LONG_WORD = 64
+#: Seconds without a text after which a process lets its tokenizer go.
+IDLE = 4.0
 #: Words that are encoded together, and bytes of text whose words are made distinct together.
 TOGETHER = 8192
 TOGETHER_CHARS = 6_000_000
@@ -159,6 +165,7 @@ class WordTokenizer:
 
     def many(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids; null counts as empty. Works on so many texts at a time as have TOGETHER_CHARS, one at least."""
+        _state["used"] = time.monotonic()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         out, at = [], 0
@@ -172,10 +179,40 @@ class WordTokenizer:
         return np.frombuffer(self.many(pa.array([text], pa.string()))[0], self.dtype)
 
 
+_lock = threading.Lock()
+_kept: dict[str, WordTokenizer] = {}
+_state = {"used": 0.0, "watched": False}
+
+
 def tokenizer(name: str) -> WordTokenizer:
-    """The tokenizer of a vocabulary file, given by a path or a name among the public ones. A task makes its own, which goes with it: what it remembers doesn't stay in a worker that waits for other stages."""
-    if "/" in name:
-        return WordTokenizer(name)
+    """The process's tokenizer of a vocabulary file, given by a path or a name among the public ones, with what it remembers.
+
+    Tasks that follow each other share it; once no text has come for IDLE seconds it goes, so that a worker that serves
+    other stages doesn't hold it.
+    """
+    with _lock:
+        _state["used"] = time.monotonic()
+        if name not in _kept:
+            _kept.clear()
+            _kept[name] = WordTokenizer(name if "/" in name else _public(name))
+        if not _state["watched"]:
+            _state["watched"] = True
+            threading.Thread(target=_let_go, daemon=True).start()
+        return _kept[name]
+
+
+def _public(name: str) -> str:
     import public_tokenizers
 
-    return WordTokenizer(public_tokenizers.path(name))
+    return public_tokenizers.path(name)
+
+
+def _let_go() -> None:
+    while True:
+        time.sleep(IDLE / 4)
+        with _lock:
+            if time.monotonic() - _state["used"] > IDLE:
+                _kept.clear()
+                _state["watched"] = False
+                break
+    tidy()

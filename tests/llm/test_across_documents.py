@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -176,6 +177,17 @@ def fast():
     return tokens.tokenizer("word_bpe_49k.json")
 
 
+def test_an_idle_tokenizer_goes(monkeypatch):
+    monkeypatch.setattr(tokens, "IDLE", 0.2)
+    tokens._kept.clear()
+    tokens._state["watched"] = False
+    of = tokens.tokenizer("word_bpe_49k.json")
+    assert tokens.tokenizer("word_bpe_49k.json") is of and of.ids("some words").size
+    time.sleep(0.6)
+    assert not tokens._kept and of.ids("some words").size
+    assert tokens.tokenizer("word_bpe_49k.json") is not of
+
+
 def test_vocabularies_of_other_habits_encode_whole_texts(monkeypatch, tmp_path):
     """One that keeps capitals apart: its own words, cut at white space."""
     from tokenizers import Tokenizer, models, pre_tokenizers
