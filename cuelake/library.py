@@ -6,6 +6,8 @@ that fails leaves the one before. Paths go through Spark's file systems alone.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from collections.abc import Callable
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import times
 from .functions.texts import word_count
-from .operators import concepts, mutation, ranking, retrieval, search, selection, solver
+from .operators import concepts, mutation, ranking, retrieval, search, selection, solver, tools
 from .sources.segmenting import segment
 
 SCHEMAS = {
@@ -175,6 +177,36 @@ class Library:
         message = "No relevance model is there: results are unranked." if degraded else "This library has no pictures of moments yet." if no_pictures else None
         return {"query": query, "results": found["result"], "near_misses": found["near_miss"], "execution_time_ms": round((time.perf_counter() - began) * 1000, 2), "total_chunks_scanned": self.table("chunks").count(), "library_video_count": self.table("videos").count(), "search_mode": mode, "degraded": degraded, "message": message}
 
+    def _spent(self, tool_id: str, spent: dict, now: float) -> None:
+        row = (tool_id, int(spent.get("prompt_tokens") or 0), int(spent.get("completion_tokens") or 0), spent.get("model"), now)
+        self.record_usage(self.spark.createDataFrame([row], SCHEMAS["usage"]))
+
+    def run_tool(self, known: dict[str, tools.Tool], tool_id: str, inputs: dict, now: float, profile: str = "", banned: tuple[str, ...] = ()) -> dict:
+        """A tool's output without banned phrases, recorded with its tokens; refused for too long an input or too many runs in the last hour."""
+        if tool_id not in known:
+            raise tools.ToolError(f"no tool {tool_id}")
+        tools.allowed(known[tool_id].words(inputs), self.usage(now).first()["hour"])
+        output, spent = known[tool_id].run(inputs, profile)
+        output, found = tools.without(output, list(banned))
+        output = output | {"guardrail_notes": {"banned_words_removed": found}} if found else output
+        self._spent(tool_id, spent, now)
+        run_id = f"run-{hashlib.sha1(f'{tool_id}|{now}|{json.dumps(inputs, sort_keys=True)}'.encode()).hexdigest()[:12]}"
+        self.record("runs", self.spark.createDataFrame([(run_id, tool_id, json.dumps(inputs), json.dumps(output), now)], SCHEMAS["runs"]), "created_at", MOST_RUNS)
+        return output | {"run_id": run_id, "tool_id": tool_id}
+
+    def regenerate(self, known: dict[str, tools.Tool], run_id: str, block: str, now: float, profile: str = "", banned: tuple[str, ...] = ()) -> dict:
+        """A recorded run's output with one block made anew."""
+        run = self.table("runs").filter(F.col("id") == run_id).first()
+        if run is None or run["tool_id"] not in known:
+            raise tools.ToolError(f"no run {run_id} of a known tool")
+        tools.allowed(0, self.usage(now).first()["hour"])
+        new, spent = known[run["tool_id"]].block(json.loads(run["inputs"]), block, profile)
+        output = json.loads(run["output"]) | {block: tools.without(new, list(banned))[0]}
+        self._spent(run["tool_id"], spent, now)
+        rows = self.table("runs")
+        self.write("runs", mutation.update(rows, F.col("id") == run_id, output=F.lit(json.dumps(output))))
+        return output | {"run_id": run_id, "tool_id": run["tool_id"]}
+
     def job(self, job_id: str) -> DataFrame:
         return self.table("jobs").filter(F.col("id") == job_id)
 

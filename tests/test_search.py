@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelake.library import Library
-from cuelake.operators import captions, contract, dependencies, metrics, ranking, retrieval, search, studio
+from cuelake.operators import captions, contract, dependencies, metrics, ranking, retrieval, search, studio, tools
 
 from .test_library import segments
 
@@ -213,3 +213,19 @@ def test_captions_shrink_to_the_picture(spark):
 def test_whole_phrases_alone_are_banned(spark):
     held = spark.range(1).select(studio.banned_words(F.lit("Synergy! and synergyx"), ["synergy"]).alias("b")).first()
     assert held.b == ["synergy"]
+
+
+def test_tools_run_and_make_blocks_anew(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    made = iter(range(9))
+    run = lambda inputs, profile: ({"title": f"Synergy {inputs['t']} {next(made)}", "tags": ["synergy", "x"]}, {"prompt_tokens": 3, "model": "m"})
+    known = {"notes": tools.Tool(run, lambda i: len(i["t"].split()))}
+    first = lib.run_tool(known, "notes", {"t": "bread"}, 100.0, banned=("synergy",))
+    assert first["title"] == "bread 0" and first["tags"] == ["", "x"] and first["guardrail_notes"] == {"banned_words_removed": ["synergy"]}
+    again = lib.regenerate(known, first["run_id"], "title", 200.0)
+    assert again["title"] == "Synergy bread 1" and again["tags"] == ["", "x"]
+    assert json.loads(lib.table("runs").first()["output"])["title"] == "Synergy bread 1"
+    assert lib.usage(200.0).first()["hour"] == 2
+    for bad in (lambda: lib.run_tool(known, "none", {}, 1.0), lambda: lib.run_tool(known, "notes", {"t": "w " * 15_001}, 1.0), lambda: lib.regenerate(known, "run-x", "title", 1.0)):
+        with pytest.raises(tools.ToolError):
+            bad()
