@@ -1,7 +1,9 @@
 """A library of videos as tables in a folder: what an application calls.
 
-Each table is a folder of numbered versions; a change writes the next version and readers take the last, so that a write
-that fails leaves the one before. Paths go through Spark's file systems alone.
+Each table is a folder of numbered generations, each written whole. A table of videos is dealt to parts by a hash of the
+video's id, and each part of its last generation has versions of its own: what one video changes is written as its part's
+next version alone. Readers take the last version that was written to its end, so that a write that fails leaves the one
+before, until ``vacuum`` removes what newer ones replace. Paths go through Spark's file systems alone.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,35 +33,102 @@ SCHEMAS = {
     "runs": "id string, tool_id string, inputs string, output string, created_at double",
     "jobs": "id string, kind string, video_id string, status string, error string, updated_at double",
 }
+#: The column with the video's id, in the tables that are dealt by it.
+KEYED = {"videos": "id", "chunks": "video_id", "vectors": "video_id", "words": "video_id", "clips": "video_id"}
+#: Parts of such a table, and how many of them are written one by one before the whole table is.
+PARTS, FEW_PARTS = 256, 8
 MOST_USAGE, MOST_RUNS, MOST_JOBS = 5000, 200, 200
 
 
+def _part(video_id: str) -> int:
+    return zlib.crc32(video_id.encode()) % PARTS
+
+
+def _part_of(column: str) -> Column:
+    """The same as ``_part``, of a column; null is the empty id."""
+    return (F.crc32(F.coalesce(F.col(column), F.lit("")).cast("binary")) % PARTS).cast("int")
+
+
 class Library:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
+    def _found(self, pattern: str) -> list[str]:
+        """What lies in the folder and looks so, by its path in it."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(int(p.getName()[2:]) for p in done if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{pattern}")
+        depth = pattern.count("/") + 1
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return ["/".join(s.getPath().toString().split("/")[-depth:]) for s in found or []]
+
+    def _remove(self, path: str) -> None:
+        gone = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        gone.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+    def _generations(self, name: str) -> list[int]:
+        return sorted(int(p.split("/")[1][2:]) for p in self._found(f"{name}/g=*/_SUCCESS"))
+
+    def _versions(self, name: str, part: int | str = "*") -> dict[int, list[int]]:
+        """The versions that were written to their end, by part, in the last generation (0 if none was written whole)."""
+        g = (self._generations(name) or [0])[-1]
+        done = {p.rpartition("/")[0] for p in self._found(f"{name}/g={g}/part={part}/v=*/_SUCCESS")}
+        out: dict[int, list[int]] = {}
+        for p in self._found(f"{name}/g={g}/part={part}/v=*"):
+            if p in done or p.endswith("/v=0"):  # the generation's own mark stands for its versions 0
+                k, v = (int(x.partition("=")[2]) for x in p.split("/")[2:])
+                out.setdefault(k, []).append(v)
+        return {k: sorted(v) for k, v in out.items()}
+
+    def _read(self, name: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.folder}/{p}" for p in paths)) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def _part_rows(self, name: str, part: int | str) -> DataFrame:
+        g = (self._generations(name) or [0])[-1]
+        return self._read(name, [f"{name}/g={g}/part={k}/v={v[-1]}" for k, v in sorted(self._versions(name, part).items())])
 
     def table(self, name: str) -> DataFrame:
-        """The table's last version, empty if there is none."""
-        found = self._versions(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/v={found[-1]}") if found else self.spark.createDataFrame([], SCHEMAS[name])
+        """The table as last written, empty if it never was."""
+        if name in KEYED:
+            return self._part_rows(name, "*")
+        return self._read(name, [f"{name}/g={g}" for g in self._generations(name)[-1:]])
+
+    def of(self, name: str, video_id: str) -> DataFrame:
+        """One video's rows; its part alone is read."""
+        return self._part_rows(name, _part(video_id)).filter(F.col(KEYED[name]) == video_id)
 
     def write(self, name: str, rows: DataFrame) -> None:
-        found = self._versions(name)
-        columns = [f.split(" ")[0] for f in SCHEMAS[name].split(", ")]
-        rows.select(columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/v={(found[-1] if found else 0) + 1}")
+        """The whole table anew."""
+        path = f"{self.folder}/{name}/g={(self._generations(name) or [0])[-1] + 1}"
+        rows = rows.select(self.spark.createDataFrame([], SCHEMAS[name]).columns)
+        if name in KEYED:  # large parts are several files
+            rows.withColumn("part", _part_of(KEYED[name])).hint("rebalance", "part").withColumn("v", F.lit(0)).write.mode("overwrite").partitionBy("part", "v").parquet(path)
+        else:
+            rows.write.mode("overwrite").parquet(path)
+
+    def _write_part(self, name: str, part: int, rows: DataFrame) -> None:
+        g, v = (self._generations(name) or [0])[-1], self._versions(name, part).get(part, [0])[-1] + 1
+        rows.select(self.spark.createDataFrame([], SCHEMAS[name]).columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/g={g}/part={part}/v={v}")
+
+    def put(self, name: str, video_id: str, rows: DataFrame | None = None) -> None:
+        """Replaces one video's rows (None: by nothing); its part alone is written."""
+        part = _part(video_id)
+        others = self._part_rows(name, part).filter(~F.col(KEYED[name]).eqNullSafe(video_id))
+        self._write_part(name, part, others if rows is None else others.unionByName(rows.select(others.columns)))
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes all generations and versions but the last ``keep`` of each, and tells how many went; a reader that began before these were written loses its files."""
+        gone = []
+        for name in SCHEMAS:
+            gone += [f"{name}/g={g}" for g in self._generations(name)[:-keep]]
+            last = (self._generations(name) or [0])[-1]
+            gone += [f"{name}/g=0"] if len(self._generations(name)) >= keep and self._found(f"{name}/g=0") else []
+            gone += [f"{name}/g={last}/part={k}/v={v}" for k, vs in self._versions(name).items() for v in vs[:-keep]]
+        for path in gone:
+            self._remove(path)
+        return len(gone)
 
     def is_indexed(self, video_id: str) -> bool:
-        same = lambda df, c: not df.filter(F.col(c) == video_id).isEmpty()
-        return same(self.table("videos"), "id") or same(self.table("chunks"), "video_id")
+        return not (self.of("videos", video_id).isEmpty() and self.of("chunks", video_id).isEmpty())
 
     def ingest(self, video_id: str, title: str, segments: DataFrame) -> None:
         """Segments (text, start, duration) as sentences with concepts; an indexed video is left as it is."""
@@ -69,24 +139,22 @@ class Library:
         idf = retrieval.idf(old.select("text").unionByName(s.select("text")), "text")
         c = concepts.concepts(s, ["video_id", "sentence_idx"], "text", idf)
         new = s.join(c, ["video_id", "sentence_idx"]).select(F.format_string("chunk-%s-%d", "video_id", F.col("sentence_idx") + 1).alias("id"), "*", times.clock(F.col("start_sec")).alias("start_timestamp"), times.clock(F.col("end_sec")).alias("end_timestamp"), concepts.enriched(F.col("text"), F.col("section_topic")).alias("enriched_text"))
-        self.write("chunks", mutation.append_new(old, new, ["id"]))
-        ends = self.table("chunks").filter(F.col("video_id") == video_id).agg(F.coalesce(F.max("end_sec"), F.lit(0)).alias("total_seconds"))
+        self.put("chunks", video_id, new)
+        ends = self.of("chunks", video_id).agg(F.coalesce(F.max("end_sec"), F.lit(0)).alias("total_seconds"))
         self._put_video(ends.select(F.lit(video_id).alias("id"), F.lit(title).alias("title"), F.lit("fully_indexed").alias("status"), "total_seconds", F.lit(None).cast("string").alias("error")))
 
     def fail(self, video_id: str, why: str) -> None:
         self._put_video(self.spark.createDataFrame([(video_id, None, "failed", 0, why)], "id string, title string, status string, total_seconds bigint, error string"))
 
     def _put_video(self, row: DataFrame) -> None:
-        old = self.table("videos")
-        version = (old.agg(F.max("version")).first()[0] or 0) + 1
-        self.write("videos", mutation.upsert(old, row.withColumn("version", F.lit(version).cast("bigint")).select(old.columns), ["id"], ["version"]))
+        video_id = row.first()["id"]
+        version = (self.of("videos", video_id).agg(F.max("version")).first()[0] or 0) + 1
+        self.put("videos", video_id, row.withColumn("version", F.lit(version).cast("bigint")))
 
     def delete(self, video_id: str) -> None:
         """The video, its chunks and their vectors of all kinds; its words and clips stay."""
-        gone = self.spark.createDataFrame([(video_id,)], "video_id string")
-        self.write("chunks", mutation.delete(self.table("chunks"), gone, ["video_id"]))
-        self.write("vectors", mutation.delete(self.table("vectors"), gone, ["video_id"]))
-        self.write("videos", mutation.delete(self.table("videos"), gone.withColumnRenamed("video_id", "id"), ["id"]))
+        for name in ("chunks", "vectors", "videos"):
+            self.put(name, video_id)
 
     def videos(self) -> DataFrame:
         """Videos with their chunk counts."""
@@ -104,7 +172,13 @@ class Library:
 
     def put_vectors(self, rows: DataFrame) -> None:
         """Vectors of sentences (video_id, sentence_idx, kind, status, vector) in place of those of the same sentence and kind; kind is dense or visual, status of a visual one ok or video-level."""
-        self.write("vectors", mutation.replace(self.table("vectors"), rows, ["video_id", "sentence_idx", "kind"]))
+        keys = ["video_id", "sentence_idx", "kind"]
+        touched = [r[0] for r in rows.select(_part_of("video_id")).distinct().collect()]  # PARTS at most
+        if len(touched) > FEW_PARTS:
+            self.write("vectors", mutation.replace(self.table("vectors"), rows, keys))
+            return
+        for part in touched:
+            self._write_part("vectors", part, mutation.replace(self._part_rows("vectors", part), rows.filter(_part_of("video_id") == part), keys))
 
     def reindex(self, embed: Callable[[DataFrame], DataFrame]) -> None:
         """All dense vectors anew: ``embed`` makes (video_id, sentence_idx, vector) of all chunks; concepts follow the whole library's frequencies."""
@@ -217,10 +291,8 @@ class Library:
 
     def analyse(self, video_id: str) -> None:
         """Replaces the video's clips by what the solver finds."""
-        s = self.table("chunks").filter(F.col("video_id") == video_id).select("video_id", "sentence_idx", "text", "start_sec", "end_sec")
-        found = solver.solve(s, selection.heuristic_beats(s))
-        gone = self.spark.createDataFrame([(video_id,)], "video_id string")
-        self.write("clips", mutation.delete(self.table("clips"), gone, ["video_id"]).unionByName(found))
+        s = self.of("chunks", video_id).select("video_id", "sentence_idx", "text", "start_sec", "end_sec")
+        self.put("clips", video_id, solver.solve(s, selection.heuristic_beats(s)))
 
     def record(self, name: str, rows: DataFrame, order: str, most: int) -> None:
         """Appends to a log and keeps its newest rows."""

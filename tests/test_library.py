@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cuelake.library import Library
+from cuelake.library import SCHEMAS, Library, _part, _part_of
 from cuelake.operators import captions, concepts, config, prosody, selection, solver, studio
 from cuelake.sources.segmenting import sentences_of
 
@@ -49,6 +49,33 @@ def test_library(spark, tmp_path):
     assert lib.table("videos").filter("id = 'd'").first()["status"] == "failed"
 
 
+def test_changes_of_one_video_write_its_part_alone(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    vector = lambda v, k, x: (v, k, "dense", "ok", [x])
+    schema = SCHEMAS["vectors"]
+    assert lib.table("vectors").count() == 0 and lib.of("vectors", "a").count() == 0 and lib.vacuum() == 0
+    lib.put_vectors(spark.createDataFrame([vector("a", 0, 1.0), vector("a", 1, 2.0), vector("b", 0, 3.0)], schema))
+    state = lambda: {(r.video_id, r.sentence_idx): r.vector[0] for r in lib.table("vectors").collect()}
+    assert state() == {("a", 0): 1.0, ("a", 1): 2.0, ("b", 0): 3.0}
+    before = lib._versions("vectors")
+    lib.put_vectors(spark.createDataFrame([vector("a", 1, 5.0)], schema))
+    after = lib._versions("vectors")
+    assert [k for k in after if after[k] != before[k]] == [_part("a")] and state()[("a", 1)] == 5.0
+    many = spark.createDataFrame([vector(f"v{k}", 0, float(k)) for k in range(400)] + [vector(None, 0, 7.0)], schema)
+    lib.put_vectors(many)  # all parts: a new generation
+    assert len(lib._generations("vectors")) == 1 and len(state()) == 404
+    assert lib.table("vectors").select(_part_of("video_id")).distinct().count() > 8
+    lib.put("vectors", "b")
+    assert len(state()) == 403 and lib.of("vectors", "b").count() == 0
+    (tmp_path / "lib" / "vectors" / "g=1" / f"part={_part('a')}" / "v=9").mkdir()  # a write that never ended
+    assert len(state()) == 403
+    for x in range(3):
+        lib.put("vectors", "a", spark.createDataFrame([vector("a", 0, float(x))], schema))
+    assert lib.vacuum(keep=1) > 0 and state()[("a", 0)] == 2.0 and len(state()) == 402
+    lib.write("vectors", lib.table("vectors").filter("video_id = 'none'"))
+    assert state() == {}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.text(alphabet="ab .!?", max_size=30), st.floats(0, 20), st.floats(0, 50)), max_size=12))
 def test_no_word_is_lost(parts):
