@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op4_chat
 from .decontam import ORACLE_SQL as DECONTAM_SQL
 from .decontam import op10_decontamination
+from .fim import ORACLE_SQL as FIM_SQL
+from .fim import op13_fim
 from .licences import op6_licences
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op3_line_dedup
@@ -31,10 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op13_fim": op13_fim,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": LINE_DEDUP_SQL,
     "op8_warc": WARC_SQL,
     "op10_decontamination": DECONTAM_SQL,
+    "op13_fim": FIM_SQL,
 }
