@@ -11,6 +11,7 @@ from .decontam import ORACLE_SQL as DECONTAM_SQL
 from .decontam import op10_decontamination
 from .fim import ORACLE_SQL as FIM_SQL
 from .fim import op13_fim
+from .html_text import op12_html_text
 from .licences import op6_licences
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op3_line_dedup
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op12_html_text": op12_html_text,
     "op13_fim": op13_fim,
 }
 
