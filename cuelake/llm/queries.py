@@ -19,6 +19,7 @@ from .packing import op9_packing
 from .pii import op1_pii
 from .quality import op2_quality
 from .quality_rules import op5_quality_rules
+from .repair import op11_repair
 from .simhash import op7_simhash
 from .warc import ORACLE_SQL as WARC_SQL
 from .warc import op8_warc
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_repair": op11_repair,
     "op12_html_text": op12_html_text,
     "op13_fim": op13_fim,
 }
