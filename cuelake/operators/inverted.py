@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.texts import terms, tokens
 from .retrieval import EPSILON, MOST_ASKED, K1, B
 
-BUCKETS = 256
+BUCKETS = 64
 #: Query terms that are pushed into the scan as a list; more are joined.
 MOST_LISTED = 1000
 _VOCABULARY = "term string, df bigint, kind string, bucket int"
@@ -34,10 +34,11 @@ class Sizes(NamedTuple):
 class Index:
     """Chunks by their keys (a DDL such as "doc_id bigint"), which are unique among those that were added and not taken away.
 
-    A null text has no postings but counts as a chunk.
+    A null text has no postings but counts as a chunk. Without ``concepts`` the vocabulary has search tokens alone, and there is no ``idf``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, folder: str, keys: str, buckets: int = BUCKETS, concepts: bool = True):
+        self.concepts = concepts
         self.spark, self.folder, self.keys, self.buckets = spark, folder.rstrip("/"), [k.split()[0] for k in keys.split(",")], buckets
         self._postings = f"{keys}, dl bigint, tf bigint, sign int, term string, bucket int"
 
@@ -59,8 +60,10 @@ class Index:
         self._write("postings", delta, found.withColumn("sign", F.lit(sign)).withColumn("bucket", self._bucket()), "bucket")
         mine = self._read("postings", [delta], self._postings)
         words = mine.groupBy("term").agg(F.sum("sign").alias("df")).withColumn("kind", F.lit("word"))
-        said = chunks.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg((F.count("*") * sign).alias("df")).withColumn("kind", F.lit("term"))
-        self._write("vocabulary", delta, words.unionByName(said).withColumn("bucket", self._bucket()), "kind", "bucket")
+        if self.concepts:
+            said = chunks.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg((F.count("*") * sign).alias("df")).withColumn("kind", F.lit("term"))
+            words = words.unionByName(said)
+        self._write("vocabulary", delta, words.withColumn("bucket", self._bucket()), "kind", "bucket")
         size = chunks.agg((F.count("*") * sign).alias("n"), (F.count(text) * sign).alias("measured"))
         length = mine.agg(F.coalesce(F.sum(F.col("tf") * F.col("sign")), F.lit(0)).alias("lengths"))
         size.join(F.broadcast(length)).select(*Sizes._fields).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/sizes/d={delta}")

@@ -6,23 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from . import ranking, retrieval, sequences
 
 # Least scores of relevant and of strong results, of a reranker and of pictures.
 RELEVANT, STRONG, VISUAL_RELEVANT, VISUAL_STRONG = 0.08, 0.35, 0.20, 0.28
 NEAR_MISSES = 3
-#: Ranks of either ranking that count in the fusion; one beyond adds less than 1 / (60 + DEPTH).
-DEPTH = 1000
 #: What texts of scenes without speech begin with.
 SCENE = "[Visual Scene"
 
 
 def fused(lexical: DataFrame | None, dense: DataFrame | None, query: str, keys: list[str], most: int = retrieval.POOL) -> DataFrame | None:
-    """(query, keys, score, rank): each query's best by reciprocal ranks of both rankings, or by the score of the one that there is; None without any."""
+    """(query, keys, score, rank): each query's best by reciprocal ranks of both rankings, or by the score of the one that there is; None without any.
+
+    Every rank counts, however late. A query's first ``most`` of one ranking have 1 / (K + most) at least, so that who is
+    beyond rank 2 * (K + most) - K in both can't be among its best: the others are ranked exactly by ``ranks_of``.
+    """
     there = [x.withColumn("score", F.round("score", 8)) for x in (dense, lexical) if x is not None]
     if not there:
         return None
-    both = retrieval.fuse([retrieval.top(x, query, keys, DEPTH) for x in there], query, keys) if len(there) == 2 else there[0]
+    both = there[0]
+    if len(there) == 2:
+        reach = 2 * (retrieval.RECIPROCAL + most) - retrieval.RECIPROCAL
+        first = [retrieval.top(x, query, keys, reach).select(query, *keys) for x in there]
+        path = scratch.folder(first[0].sparkSession, "known")
+        known = scratch.written(first[0].unionByName(first[1]).distinct(), path)
+        both = retrieval.fuse([retrieval.ranks_of(known, x, query, keys, 2 * reach) for x in there], query, keys)
     return retrieval.top(both.withColumn("score", F.round("score", 8)), query, keys, most)
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import retrieval
+from ..operators import inverted, retrieval
 from ..operators import search as found
+from ..sources import scratch
 from ..sources.library import SENTENCES_SQL, sentences, table
 from .registry import query
 
@@ -69,7 +70,7 @@ def tfidf(spark, sf_dir):
 @query("r06_hybrid", """SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (
   SELECT item_id, doc_id, round(sum(1.0 / (60 + r)), 8) AS score FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 8) DESC, doc_id) AS r FROM lexical UNION ALL
     SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 8) DESC, d.doc_id) FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e JOIN documents d ON d.doc_id = e.vec_id)
-  WHERE r <= 1000 GROUP BY 1, 2)) WHERE rank <= 30""",
+  GROUP BY 1, 2)) WHERE rank <= 30""",
   "post AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS t FROM documents))", "tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM post GROUP BY ALL)",
   "size AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+'))) AS avgdl FROM documents)", "raw AS (SELECT term, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), size)",
   "weight AS (SELECT term, avgdl, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw)", "asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM benchmark) GROUP BY 1, 2)",
@@ -85,6 +86,21 @@ def hybrid(spark, sf_dir):
     return found.fused(lexical, dense, "item_id", ["doc_id"]).select("item_id", "rank", "doc_id", "score")
 
 
+_LEFT_SQL = """left_ AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0)""", """toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS t FROM left_)""", """post AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks)""", "tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM post GROUP BY ALL)", """size AS (SELECT (SELECT count(*) FROM left_) AS n, (SELECT avg(len(t)) FROM toks) AS avgdl)""", """raw AS (SELECT term, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), size)""", """weight AS (SELECT term, avgdl, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw)""", """asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM benchmark) GROUP BY 1, 2)"""
+
+
+@query("st5_persisted_index", """SELECT item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN tf USING (term) JOIN weight USING (term) GROUP BY 1, 2)) WHERE rank <= 10""", *_LEFT_SQL)
+def persisted(spark, sf_dir):
+    """Each item's ten best documents by an index on disk, to which documents came in two deltas and from which a third took some."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = inverted.Index(spark, scratch.folder(spark, "index"), "doc_id bigint", buckets=16, concepts=False)
+    index.append("first", d.filter("doc_id % 2 = 0"), "text")
+    index.append("second", d.filter("doc_id % 2 <> 0"), "text")
+    index.append("gone", d.filter("doc_id % 7 = 0"), "text", -1)
+    scored = index.bm25(["first", "second", "gone"], table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 6))
+    return retrieval.top(scored, "item_id", ["doc_id"], 10).select("item_id", "doc_id", "rank")
+
+
 @query("r09_results")
 def results(spark, sf_dir):
     """Search end to end: pool, sentences around, merged ranges, suppression, gates, near misses. A score is the share of the query's best."""

@@ -26,7 +26,7 @@ def test_fusion_and_its_fallbacks(spark):
     frame = lambda x: spark.createDataFrame([(q, k, v) for (q, k), v in x.items()], "q int, k int, score double")
     got = {(r.q, r.k): r["rank"] for r in search.fused(frame(a), frame(b), "q", ["k"], 10).collect()}
     for q in range(3):
-        ranks = [plain_ranks({k: v for (p, k), v in x.items() if p == q}, search.DEPTH) for x in (a, b)]
+        ranks = [plain_ranks({k: v for (p, k), v in x.items() if p == q}, len(x)) for x in (a, b)]
         total = {k: sum(1 / (60 + r[k]) for r in ranks if k in r) for k in set(ranks[0]) | set(ranks[1])}
         assert {k: r for (p, k), r in got.items() if p == q} == plain_ranks(total, 10)
     alone = {(r.q, r.k): r["rank"] for r in search.fused(frame(a), None, "q", ["k"], 10).collect()}
@@ -34,6 +34,24 @@ def test_fusion_and_its_fallbacks(spark):
     assert search.fused(None, None, "q", ["k"]) is None
 
 
+def test_late_ranks_decide(spark):
+    """Row 0 is first in one ranking and far behind in the other, row 1 a little earlier there: what the late ranks add decides."""
+    n = 3000
+    lexical = {0: 10.0, 1: 9.99} | {k: 5.0 - k / n for k in range(2, n)}
+    dense = {k: float(k) for k in range(2, n)} | {0: 1.5, 1: 1.75}
+    frame = lambda x: spark.createDataFrame([(7, k, v) for k, v in x.items()], "q int, k int, score double")
+    ranks = [plain_ranks(x, n) for x in (lexical, dense)]
+    total = {k: sum(1 / (60 + r[k]) for r in ranks) for k in range(n)}
+    got = {r.k: (r["rank"], r.score) for r in search.fused(frame(lexical), frame(dense), "q", ["k"], 30).collect()}
+    assert {k: r for k, (r, _) in got.items()} == plain_ranks(total, 30)
+    assert all(s == round(total[k], 8) for k, (_, s) in got.items()) and ranks[1][0] == n and 0 in got
+    known = spark.createDataFrame([(7, k) for k in (0, 1, 5, 2999, 4444)], "q int, k int")
+    for x, r in ((lexical, ranks[0]), (dense, ranks[1])):
+        assert {y.k: y["rank"] for y in retrieval.ranks_of(known, frame(x), "q", ["k"], 5).collect()} == {k: r[k] for k in (0, 1, 5, 2999)}
+    tied = {k: 1.0 for k in range(200)}
+    assert {y.k: y["rank"] for y in retrieval.ranks_of(known, frame(tied), "q", ["k"], 5).collect()} == {0: 1, 1: 2, 5: 6}
+
+
 def plain_decision(rows: list[tuple], most: int, relevant: float, strong: float, floor: float | None) -> list[tuple]:
     """Of one query's (video, first, start, end, score): gates and suppression one by one."""
 
