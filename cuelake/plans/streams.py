@@ -24,3 +24,11 @@ def states(spark, sf_dir):
 def limits(spark, sf_dir):
     """Hours in which a bucket reached six calls."""
     return usage.limited(table(spark, sf_dir, "events"), "event_type", "ts", 6)
+
+
+@query("st1_admissions", """, adm AS (SELECT bucket, call, i, t, t AS a, CAST(NULL AS BIGINT) AS p FROM calls WHERE i = 1
+  UNION ALL SELECT c.bucket, c.call, c.i, c.t, CASE WHEN adm.p >= greatest(c.t, adm.a) - 180000000 THEN adm.p + 180050000 ELSE greatest(c.t, adm.a) END, adm.a FROM adm JOIN calls c ON c.bucket = adm.bucket AND c.i = adm.i + 1)
+SELECT bucket, call, a - t AS waited FROM adm""", "calls AS (SELECT event_type AS bucket, event_id AS call, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events)")
+def admissions(spark, sf_dir):
+    """How long each call waits where two may get through in three minutes."""
+    return usage.admissions(table(spark, sf_dir, "events"), "event_type", "event_id", "ts", 2, 180_000_000).select("bucket", "call", "waited")

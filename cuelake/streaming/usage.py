@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+from ..operators import admission, inverted
 
 
 def window_counts(calls: DataFrame, bucket: str, at: str, size: str = "1 hour", step: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -20,6 +23,55 @@ def limited(calls: DataFrame, bucket: str, at: str, limit: int) -> DataFrame:
     return window_counts(calls, bucket, at).filter(F.col("n") >= limit)
 
 
+class _Admission(StatefulProcessor):
+    """Calls wait in order of their times until the watermark has passed them, as an earlier one may still come; then the gate lets them through."""
+
+    def __init__(self, limit: int, window: int, slack: int):
+        self.limit, self.window, self.slack = limit, window, slack
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "t bigint, call bigint", "copies bigint")
+        self.recent = handle.getValueState("recent", "times array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            for t, call in zip(frame["t"].tolist(), frame["call"].tolist(), strict=True):
+                copies = self.waiting.getValue((t, call))[0] if self.waiting.containsKey((t, call)) else 0
+                self.waiting.updateValue((t, call), (copies + 1,))
+                self.handle.registerTimer(-(-t // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        due = sorted((k, self.waiting.getValue(k)[0]) for k in [tuple(k) for k in self.waiting.keys()] if k[0] <= upto)
+        gate = admission.Gate(self.limit, self.window, self.slack, list(self.recent.get()[0]) if self.recent.exists() else None)
+        out = []
+        for (t, call), copies in due:
+            out += [(key[0], call, t, at, at - t) for at in (gate.admit(t) for _ in range(copies))]
+            self.waiting.removeKey((t, call))
+        self.recent.update((list(gate.recent),))
+        yield pd.DataFrame(out, columns=["bucket", "call", "t", "admitted", "waited"])
+
+    def close(self) -> None:
+        pass
+
+
+def admissions(calls: DataFrame, bucket: str, call: str, at: str, limit: int, window: int = admission.WINDOW, slack: int = admission.SLACK, late: str = "10 minutes") -> DataFrame:
+    """(bucket, call, t, admitted, waited): when each call gets through under a rolling limit, see ``operators.admission``; of a batch or, with keyed state and timers, of a stream.
+
+    A stream gives a call's row once its watermark has passed it, the same row as the batch does; what is later than the watermark is
+    dropped. Its state is the waiting calls and the last admissions; the state store must be RocksDB's.
+    """
+    timed = calls.withWatermark(at, late) if calls.isStreaming else calls
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = timed.select(F.col(bucket).alias("bucket"), F.col(call).cast("bigint").alias("call"), micros.alias("t"), *([F.col(at)] if calls.isStreaming else []))
+    if not calls.isStreaming:
+        return admission.admitted(rows, limit, window, slack)
+    ddl = "bucket string, call bigint, t bigint, admitted bigint, waited bigint"
+    return rows.withColumn("bucket", F.col("bucket").cast("string")).groupBy("bucket").transformWithStateInPandas(_Admission(limit, window, slack), ddl, "Append", "EventTime")
+
+
 def job_states(changes: DataFrame, job: str, at: str, status: str) -> DataFrame:
     """(job, status, at): each job's state by its latest change, whatever order the changes come in."""
     latest = F.max(F.struct(F.col(at).alias("at"), F.col(status).alias("status"))).alias("s")
@@ -33,3 +85,8 @@ def index_incrementally(chunks: DataFrame, path: str, checkpoint: str, prepare:
         prepare(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_postings(chunks: DataFrame, index: inverted.Index, text: str, checkpoint: str) -> StreamingQuery:
+    """Each batch's chunks as a delta of the index, named by the batch's number: a batch that is run again replaces its own. A search takes the deltas "0", "1", .. that there are."""
+    return chunks.writeStream.foreachBatch(lambda batch, number: index.append(str(number), batch, text)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
