@@ -225,7 +225,7 @@ def fitted(notices_of: dict[str, list[str]], calibrate: bool = True) -> Model:
 
 def classify(paragraphs: DataFrame, model: Model, keys: list[str], text: str) -> DataFrame:
     """(keys, family, score, similarity, contained, confirmed) of the paragraphs that are licences: score is the licences'
-    share, family may be unknown, similarity is the largest share of a notice's words that the paragraph holds, contained that of its own words that a notice has."""
+    share, family may be unknown; no two paragraphs share their keys, and no key is null; similarity is the largest share of a notice's words that the paragraph holds, contained that of its own words that a notice has."""
     spark = paragraphs.sparkSession
     weights = spark.createDataFrame([(g, *map(float, w)) for g, w in zip(model.features, model.weights, strict=True)], "gram string, " + ", ".join(f"w{k} double" for k in range(len(CLASSES))))
     notices = spark.createDataFrame([(family, sorted(set(words_of(t)))) for family, ts in NOTICES.items() for t in ts], "family string, notice array<string>")
@@ -257,7 +257,7 @@ def _words(text: str | Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, anchors: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, h, p, paragraph): runs of lines that hold enough anchor words, in lower case; a document is its id and a hash of its text.
+    """(d, h, p, paragraph): runs of lines that hold enough anchor words, in lower case; a document is its id, as text (empty for null), and a hash of its text, so that repeated rows are one.
 
     Lines that hold fewer become blank ones within the row, so that blank lines end all runs; a text is split once. A run
     also ends behind a line that ends a sentence, and around a licence tag, so that notices of several licences stay apart.
@@ -267,7 +267,12 @@ def paragraphs(docs: DataFrame, anchors: list[str], key: str = "doc_id", text: s
     parted = lambda x: F.concat(F.when(tag(x), "\n").otherwise(""), F.lower(x), F.when(tag(x) | x.rlike(r"[.!?][\"')\]\s]*$"), "\n").otherwise(""))
     line = lambda x: F.when(F.size(F.array_intersect(_words(x), known)) >= LEAST_ANCHORS, parted(x)).otherwise("")
     runs = F.split(F.array_join(F.transform(F.split(text, "\n"), line), "\n"), "\n\n+")
-    return docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(runs).alias("p", "paragraph")).filter(F.trim("paragraph") != "")
+    found = docs.select(_id(key).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(runs).alias("p", "paragraph")).filter(F.trim("paragraph") != "")
+    return found.dropDuplicates(["d", "h", "p"])
+
+
+def _id(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,8 +285,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = classify(paragraphs(docs, model.anchors, key, text), model, ["d", "h", "p"], "paragraph")
     known = F.array_distinct(F.collect_list(F.when(F.col("family") != UNKNOWN, F.col("family"))))
     per_doc = found.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.count("*").alias("n"), F.count_if("confirmed").alias("c"), F.count_if(F.col("family") == UNKNOWN).alias("u"), F.array_join(F.array_sort(known), ",").alias("f"), F.max("score").alias("s"))
-    rows = docs.select(F.col(key), F.xxhash64(text).alias("_own"))
-    joined = rows.join(per_doc, F.col(key).eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_h")), "left")
+    rows = docs.select(F.col(key), _id(key).alias("_mine"), F.xxhash64(text).alias("_own"))
+    joined = rows.join(per_doc, (F.col("_mine") == F.col("_d")) & (F.col("_own") == F.col("_h")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     return joined.select(F.col(key), zero("n").alias("n_licences"), zero("c").alias("n_confirmed"), zero("u").alias("n_unknown"), F.coalesce("f", F.lit("")).alias("families"), F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
 
