@@ -349,3 +349,31 @@ def test_changed_training_notices_and_ordinary_sentences():
     assert np.mean([p >= model.least_licence for p, _ in shares]) > 0.9
     ordinary = [licences._shares((model.features, model.weights, model.bias), licences.words_of(t), frozenset(model.anchors))[0] for t in licences.ORDINARY]
     assert max(ordinary) < model.least_licence
+
+
+def test_licences_of_repeated_rows_and_null_ids(spark):
+    public, mit = "The program of the general license.\nA public version of the GNU General Public License is free software.", "Released under the MIT License."
+    rows = [(1, public), (2, public), (2, public), (2, public), (3, mit), (None, mit), (None, mit), (None, public), (None, None), (4, "nothing")]
+    found = licences.scan(docs(spark, rows)).collect()
+    alone = {t: tuple(licences.scan(docs(spark, [(9, t)])).first())[1:] for t in (public, mit)}
+    assert len(found) == len(rows)
+    assert {tuple(r)[1:] for r in found if r.doc_id in (1, 2)} == {alone[public]}
+    assert {tuple(r)[1:] for r in found if r.doc_id == 3} == {alone[mit]}
+    assert sorted(tuple(r)[1:] for r in found if r.doc_id is None) == sorted([alone[mit], alone[mit], alone[public], (0, 0, 0, "", 0.0)])
+
+
+def test_sample_passes_over_texts_that_are_too_long(spark):
+    from cuelake.llm import labelled
+
+    rows = [(k, "x" * 10) for k in range(40)]
+    marks = labels(spark, [(k, k % 2, 0) for k in range(40)])
+    first = labelled.sample(docs(spark, rows), marks, "quality", chars=100)[0][0]
+    assert len(labelled.sample(docs(spark, rows), marks, "quality", chars=100)) == 10
+    long = [(k, "x" * (500 if k == first else 10)) for k, _ in rows]
+    again = labelled.sample(docs(spark, long), marks, "quality", chars=100)
+    assert len(again) == 10 and first not in [d for d, _, _ in again]
+    often = labelled.sample(docs(spark, rows + [(first, "x" * 10)] * 50), marks, "quality", chars=100)
+    assert first not in [d for d, _, _ in often]
+    with pytest.raises(ValueError, match="longer than"):
+        labelled.sample(docs(spark, [(k, "x" * 500) for k in range(40)]), marks, "quality", chars=100)
+    assert labelled.sample(docs(spark, []), marks, "quality") == []
