@@ -544,11 +544,11 @@ class Library:
         return (rows if video_id is None else rows.filter(F.col("video_id") == video_id)).orderBy(F.desc("updated_at"), "id")
 
     def analyse(self, video_id: str) -> None:
-        """Replaces the video's clips by what the solver finds."""
+        """Replaces the video's clips by what the solver finds, on the cleanest pauses near by if the video has timed words."""
 
         def work(change: Change) -> None:
             s = change.of("chunks", video_id).select("video_id", "sentence_idx", "text", "start_sec", "end_sec")
-            change.put("clips", video_id, solver.solve(s, selection.heuristic_beats(s)))
+            change.put("clips", video_id, selection.on_pauses(solver.solve(s, selection.heuristic_beats(s)), s, change.of("words", video_id)))
 
         self.commit(work)
 

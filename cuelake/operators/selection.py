@@ -9,12 +9,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers, texts
+from ..sources import scratch
+from . import prosody
+from .intervals import as_of
 
 MIN_SEGMENT, MIN_GAIN, MAX_DEPTH = 8, 0.012, 12
 MIN_CLIP, MAX_CLIP = 12, 75
 MERGE_IOU = 0.6
 FOCUS_WORDS, FOCUS_SECONDS = 55, 25
 LEAD_IN, TAIL, SNAP = 0.12, 0.25, 1.2
+#: Sentences by which a clip may grow for a clean pause, the gain that this needs, and how clean cuts count that nothing is known about.
+BEFORE, AFTER, LEAST_GAIN, UNMEASURED = 3, 2, 0.15, 0.5
+# The share of meaning in a hook, the blend's range, the range of cues alone, and the bonus of a beat.
+HOOK_MEANING, HOOK_RANGE, HOOK_CUES_ALONE, HOOK_BONUS = 0.20, (0.0164, 0.4314), 0.5, 0.15
 WEIGHTS = {"hook_strength": 0.25, "self_containedness": 0.20, "emotional_delta": 0.20, "quotability": 0.20, "boundary_cleanliness": 0.15}
 
 
@@ -163,3 +170,117 @@ def focus_quotes(sentences: DataFrame) -> DataFrame:
         return pd.DataFrame({"video_id": pd.Series([pdf["video_id"].iloc[0]], dtype=object), "first": [at[lo]], "last": [at[hi]], "n_words": [n[lo : hi + 1].sum()]})
 
     return sentences.select("video_id", "sentence_idx", "n_words", "start_sec", "end_sec").groupBy("video_id").applyInPandas(focus, f"video_id {kinds['video_id']}, first bigint, last bigint, n_words bigint")
+
+
+def pauses(points: DataFrame, words: DataFrame) -> DataFrame:
+    """Points (video_id, at, side, ..), where side is start or end, with ``pause``: the seconds of silence in the speech there; null if nothing is said on the other side.
+
+    Pauses are whole microseconds. Of a start it is the gap before the first word from then on, of an end the gap behind the last word until then: a
+    property of the speech, which doesn't change as a cut moves inside a pause. Words are (video_id, start, end); four as-of joins for all points.
+    """
+    never = 1e18
+    starts, ends = points.filter("side = 'start'"), points.filter("side = 'end'")
+    onset = as_of(starts, "at", words, "video_id", "start", "_word", forward=True).withColumn("_edge", F.coalesce("_word", F.lit(-never)))
+    before = as_of(onset, "_edge", words, "video_id", "end", "_other").withColumn("pause", F.greatest(F.lit(0.0), F.col("_word") - F.col("_other")))
+    offset = as_of(ends, "at", words, "video_id", "end", "_word").withColumn("_edge", F.coalesce("_word", F.lit(never)))
+    after = as_of(offset, "_edge", words, "video_id", "start", "_other", forward=True).withColumn("pause", F.greatest(F.lit(0.0), F.col("_other") - F.col("_word")))
+    both = before.unionByName(after)
+    known = F.col("_word").isNotNull() & F.col("_other").isNotNull()  # greatest passes over nulls
+    return both.withColumn("pause", F.when(known, F.round("pause", 6))).select(*points.columns, "pause")
+
+
+def cleanliness(start_pause: Column, end_pause: Column, timed: Column) -> Column:
+    """How clean both cuts are: the mean of their pauses' scores, or UNMEASURED for a video without timed words."""
+    return F.when(timed, (numbers.pause_score(start_pause) + numbers.pause_score(end_pause)) / 2).otherwise(UNMEASURED)
+
+
+def pause_aligned(clips: DataFrame, sentences: DataFrame, words: DataFrame) -> DataFrame:
+    """Clips (video_id, first, last) on the cleanest pauses near by: (video_id, first, last, new_first, new_last, gain, score).
+
+    A clip may begin up to BEFORE sentences earlier and end up to AFTER later, within the limits of its length. Of these
+    bounds the cleanest wins if it gains LEAST_GAIN; of equally clean ones the tightest, then that which begins later. A clip whose own
+    length is outside the limits has no row. Twelve bounds a clip come from seven points, each of which is looked up once.
+    """
+    own = clips.select("video_id", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last")).distinct()
+    timed = words.select("video_id").distinct().withColumn("_timed", F.lit(True))
+    at = sentences.select("video_id", F.col("sentence_idx").cast("bigint").alias("idx"), F.col("start_sec").cast("double").alias("_s"), F.col("end_sec").cast("double").alias("_e"))
+    begin = own.select("*", F.explode(F.sequence(F.col("first") - BEFORE, F.col("first"))).alias("idx"), F.lit("start").alias("side"))
+    finish = own.select("*", F.explode(F.sequence(F.col("last"), F.col("last") + AFTER)).alias("idx"), F.lit("end").alias("side"))
+    named = begin.unionByName(finish).join(at, ["video_id", "idx"]).withColumn("at", F.when(F.col("side") == "start", F.col("_s")).otherwise(F.col("_e"))).drop("_s", "_e")
+    # clips share points: each sentence's start and end are looked up once
+    points = pauses(named.select("video_id", "idx", "at", "side").distinct(), words)
+    found = named.join(points, ["video_id", "idx", "at", "side"])
+    mine = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("idx", "at", "pause")))
+    each = found.groupBy("video_id", "first", "last").agg(mine("start").alias("a"), mine("end").alias("b")).join(timed, "video_id", "left")
+    known = F.coalesce("_timed", F.lit(False))
+
+    def bound(x: Column, y: Column) -> Column:
+        score, wider = cleanliness(x["pause"], y["pause"], known), (F.col("first") - x["idx"]) + (y["idx"] - F.col("last"))
+        return F.struct(score.alias("score"), (-wider).alias("tight"), x["idx"].alias("x"), y["idx"].alias("y"), (y["at"] - x["at"]).alias("length"))
+
+    bounds = F.filter(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: bound(x, y)))), lambda c: c["length"].between(MIN_CLIP, MAX_CLIP))
+    listed = each.withColumn("_all", bounds).withColumn("_own", F.get(F.filter("_all", lambda c: c["tight"] == 0), F.lit(0))).filter("_own IS NOT NULL")
+    best = F.array_max(F.filter("_all", lambda c: (c["tight"] == 0) | (c["score"] >= F.col("_own.score") + LEAST_GAIN)))
+    return listed.withColumn("_best", best).select("video_id", "first", "last", F.col("_best.x").alias("new_first"), F.col("_best.y").alias("new_last"), F.round(F.col("_best.score") - F.col("_own.score"), 4).alias("gain"), F.col("_best.score").alias("score"))
+
+
+def on_pauses(clips: DataFrame, sentences: DataFrame, words: DataFrame) -> DataFrame:
+    """The solver's clips (video_id, first, last, beats, gain, dangling, start_sec, end_sec) with the bounds, gain, times and dangling reference of ``pause_aligned``."""
+    found = scratch.written(clips, scratch.folder(clips.sparkSession, "clips"))
+    moved = pause_aligned(found, sentences, words).drop("score")
+    before = F.lag("sentence_idx").over(W.partitionBy("video_id").orderBy("sentence_idx"))
+    begin = sentences.select("video_id", F.col("sentence_idx").cast("bigint").alias("new_first"), F.col("start_sec").cast("double").alias("start_sec"), (texts.points_back(F.col("text")) & before.isNotNull()).alias("_open"))
+    until = sentences.select("video_id", F.col("sentence_idx").cast("bigint").alias("new_last"), F.col("end_sec").cast("double").alias("end_sec"))
+    each = moved.join(found.select("video_id", "first", "last", "beats"), ["video_id", "first", "last"]).join(begin, ["video_id", "new_first"]).join(until, ["video_id", "new_last"])
+    dangling = F.when(F.col("_open"), F.array("new_first")).otherwise(F.array().cast("array<bigint>"))
+    return each.select("video_id", F.col("new_first").alias("first"), F.col("new_last").alias("last"), "beats", "gain", dangling.alias("dangling"), "start_sec", "end_sec")
+
+
+def snap_to_words(clips: DataFrame, words: DataFrame) -> DataFrame:
+    """Clips (video_id, start_sec, end_sec, ..) with new_start, new_end and precise: the start on the next word's onset, the end on the last word's offset, see ``snapped``."""
+    at = clips.withColumn("_s", F.col("start_sec").cast("double")).withColumn("_e", F.col("end_sec").cast("double"))
+    both = as_of(as_of(at, "_s", words, "video_id", "start", "_onset", forward=True), "_e", words, "video_id", "end", "_offset")
+    return snapped(both, "_onset", "_offset").drop("_s", "_e", "_onset", "_offset")
+
+
+def hook_strength(opening: Column, meaning: Column | None, beat: Column) -> Column:
+    """How strongly a clip opens: its line's cues, blended with a meaning where a model gives one (null: by the cues alone, on their own range), and a bonus if the line is in a hook's beat."""
+    cues = texts.hook_lexical(opening)
+    alone = numbers.normalise(cues, 0.0, HOOK_CUES_ALONE)
+    blend = alone if meaning is None else F.when(meaning.isNull(), alone).otherwise(numbers.normalise(HOOK_MEANING * meaning + (1 - HOOK_MEANING) * cues, *HOOK_RANGE))
+    return numbers.clamp01(blend + F.when(beat, HOOK_BONUS).otherwise(0.0))
+
+
+def ranked_clips(clips: DataFrame, sentences: DataFrame, words: DataFrame, idf: DataFrame, beats: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """(video_id, first, last, start_sec, end_sec, the five signals, gain, composite): clips (video_id, first, last) aligned to pauses, snapped to words and measured.
+
+    Sentences are (video_id, sentence_idx, text, start_sec, end_sec), beats (video_id, beat_type, first, last). The pace of the words is
+    measured here; energy and pitch come from ``measured`` (clip_id, energy_delta, pitch_range_st, pitch_delta_st) by
+    the clip's id, video_id:first:last, where there are any. What was not measured has no weight.
+    """
+    found = pause_aligned(clips, sentences, words)
+    moved = found.select("video_id", F.col("new_first").alias("first"), F.col("new_last").alias("last"), "gain", "score").groupBy("video_id", "first", "last").agg(F.max("gain").alias("gain"), F.max("score").alias("score"))
+    before = F.lag("sentence_idx").over(W.partitionBy("video_id").orderBy("sentence_idx"))
+    # a sentence that points back needs the one before it: only a clip's first can be without
+    lines = sentences.select("video_id", F.col("sentence_idx").cast("bigint").alias("first"), "text", "start_sec", (texts.points_back(F.col("text")) & before.isNotNull()).cast("int").alias("_open"))
+    until = sentences.select("video_id", F.col("sentence_idx").cast("bigint").alias("last"), "end_sec")
+    placed = snap_to_words(moved.join(lines, ["video_id", "first"]).join(until, ["video_id", "last"]), words)
+    # clips are few and looked at five times: they are written once
+    named = placed.select("video_id", "first", "last", "gain", "score", "text", "_open", F.col("new_start").alias("start_sec"), F.col("new_end").alias("end_sec"), F.concat_ws(":", "video_id", "first", "last").alias("clip_id"))
+    named = scratch.written(named, scratch.folder(clips.sparkSession, "clips"))
+    quote = named.select("clip_id", F.explode(texts.terms(F.col("text"))).alias("term")).join(idf, "term").groupBy("clip_id").agg(F.avg("idf").alias("_idf"))
+    hooks = beats.filter(F.col("beat_type") == "hook").select("video_id", F.explode(F.sequence(F.col("first").cast("bigint"), F.col("last").cast("bigint"))).alias("first")).distinct()
+    opens = named.join(hooks, ["video_id", "first"]).select("clip_id", F.lit(True).alias("_beat"))
+    pace = prosody.rate_delta(words, named)
+    every = named.join(quote, "clip_id", "left").join(opens, "clip_id", "left").join(pace, "clip_id", "left")
+    if measured is not None:
+        every = every.join(measured.select("clip_id", "energy_delta", "pitch_range_st", "pitch_delta_st"), "clip_id", "left")
+    heard = lambda c: F.col(c) if measured is not None else F.lit(None).cast("double")
+    signals = {
+        "hook_strength": hook_strength(F.col("text"), None, F.coalesce("_beat", F.lit(False))),
+        "self_containedness": self_containedness(F.col("text"), F.col("_open")),
+        "emotional_delta": prosody.emotional_delta(F.lit(False), prosody.acoustic(F.col("rate_delta"), heard("energy_delta"), heard("pitch_range_st"), heard("pitch_delta_st"))),
+        "quotability": F.coalesce(numbers.normalise(F.col("_idf"), 4.0, 6.3), F.lit(0.2)),
+        "boundary_cleanliness": F.col("score"),
+    }
+    return every.select("video_id", "first", "last", "start_sec", "end_sec", "gain", *[v.alias(k) for k, v in signals.items()], composite(signals).alias("composite"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import captions, concepts, config, prosody, retrieval, selection, solver, studio
-from ..sources.library import SENTENCES_SQL, WORDS_SQL, sentences, table, words
+from ..operators import captions, concepts, config, dependencies, prosody, retrieval, selection, solver, studio
+from ..sources.library import SENTENCES_SQL, SPOKEN_SQL, WORDS_SQL, sentences, spoken, table, words
 from ..sources.segmenting import segment
 from .registry import query
 
@@ -68,25 +68,40 @@ def solved(spark, sf_dir):
     return solver.solve(s, own.unionByName(selection.heuristic_beats(s)))
 
 
+_PAIRS_SQL = """pair AS (SELECT a.video_id, a.sentence_idx AS first, a.sentence_idx + 1 AS last FROM sent a JOIN sent b ON b.video_id = a.video_id AND b.sentence_idx = a.sentence_idx + 1 WHERE a.role = 'user')"""
+_POINTS_SQL = """begins AS (SELECT *, CASE WHEN o IS NOT NULL AND x IS NOT NULL THEN round(greatest(0.0::DOUBLE, o - x), 6) END AS pause FROM (SELECT *, (SELECT max(w."end") FROM spoken w WHERE w.video_id = s.video_id AND w."end" <= s.o) AS x FROM (SELECT video_id, sentence_idx AS idx, start_sec AS at, (SELECT min(w.start) FROM spoken w WHERE w.video_id = t.video_id AND w.start >= t.start_sec) AS o FROM sent t) s)),
+ends AS (SELECT *, CASE WHEN o IS NOT NULL AND x IS NOT NULL THEN round(greatest(0.0::DOUBLE, x - o), 6) END AS pause FROM (SELECT *, (SELECT min(w.start) FROM spoken w WHERE w.video_id = s.video_id AND w.start >= s.o) AS x FROM (SELECT video_id, sentence_idx AS idx, end_sec AS at, (SELECT max(w."end") FROM spoken w WHERE w.video_id = t.video_id AND w."end" <= t.end_sec) AS o FROM sent t) s)),
+bounds AS (SELECT p.*, b.idx AS nf, e.idx AS nl, (CASE WHEN b.pause IS NULL THEN 1.0 ELSE least(1.0, b.pause / 0.6) END + CASE WHEN e.pause IS NULL THEN 1.0 ELSE least(1.0, e.pause / 0.6) END)::DOUBLE / 2 AS score, (p.first - b.idx) + (e.idx - p.last) AS wider
+  FROM pair p JOIN begins b ON b.video_id = p.video_id AND b.idx BETWEEN p.first - 3 AND p.first JOIN ends e ON e.video_id = p.video_id AND e.idx BETWEEN p.last AND p.last + 2 WHERE e.at - b.at BETWEEN 12 AND 75),
+judged AS (SELECT *, max(CASE WHEN wider = 0 THEN score END) OVER (PARTITION BY video_id, first, last) AS own FROM bounds)"""
+
+
+@query("n09_pause_aligned", """SELECT video_id, first, last, nf AS new_first, nl AS new_last, round(score - own, 4) AS gain FROM judged WHERE own IS NOT NULL AND (wider = 0 OR score >= own + 0.15) QUALIFY row_number() OVER (PARTITION BY video_id, first, last ORDER BY score DESC, wider, nf DESC, nl DESC) = 1""", SENTENCES_SQL, SPOKEN_SQL, _PAIRS_SQL, _POINTS_SQL)
+def pause_aligned(spark, sf_dir):
+    """Each user's turn and the one after it as a clip, on the cleanest pauses near by."""
+    s = sentences(spark, sf_dir)
+    after = s.select("video_id", (F.col("sentence_idx") - 1).alias("sentence_idx"))
+    pairs = s.filter("role = 'user'").join(after, ["video_id", "sentence_idx"], "left_semi").select("video_id", F.col("sentence_idx").alias("first"), (F.col("sentence_idx") + 1).alias("last"))
+    return selection.pause_aligned(pairs, s, spoken(spark, sf_dir)).drop("score")
+
+
+@query("w17_resolved_starts", """, run AS (SELECT p.video_id, p.first, p.last, p.first AS reached, 0 AS steps FROM pair p
+  UNION ALL SELECT r.video_id, r.first, r.last, b.sentence_idx, r.steps + 1 FROM run r JOIN sent s ON s.video_id = r.video_id AND s.sentence_idx = r.reached JOIN sent b ON b.video_id = r.video_id AND b.sentence_idx = r.reached - 1 JOIN sent e ON e.video_id = r.video_id AND e.sentence_idx = r.last WHERE s.n_words % 3 <> 0 AND r.steps < 8 AND e.end_sec - b.start_sec <= 75)
+SELECT video_id, first AS was, last, min(reached) AS first, CAST(max(steps) AS BIGINT) AS steps FROM run GROUP BY run.video_id, run.first, run.last""", SENTENCES_SQL, _PAIRS_SQL)
+def resolved_starts(spark, sf_dir):
+    """From where such clips must begin where sentences of some lengths point back."""
+    s = sentences(spark, sf_dir).withColumn("back", F.col("n_words") % 3 != 0)
+    after = s.select("video_id", (F.col("sentence_idx") - 1).alias("sentence_idx"))
+    pairs = s.filter("role = 'user'").join(after, ["video_id", "sentence_idx"], "left_semi").select("video_id", F.col("sentence_idx").alias("first"), (F.col("sentence_idx") + 1).alias("last"), F.col("sentence_idx").alias("was"))
+    return dependencies.resolved(pairs, s)
+
+
 @query("n14_ranked_clips")
 def ranked(spark, sf_dir):
-    """Solved clips with their signals, by composite, start and id."""
+    """Solved clips on clean pauses and whole words, with their five signals, by composite, start and id."""
     s = sentences(spark, sf_dir)
-    clips = solved(spark, sf_dir)
-    opening = s.select("video_id", F.col("sentence_idx").alias("first"), "text")
-    idf = retrieval.idf(s, "text")
-    quote = opening.select("video_id", "first", F.explode(texts.terms(F.col("text"))).alias("term")).join(idf, "term").groupBy("video_id", "first").agg(F.avg("idf").alias("m"))
-    named = clips.join(opening, ["video_id", "first"]).join(quote, ["video_id", "first"], "left")
-    from ..functions.numbers import normalise
-
-    signals = {
-        "hook_strength": normalise(texts.hook_lexical(F.col("text")), 0.0, 0.5),
-        "self_containedness": selection.self_containedness(F.col("text"), F.size("dangling")),
-        "emotional_delta": F.lit(0.3),
-        "quotability": F.coalesce(normalise(F.col("m"), 4.0, 6.3), F.lit(0.2)),
-        "boundary_cleanliness": F.lit(0.5),
-    }
-    return named.select("video_id", "first", "last", "start_sec", "end_sec", *[F.round(v, 6).alias(k) for k, v in signals.items()], selection.composite(signals).alias("composite")).orderBy(F.desc("composite"), "start_sec", "video_id", "first")
+    found = selection.ranked_clips(solved(spark, sf_dir), s, spoken(spark, sf_dir), retrieval.idf(s, "text"), selection.heuristic_beats(s))
+    return found.select(*[F.round(c, 6).alias(c) if k == "double" else c for c, k in found.dtypes]).orderBy(F.desc("composite"), "start_sec", "video_id", "first")
 
 
 @query("j16_active_cues", """SELECT t.video_id, t.at, min(c.cue) AS cue FROM (SELECT user_id AS video_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 + 0.1 AS at FROM events) t LEFT JOIN (
