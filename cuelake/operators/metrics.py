@@ -6,28 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from .quantiles import nearest_rank, of_groups, percentiles  # noqa: F401
+
 
 def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
     """One row with the ROC area by rank sums, ties at their mean rank: (auc, n_pos, n_neg). Null if a class is missing.
 
-    Rows are first counted by score, so that the running sum goes over distinct scores, not rows.
+    Rows are counted by score, and the scores dealt to ranges that Spark samples: running sums go over a range's scores, and over
+    the ranges, of which there are as many as partitions, so that no task holds all scores.
     """
-    by_score = scored.groupBy(score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_score.withColumn("rank", below + (F.col("n") + 1) / 2)
+    counted = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count("*").alias("n"))
+    # written, as which scores a range has must be the same for both sums
+    by_score = scratch.written(counted.repartitionByRange("s").withColumn("part", F.spark_partition_id()), scratch.folder(scored.sparkSession, "scores"))
+    parts = by_score.groupBy("part").agg(F.sum("n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = by_score.withColumn("_inside", inside).join(F.broadcast(parts.drop("_n")), "part").withColumn("rank", F.col("_before") + F.col("_inside") + (F.col("n") + 1) / 2)
     total = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
     area = (F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))
     return total.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), area).alias("auc"), F.col("pos").cast("bigint").alias("n_pos"), F.col("neg").cast("bigint").alias("n_neg"))
 
 
-def nearest_rank(values: DataFrame, key: str, value: str, percents: list[int]) -> DataFrame:
-    """(key, percent, value): the value at place round(percent / 100 * (n - 1)), halves to even, of each key's sorted values."""
-    w = W.partitionBy(key)
-    placed = values.select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_p"), F.count("*").over(w).alias("_n"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.bround(F.lit(p / 100.0) * (F.col("_n") - 1)).cast("bigint").alias("at")) for p in percents]))
-    return placed.withColumn("_w", wanted).filter(F.col("_p") == F.col("_w.at")).select(key, F.col("_w.percent").alias("percent"), value)
-
-
 def recall_at(rank: Column, k: int) -> Column:
     return F.avg(F.coalesce((rank <= k).cast("double"), F.lit(0.0)))
 
@@ -91,6 +90,8 @@ def ablation(reports: dict[str, DataFrame], base: str) -> DataFrame:
 
 def suggested_bounds(rows: DataFrame, positive: Column, raw: Column, scored: Column) -> DataFrame:
     """(floor, ceiling, delta): the raw score's 5th percentile of the negatives and 95th of the positives, between which a score should run, and the difference of the classes' medians of another form of it, so that forms can be compared."""
-    of = lambda c, where, p: F.percentile(F.when(where, c), p)
-    delta = of(scored, positive, 0.5) - of(scored, ~positive, 0.5)
-    return rows.agg(F.round(of(raw, ~positive, 0.05), 6).alias("floor"), F.round(of(raw, positive, 0.95), 6).alias("ceiling"), F.round(delta, 6).alias("delta"))
+    bounds = percentiles(of_groups(rows, {"neg": ~positive, "pos": positive}, raw), "k", "v", {"low": 0.05, "high": 0.95})
+    middles = percentiles(of_groups(rows, {"neg": ~positive, "pos": positive}, scored), "k", "v", {"m": 0.5})
+    of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))  # noqa: E731  # two rows each
+    one = bounds.agg(F.round(of("low", "neg"), 6).alias("floor"), F.round(of("high", "pos"), 6).alias("ceiling"))
+    return one.join(F.broadcast(middles.agg(F.round(of("m", "pos") - of("m", "neg"), 6).alias("delta"))))

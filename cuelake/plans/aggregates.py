@@ -86,8 +86,10 @@ def centroid(spark, sf_dir):
 @query("a10_contour", """SELECT user_id, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 6) AS range, round(avg(value), 6) AS mean, max(value) AS peak, round(count(*) FILTER (value > 20)::DOUBLE / count(*), 6) AS voiced FROM events GROUP BY 1""")
 def contour(spark, sf_dir):
     """A contour's median, spread, mean, peak and voiced share."""
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.percentile(v, 0.5), 6).alias("median"), F.round(F.percentile(v, 0.9) - F.percentile(v, 0.1), 6).alias("range"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("peak"), F.round(F.count_if(v > 20) / F.count("*"), 6).alias("voiced"))
+    e, v = table(spark, sf_dir, "events"), F.col("value")
+    sums = e.groupBy("user_id").agg(F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("peak"), F.round(F.count_if(v > 20) / F.count("*"), 6).alias("voiced"))
+    spread = metrics.percentiles(e, "user_id", "value", {"low": 0.1, "middle": 0.5, "high": 0.9})
+    return sums.join(spread, "user_id").select("user_id", F.round("middle", 6).alias("median"), F.round(F.col("high") - F.col("low"), 6).alias("range"), "mean", "peak", "voiced")
 
 
 _RESULTS_SQL = "res AS (SELECT item_id AS query, row_number() OVER (PARTITION BY item_id ORDER BY (video_id * 31 + item_id * 17 + sentence_idx) % 101, video_id, sentence_idx) AS rank, video_id, start_sec, end_sec, n_words AS words FROM benchmark b JOIN sent ON video_id % 10 = item_id % 10 QUALIFY rank <= 5)"
@@ -140,8 +142,9 @@ def auc(spark, sf_dir):
 def class_medians(spark, sf_dir):
     """Each class's median and their difference."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    of = lambda q: F.percentile(F.when(F.col("quality") == q, F.col("n_chars")), 0.5)
-    return rows.agg(of(1).alias("pos"), of(0).alias("neg"), (of(1) - of(0)).alias("delta"))
+    middles = metrics.percentiles(rows, "quality", "n_chars", {"m": 0.5})
+    of = lambda q: F.max(F.when(F.col("quality") == q, F.col("m")))  # noqa: E731  # a row a class
+    return middles.agg(of(1).alias("pos"), of(0).alias("neg"), (of(1) - of(0)).alias("delta"))
 
 
 @query("a18_shot_length", "SELECT video_id, count(*) AS cuts, round(avg(gap), 2) AS mean_shot FROM (SELECT user_id AS video_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events WHERE event_type = 'click') WHERE gap IS NOT NULL GROUP BY 1")
