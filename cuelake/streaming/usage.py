@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ..operators import admission, inverted
+from ..operators import admission, inverted, jobs
 
 
 def window_counts(calls: DataFrame, bucket: str, at: str, size: str = "1 hour", step: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -72,6 +72,52 @@ def admissions(calls: DataFrame, bucket: str, call: str, at: str, limit: int, wi
     return rows.withColumn("bucket", F.col("bucket").cast("string")).groupBy("bucket").transformWithStateInPandas(_Admission(limit, window, slack), ddl, "Append", "EventTime")
 
 
+class _Lives(StatefulProcessor):
+    """Snapshots wait until the watermark has passed them; timers also tell when an open job has been silent for too long."""
+
+    def __init__(self, timeout: int):
+        self.timeout = timeout
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "t bigint, version bigint, status string", "copies bigint")
+        self.life = handle.getValueState("life", "status string, version bigint, seen bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            for t, version, status in zip(frame["t"].tolist(), frame["version"].tolist(), frame["status"].tolist(), strict=True):
+                self.waiting.updateValue((t, version, status), (1,))  # the same snapshot again changes nothing
+                self.handle.registerTimer(-(-t // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        life = jobs.Life(self.timeout, *(self.life.get() if self.life.exists() else ()))
+        out = []
+        for t, version, status in sorted(k for k in [tuple(k) for k in self.waiting.keys()] if k[0] <= now):
+            out += life.take(version, t, status)
+            self.waiting.removeKey((t, version, status))
+        out += life.expired(now)
+        if life.version is not None:
+            self.life.update((life.status, life.version, life.seen))
+            if life.status in jobs.OPEN:
+                self.handle.registerTimer((life.seen + self.timeout) // 1000 + 1)
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=["job", "t", "status", "version"])
+
+    def close(self) -> None:
+        pass
+
+
+def job_transitions(changes: DataFrame, job: str, version: str, at: str, status: str, now: int | None = None, timeout: int = jobs.TIMEOUT, late: str = "10 minutes") -> DataFrame:
+    """(job, t, status, version): each job's changes of state, see ``operators.jobs``; of a batch up to now (microseconds), or of a stream as its watermark goes on, whose state store must be RocksDB's."""
+    timed = changes.withWatermark(at, late) if changes.isStreaming else changes
+    rows = timed.select(F.col(job).alias("job"), F.col(version).cast("bigint").alias("version"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(status).alias("status"), *([F.col(at)] if changes.isStreaming else []))
+    if not changes.isStreaming:
+        return jobs.transitions(rows, now, timeout)
+    known = rows.filter(F.col("version").isNotNull() & F.col("status").isin(*jobs.FOLLOWS[None])).withColumn("job", F.col("job").cast("string"))
+    return known.groupBy("job").transformWithStateInPandas(_Lives(timeout), "job string, t bigint, status string, version bigint", "Append", "EventTime")
+
+
 def job_states(changes: DataFrame, job: str, at: str, status: str) -> DataFrame:
     """(job, status, at): each job's state by its latest change, whatever order the changes come in."""
     latest = F.max(F.struct(F.col(at).alias("at"), F.col(status).alias("status"))).alias("s")
