@@ -407,16 +407,20 @@ class Library:
         return concepts.suggested_queries(s.table("chunks"), s.idf(), ["people", "thing", "really", "something"])
 
     def put_vectors(self, rows: DataFrame) -> None:
-        """Vectors of sentences (video_id, sentence_idx, kind, status, vector) in place of those of the same sentence and kind; kind is dense or visual, status of a visual one ok or video-level."""
+        """Vectors of sentences (video_id, sentence_idx, kind, status, vector) in place of those of the same sentence and kind; kind is dense or visual, status of a visual one ok, video-level or failed. A visual one never takes the place of a better one."""
         keys = ["video_id", "sentence_idx", "kind"]
         touched = [r[0] for r in rows.select(_part_of("video_id")).distinct().collect()]  # PARTS at most
 
+        def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+            seen = F.col("kind").eqNullSafe("visual")
+            return mutation.replace(old.filter(~seen), new.filter(~seen), keys).unionByName(mutation.raised(old.filter(seen), new.filter(seen), keys, "status"))
+
         def work(change: Change) -> None:
             if len(touched) > FEW_PARTS:
-                change.write("vectors", mutation.replace(change.table("vectors"), rows, keys))
+                change.write("vectors", merged(change.table("vectors"), rows))
                 return
             for part in touched:
-                change._write_part("vectors", part, mutation.replace(change._rows("vectors", part), rows.filter(_part_of("video_id") == part), keys))
+                change._write_part("vectors", part, merged(change._rows("vectors", part), rows.filter(_part_of("video_id") == part)))
 
         self.commit(work)
 
@@ -440,7 +444,7 @@ class Library:
         The pool is the best by dense and lexical rank; ``embed`` makes a query's vector (None: TF-IDF stands in for it), and ``least`` is a floor
         of the pool. ``rerank`` gives a column of logits for the query and a text; without it, or if it fails, results are unranked. In visual mode
         sentences are ranked by their pictures alone, those with a picture of the whole video last. A blank query, an empty
-        library, or one without pictures in visual mode gives no row. Long texts are shrunk to the part around their middle.
+        library, or one without pictures in visual mode gives no row. Long texts are shrunk to the part around the sentence that answers best.
         """
         now, visual = self.snapshot(), mode == "visual"
         c, vectors = now.table("chunks"), now.table("vectors")
@@ -483,14 +487,25 @@ class Library:
         texts = chosen.join(found.select("video_id", "first", "last", "text"), ["video_id", "first"])
         about = near.select("video_id", F.col("sentence_idx").alias("first"), search.reason(F.col("section_topic"), F.col("concepts"), visual).alias("reason"))
         full = texts.join(about, ["video_id", "first"], "left")
-        shown = full if visual else self._focused(full, near)
+        if visual:
+            return full.select(empty.columns).orderBy("kind", "place")
+        # a long text is shrunk around its sentence that answers best, by the model, or else around the best that was matched
+        weights = self.spark.createDataFrame([(r["video_id"], r["sentence_idx"], r["score"]) for r in best], "video_id string, sentence_idx bigint, weight double")
+        if ranked:
+            inside = near.join(full.select("video_id", F.explode(F.sequence("first", "last")).alias("sentence_idx")).distinct(), ["video_id", "sentence_idx"], "left_semi")
+            answers = inside.select("video_id", "sentence_idx", rerank(F.lit(query), F.col("text")).cast("double").alias("weight"))
+            try:
+                weights = self.spark.createDataFrame(answers.collect(), weights.schema)
+            except Exception as e:
+                logging.getLogger(__name__).warning("quotes around matched sentences: %s", e)
+        shown = self._focused(full, near, weights)
         return shown.select(empty.columns).orderBy("kind", "place")
 
-    def _focused(self, found: DataFrame, chunks: DataFrame) -> DataFrame:
-        """Long texts as the sentences around their middle; times stay those of the whole."""
+    def _focused(self, found: DataFrame, chunks: DataFrame, weights: DataFrame) -> DataFrame:
+        """Long texts as the sentences around that of the largest weight (video_id, sentence_idx, weight); times stay those of the whole."""
         name = F.concat_ws("|", "kind", "place")
         each = found.select(name.alias("n"), "video_id", F.explode(F.sequence("first", "last")).alias("sentence_idx")).join(chunks.select("video_id", "sentence_idx", "text", "start_sec", "end_sec"), ["video_id", "sentence_idx"])
-        lines = each.select(F.col("n").alias("video_id"), "sentence_idx", word_count("text").cast("bigint").alias("n_words"), "start_sec", "end_sec")
+        lines = each.join(weights, ["video_id", "sentence_idx"], "left").select(F.col("n").alias("video_id"), "sentence_idx", word_count("text").cast("bigint").alias("n_words"), "start_sec", "end_sec", "weight")
         part = selection.focus_quotes(lines).select(F.col("video_id").alias("n"), F.col("first").alias("a"), F.col("last").alias("b"))
         kept = each.join(part, "n").filter("sentence_idx BETWEEN a AND b")
         short = kept.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_idx", "text"))), lambda x: x["text"]), " ").alias("short"))

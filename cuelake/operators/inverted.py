@@ -7,6 +7,8 @@ over the deltas, so that writing one never reads what others hold, and a search
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,12 +97,20 @@ class Index:
         n = self.sizes(deltas).n + n_more
         return found.select("term", "df", (F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
-    def of_terms(self, rows: DataFrame, named: DataFrame, small) -> DataFrame:
-        """Rows of the index with one of these terms: their buckets are read alone, and few terms go into the scan."""
-        buckets = [r[0] for r in named.select(self._bucket()).distinct().collect()]  # a term's bucket each, as many at most as there are
+    def of_terms(self, rows: DataFrame, named: DataFrame, listed: list[str] | None) -> DataFrame:
+        """Rows of the index with one of these terms (term): their buckets are read alone. A few that are ``listed`` go into the scan; more are joined."""
+        if listed is None:
+            buckets = [r[0] for r in named.select(self._bucket()).distinct().collect()]  # a term's bucket each, as many at most as there are
+        else:
+            buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in listed})
         rows = rows.filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
-        listed = [r[0] for r in named.limit(MOST_LISTED + 1).collect()]
-        return rows.filter(F.col("term").isin(listed)) if len(listed) <= MOST_LISTED else rows.join(small(named), "term", "left_semi")
+        return rows.filter(F.col("term").isin(listed)) if listed is not None else rows.join(named, "term", "left_semi")
+
+    def _asked(self, asked: DataFrame) -> tuple[list[str] | None, Callable[[DataFrame], DataFrame]]:
+        """The terms of queries, if they are few, and what may be broadcast of them: rows by term and query, if their number is within the bound."""
+        found = [r[0] for r in asked.select("term").distinct().limit(MOST_LISTED + 1).collect()]
+        listed = found if len(found) <= MOST_LISTED else None
+        return listed, F.broadcast if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED else (lambda x: x)
 
     def bm25(self, deltas: list[str], queries: DataFrame, query: str, query_text: str) -> DataFrame:
         """(query, keys, score) of each chunk that holds a term of a query: the scores of ``retrieval.bm25`` over the chunks that are there.
@@ -109,16 +119,16 @@ class Index:
         taken from the vocabulary, and only if a query has such a term.
         """
         asked = queries.select(query, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
-        small = F.broadcast if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED else (lambda x: x)
-        named = asked.select("term").distinct()
+        listed, small = self._asked(asked)
+        named = small(asked.select("term").distinct())
         n, lengths, measured = self.sizes(deltas)
         raw = (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
-        mine = self.of_terms(self._read("vocabulary", deltas, _VOCABULARY).filter("kind = 'word'"), named, small).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").select("term", raw)
+        mine = self.of_terms(self._read("vocabulary", deltas, _VOCABULARY).filter("kind = 'word'"), named, listed).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").select("term", raw)
         floor = 0.0
         if not mine.filter("raw < 0").isEmpty():
             floor = self.vocabulary(deltas, "word").select(raw).agg(F.avg("raw") * EPSILON).first()[0]
         weighed = small(asked.join(mine.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")), "term"))
-        held = self.of_terms(self._read("postings", deltas, self._postings), named, small)
+        held = self.of_terms(self._read("postings", deltas, self._postings), named, listed)
         same = [*self.keys, "dl", "tf", "term"]
         live = held.repartition(*self.keys).groupBy(*same).agg(F.sum("sign").alias("sign")).filter("sign > 0")
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(lengths / max(measured, 1))))
@@ -128,8 +138,8 @@ class Index:
         """(query, keys, score): the cosines of ``retrieval.tfidf`` over these chunks, which are those of the index. Frequencies come from the vocabulary, and only chunks that hold a term of a query are taken apart."""
         count = lambda rows, keys, c: rows.select(*keys, F.explode(tokens(F.col(c))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
         asked = count(queries, [query], query_text)
-        small = F.broadcast if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED else (lambda x: x)
-        held = self.of_terms(self._read("postings", deltas, self._postings), asked.select("term").distinct(), small)
+        listed, small = self._asked(asked)
+        held = self.of_terms(self._read("postings", deltas, self._postings), small(asked.select("term").distinct()), listed)
         touched = chunks.join(held.select(self.keys).distinct(), self.keys, "left_semi")
         weight = self.vocabulary(deltas, "word").select("term", (F.log(F.lit(self.sizes(deltas).n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 

@@ -28,10 +28,13 @@ def fused(lexical: DataFrame | None, dense: DataFrame | None, query: str, keys:
     both = there[0]
     if len(there) == 2:
         reach = 2 * (retrieval.RECIPROCAL + most) - retrieval.RECIPROCAL
-        first = [retrieval.top(x, query, keys, reach).select(query, *keys) for x in there]
-        path = scratch.folder(first[0].sparkSession, "known")
-        known = scratch.written(first[0].unionByName(first[1]).distinct(), path)
-        both = retrieval.fuse([retrieval.ranks_of(known, x, query, keys, 2 * reach) for x in there], query, keys)
+        first = [retrieval.top(x, query, keys, reach + 1).select(query, *keys, "rank", F.lit(k).alias("_side")) for k, x in enumerate(there)]
+        tops = scratch.written(first[0].unionByName(first[1]), scratch.folder(first[0].sparkSession, "tops"))
+        known = tops.filter(F.col("rank") <= reach).select(query, *keys).distinct()
+        # a ranking that ends before has shown all its ranks
+        longer = {r[0] for r in tops.filter(F.col("rank") > reach).select("_side").distinct().collect()}
+        ranks = [retrieval.ranks_of(known, x, query, keys, 2 * reach) if k in longer else tops.filter(F.col("_side") == k).drop("_side") for k, x in enumerate(there)]
+        both = retrieval.fuse(ranks, query, keys)
     return retrieval.top(both.withColumn("score", F.round("score", 8)), query, keys, most)
 
 

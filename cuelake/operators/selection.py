@@ -150,7 +150,7 @@ def composite(signals: dict[str, Column], taste: Column | None = None) -> Column
 
 
 def focus_quotes(sentences: DataFrame) -> DataFrame:
-    """(video_id, first, last, n_words): for videos of more than FOCUS_WORDS words, the sentences around the middle one that fit FOCUS_WORDS and FOCUS_SECONDS, grown by turns, the one before first."""
+    """(video_id, first, last, n_words): for videos of more than FOCUS_WORDS words, the sentences around the one of the largest ``weight`` (if there is such a column and value; the first of equals), or the middle one, that fit FOCUS_WORDS and FOCUS_SECONDS, grown by turns, the one before first."""
     kinds = dict(sentences.dtypes)
 
     def focus(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,7 +159,8 @@ def focus_quotes(sentences: DataFrame) -> DataFrame:
         empty = pd.DataFrame({"video_id": pd.Series([], dtype=object), "first": [], "last": [], "n_words": []})
         if n.sum() <= FOCUS_WORDS or len(n) < 2:
             return empty
-        lo = hi = len(n) // 2
+        weight = pdf["weight"].to_numpy(dtype=float)
+        lo = hi = len(n) // 2 if np.isnan(weight).all() else int(np.nanargmax(weight))
         grew = True
         while grew:
             grew = False
@@ -169,7 +170,8 @@ def focus_quotes(sentences: DataFrame) -> DataFrame:
                     lo, hi, grew = a, b, True
         return pd.DataFrame({"video_id": pd.Series([pdf["video_id"].iloc[0]], dtype=object), "first": [at[lo]], "last": [at[hi]], "n_words": [n[lo : hi + 1].sum()]})
 
-    return sentences.select("video_id", "sentence_idx", "n_words", "start_sec", "end_sec").groupBy("video_id").applyInPandas(focus, f"video_id {kinds['video_id']}, first bigint, last bigint, n_words bigint")
+    weight = F.col("weight").cast("double") if "weight" in sentences.columns else F.lit(None).cast("double")
+    return sentences.select("video_id", "sentence_idx", "n_words", "start_sec", "end_sec", weight.alias("weight")).groupBy("video_id").applyInPandas(focus, f"video_id {kinds['video_id']}, first bigint, last bigint, n_words bigint")
 
 
 def pauses(points: DataFrame, words: DataFrame) -> DataFrame:

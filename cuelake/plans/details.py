@@ -314,9 +314,10 @@ def taste(spark, sf_dir):
 @query("m01_visual_retries", "SELECT doc_id FROM documents WHERE lang = 'en' OR (lang = 'fr' AND source IN (SELECT 'src' || n_nationkey FROM nation WHERE n_regionkey = 1))")
 def visual_retries(spark, sf_dir):
     """Rows to try again: never tried, or upgradeable where media exists."""
-    media = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"), F.lit(True).alias("media"))
-    d = table(spark, sf_dir, "documents").join(media, "source", "left")
-    return d.filter((F.col("lang") == "en") | ((F.col("lang") == "fr") & F.coalesce("media", F.lit(False)))).select("doc_id")
+    media = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
+    status = F.when(F.col("lang") == "fr", "video-level").when(F.col("lang") == "de", "failed").when(F.col("lang") != "en", "ok")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", status.alias("status"), F.lit(False).alias("gave_up"))
+    return mutation.to_retry(d, media, "source", "status", "gave_up").select("doc_id")
 
 
 @query("m06_transcript_input", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'library' WHEN source = 'src1' THEN 'timed' ELSE 'plain' END AS kind, n_chars <= 15000 AS short_enough FROM documents")

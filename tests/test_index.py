@@ -45,7 +45,7 @@ def test_a_search_reads_the_buckets_of_its_words(spark, tmp_path):
     index = inverted.Index(spark, str(tmp_path), "id int", 64)
     index.append("a", spark.createDataFrame([(k, f"word{k} common") for k in range(200)], "id int, text string"), "text")
     named = spark.createDataFrame([("word7",)], "term string")
-    plan = index.of_terms(index._read("postings", ["a"], index._postings), named, F.broadcast)
+    plan = index.of_terms(index._read("postings", ["a"], index._postings), named, ["word7"])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in text and "PushedFilters: [IsNotNull(term), EqualTo(term,word7)]" in text or "In(term" in text
     read = {f.split("bucket=")[1].split("/")[0] for f in plan.inputFiles()}
@@ -53,6 +53,7 @@ def test_a_search_reads_the_buckets_of_its_words(spark, tmp_path):
     assert plan.count() == 1
     files = plan.select(F.input_file_name().alias("f")).distinct().collect()
     assert len(files) == 1 and "/d=a/bucket=" in files[0].f
+    assert index.of_terms(index._read("postings", ["a"], index._postings), named, None).count() == 1
 
 
 def row(spark, k):
@@ -172,3 +173,37 @@ def test_a_failing_model_leaves_an_unranked_search(spark, tmp_path):
     found = lib.answer("river", rerank=lambda q, t: broken(q, t))
     assert found["degraded"] and found["results"][0]["confidence"] == "unranked"
     assert not lib.answer("river", rerank=lambda q, t: F.lit(3.0))["degraded"]
+
+
+def test_no_write_lowers_a_pictures_state(spark, tmp_path):
+    from cuelake.operators import mutation
+
+    rng = random.Random(4)
+    ddl = "video_id string, k int, status string, vector array<double>"
+    rows = [("a", rng.randint(0, 5), rng.choice([None, "failed", "video-level", "ok", "odd"]), [rng.random()]) for _ in range(40)]
+    frame = lambda x: spark.createDataFrame(x, ddl)
+    tables = []
+    for _ in range(3):
+        rng.shuffle(rows)
+        once = mutation.raised(frame(rows[:15]), frame(rows[10:]), ["video_id", "k"], "status")
+        tables.append(sorted(map(str, mutation.raised(once, frame(rows[:20]), ["video_id", "k"], "status").collect())))
+    assert tables[0] == tables[1] == tables[2] and len(tables[0]) == len({r[1] for r in rows})
+    lib = Library(spark, str(tmp_path / "lib"))
+    put = lambda status, x: lib.put_vectors(spark.createDataFrame([("a", 0, "visual", status, [x])], SCHEMAS["vectors"]))
+    for status, x in (("video-level", 1.0), ("ok", 2.0), ("failed", 3.0), ("video-level", 4.0)):
+        put(status, x)
+    assert [(r.status, r.vector) for r in lib.table("vectors").collect()] == [("ok", [2.0])]
+    media = spark.createDataFrame([("a",), ("b",)], "video_id string")
+    known = spark.createDataFrame([("a", 1, None, None), ("a", 2, "video-level", False), ("b", 3, "video-level", True), ("c", 4, "video-level", None), ("a", 5, "ok", None), ("a", 6, "failed", None), ("c", 7, None, True)], "video_id string, k int, status string, gave_up boolean")
+    assert {r.k for r in mutation.to_retry(known, media, "video_id", "status", "gave_up").collect()} == {1, 2, 7}
+
+
+def test_quotes_are_around_what_answers(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    filler = "we walked along the quiet road and talked about many other small things until the evening came over all of it"
+    said = [f"First {filler}.", f"Second {filler} with a zebra.", f"Third {filler} at last."]
+    lib.ingest("a", "A", segments(spark, said))
+    matched = lib.search("zebra").first()
+    assert "zebra" in matched.text and "Third" not in matched.text and (matched.first, matched["last"]) == (0, 2)
+    around = lambda word: lib.search("zebra", rerank=lambda q, t: F.when(t.contains(word), 5.0).otherwise(1.0)).first().text
+    assert "Third" in around("Third") and "First" not in around("Third") and "First" in around("First") and "Third" not in around("First")
