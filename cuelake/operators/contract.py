@@ -15,7 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .studio import error_kind
+from ..sources import scratch
+from . import selection
+from .studio import error_kind, valid_beats
 
 Provider = Callable[[str, str], tuple[str, int, int]]
 # Names under which models wrap a list that was asked for.
@@ -97,8 +99,10 @@ def window_beats(sentences: DataFrame, windows: DataFrame, provider: Provider, s
     """Beats (video_id, beat_type, first, last, needs, title, why, quote) of windows (video_id, window, sentence_idx), and a report by video (video_id, mode, windows, failed, prompt_tokens, completion_tokens).
 
     A window whose request is too long for the model is cut in half, once, and its halves are asked for alone. Other
-    failures leave their window out: mode is llm if none failed, llm_partial if some did, heuristic if all did.
+    failures leave their window out: mode is llm if none failed, llm_partial if some did, heuristic if all did. Answers are
+    written before they are looked at: nothing is asked, or paid for, again where they are read twice or an executor is lost after.
     """
+    path = scratch.folder(sentences.sparkSession, "answers")
     lines = windows.join(sentences.select("video_id", "sentence_idx", "text"), ["video_id", "sentence_idx"]).withColumn("half", F.lit(0))
 
     def ask(rows: DataFrame) -> DataFrame:
@@ -107,11 +111,11 @@ def window_beats(sentences: DataFrame, windows: DataFrame, provider: Provider, s
         asked = rows.groupBy("video_id", "window", "half").agg(user.alias("user"), F.count("*").alias("n")).withColumn("system", F.lit(system))
         return completed(asked, provider, "array").withColumn("kind", F.when(F.col("error").isNotNull(), error_kind(F.col("error"))))
 
-    whole = ask(lines).cache()
+    whole = scratch.written(ask(lines), f"{path}/whole")
     cut = whole.filter("kind = 'context_length' AND n > 1").select("video_id", "window", "n")
     place = F.row_number().over(W.partitionBy("video_id", "window").orderBy("sentence_idx"))
     halves = ask(lines.join(cut, ["video_id", "window"]).withColumn("half", F.when(place <= F.floor(F.col("n") / 2), 1).otherwise(2)).drop("n"))
-    all_ = whole.join(cut.select("video_id", "window"), ["video_id", "window"], "left_anti").unionByName(halves).cache()
+    all_ = whole.join(cut.select("video_id", "window"), ["video_id", "window"], "left_anti").unionByName(scratch.written(halves, f"{path}/halves"))
     x = F.explode(F.from_json("answer", _BEATS)).alias("x")
     beats = all_.filter("answer IS NOT NULL").select("video_id", x).select("video_id", F.col("x.type").alias("beat_type"), F.col("x.start").alias("first"), F.col("x.end").alias("last"), F.col("x.requires").alias("needs"), "x.title", "x.why", "x.quote")
     bad = F.count_if(F.col("answer").isNull())
@@ -120,6 +124,19 @@ def window_beats(sentences: DataFrame, windows: DataFrame, provider: Provider, s
     return beats, all_.groupBy("video_id").agg(mode.alias("mode"), F.count("*").alias("windows"), bad.alias("failed"), *spent)
 
 
+def generated_beats(sentences: DataFrame, windows: DataFrame, provider: Provider | None, system: str) -> tuple[DataFrame, DataFrame]:
+    """Beats (video_id, beat_type, first, last, needs) and (video_id, mode): a model's where it gave any that hold, by the words of the sentences themselves where there is no model or all of a video's windows failed."""
+    columns = ["video_id", "beat_type", "first", "last", "needs"]
+    plain = selection.heuristic_beats(sentences)
+    if provider is None:
+        return plain.select(columns), sentences.select("video_id").distinct().withColumn("mode", F.lit("heuristic"))
+    found, report = window_beats(sentences, windows, provider, system)
+    valid = valid_beats(found, sentences).select(columns)
+    # videos without any window were never asked about
+    modes = sentences.select("video_id").distinct().join(report.select("video_id", "mode"), "video_id", "left").withColumn("mode", F.coalesce("mode", F.lit("heuristic")))
+    return valid.unionByName(plain.join(modes.filter("mode = 'heuristic'"), "video_id", "left_semi").select(columns)), modes
+
+
 def digest(segments: DataFrame, lines: int = DIGEST_LINES, buckets: int = DIGEST_BUCKETS) -> DataFrame:
     """(video_id, segment, digest): for each segment (video_id, segment, first, last, summary) a line for each before it, ``[first-last] summary``.
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelake.library import Library
-from cuelake.operators import captions, contract, dependencies, metrics, ranking, retrieval, search, studio, tools
+from cuelake.operators import captions, contract, dependencies, metrics, ranking, retrieval, search, selection, studio, tools
 
 from .test_library import segments
 
@@ -189,6 +189,19 @@ def test_long_windows_are_halved(spark):
     assert {r.video_id: (r.mode, r.windows, r.failed, r.prompt_tokens) for r in report.collect()} == {1: ("llm", 2, 0, 8), 2: ("llm_partial", 2, 1, 4), 3: ("heuristic", 1, 1, 0)}
 
 
+def test_beats_without_a_model_come_from_the_words(spark):
+    said = ["We begin here.", "Why did it fail?", "Nobody knew.", "But then it worked."]
+    s = spark.createDataFrame([(v, i + (20 if v == 3 else 0), said[i % 4]) for v in (1, 3) for i in range(4)], "video_id int, sentence_idx bigint, text string")
+    windows = s.select("video_id", F.lit(0).cast("bigint").alias("window"), "sentence_idx")
+    plain = {(r.video_id, r.beat_type, r["first"]) for r in selection.heuristic_beats(s).collect()}
+    beats, modes = contract.generated_beats(s, windows, beats_provider, "")
+    got = {(r.video_id, r.beat_type, r["first"]) for r in beats.collect()}
+    assert got == {(1, "hook", 0)} | {x for x in plain if x[0] == 3} and len(got) > 3
+    assert {r.video_id: r.mode for r in modes.collect()} == {1: "llm", 3: "heuristic"}
+    beats, modes = contract.generated_beats(s, windows, None, "")
+    assert {(r.video_id, r.beat_type, r["first"]) for r in beats.collect()} == plain and {r.mode for r in modes.collect()} == {"heuristic"}
+
+
 def test_a_digest_names_every_sentence(spark):
     rows = [("v", k, 3 * k, 3 * k + 2, f"s{k}" if k != 5 else "") for k in range(60)]
     found = {r.segment: r.digest for r in contract.digest(spark.createDataFrame(rows, "video_id string, segment bigint, first bigint, last bigint, summary string")).collect()}
