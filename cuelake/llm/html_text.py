@@ -56,7 +56,7 @@ NAMES = frozenset(
 )
 NAMES_APART = frozenset("aside comment comments disqus discussion recommendations recommended related replies reply respond sidebar widget widgets".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Headings that begin a reader's part of a page.
+#: Headings from which on an element holds its readers' comments.
 ABOUT_COMMENTS = frozenset("comments|reader comments|leave a comment|leave a reply|kommentare|leserkommentare|commentaires|comentarios".split("|"))
 
 #: Elements inside of lines, whose own text alone a name can take out.
@@ -115,6 +115,7 @@ class Page(HTMLParser):
         self.nodes = [Node(-1, "html", IN, False)]
         self.stack: list[tuple[str, int, bool]] = []  # open elements, each with its node or that around it, and whether its text is none
         self.open: Counter[str] = Counter()
+        self.comments: list[tuple[int, int]] = []  # elements in which comments begin, and at which line
         self.parts: list[str] = []
         self.tags, self.linked = 0, 0
         self.link = self.silent = 0
@@ -130,10 +131,9 @@ class Page(HTMLParser):
                 self.lines.append(Line(text, max(1, self.tags), self.linked, self._node(), heading))
                 if heading and text.lower().rstrip(" :()0123456789") in ABOUT_COMMENTS:
                     around = self._node()
-                    while self.nodes[around].kind in HEADINGS or self.nodes[around].kind in ("header", "hgroup"):
+                    while around and self.nodes[around].kind in (*HEADINGS, "header", "hgroup"):
                         around = self.nodes[around].parent
-                    if self.nodes[around].kind in ("section", "div"):
-                        self.nodes[around].out = OUT
+                    self.comments.append((around, len(self.lines) - 1))
                 self.tags = 0
             self.parts, self.linked = [], 0
 
@@ -231,6 +231,14 @@ def _outside(nodes: list[Node]) -> np.ndarray:
     return out
 
 
+def _inside(nodes: list[Node], root: int) -> np.ndarray:
+    """Whether each element is that one or in it."""
+    inside = np.zeros(len(nodes), bool)
+    for k, node in enumerate(nodes):
+        inside[k] = k == root or k > 0 and inside[node.parent]
+    return inside
+
+
 def _region(page: Page, mass: np.ndarray) -> int:
     """The innermost container with the bulk of the lines' mass; one with a heading or such lines directly in it isn't left for a part of it."""
     nodes = page.nodes
@@ -275,14 +283,19 @@ def extract(html: str) -> str:
     of, heading = np.array([x.node for x in page.lines]), np.array([x.heading for x in page.lines])
     out = _outside(page.nodes)[of]
     kept = (out == IN) | (out == HEADER) & heading
+    if page.comments:
+        until = np.full(len(page.nodes), len(page.lines))
+        for node, first in page.comments:
+            until[node] = min(until[node], first)
+        for k in range(1, len(page.nodes)):  # parents come first
+            until[k] = min(until[k], until[page.nodes[k].parent])
+        kept &= np.arange(len(page.lines)) < until[of]
     if not kept.any() and _misnamed(page, of, out):
         kept = out == NAMED
     if not kept.any():
         return ""
     region = _region(page, ratios * (kept & cluster if (kept & cluster).any() else kept))
-    inside = np.zeros(len(page.nodes), bool)
-    for k, node in enumerate(page.nodes):
-        inside[k] = k == region or k > 0 and inside[node.parent]
+    inside = _inside(page.nodes, region)
     links = np.array([x.linked >= LINKED * len(x.text) for x in page.lines])
     chosen = kept & inside[of] & ~(links & ~cluster)
     return "\n".join(line.text for line, yes in zip(page.lines, chosen, strict=True) if yes)

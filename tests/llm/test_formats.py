@@ -80,6 +80,7 @@ PAGES = {
     "aside, form, script, style": (f"<article>{BODY}<aside>{WORDS}</aside><form><label>Mail</label><input><p>{WORDS}</p></form><script>if (a < b) {{ '</p>' }}</script><style>p {{ }}</style></article>", "{}"),
     "comments": (f"<main><article>{BODY}</article><section id='comments'><h2>3 comments</h2><article><p>{WORDS}</p></article></section></main>", "{}"),
     "comments by heading": (f"<article>{BODY}<section><h3>Reader comments (3)</h3><p>{WORDS} I agree.</p></section></article>", "{}"),
+    "comments behind the text": (f"<div id=main><h1>A flood</h1>{BODY}<h2>Comments</h2><p>{WORDS} I agree.</p><div><p>{WORDS} So do I.</p></div></div>", "A flood\n{}"),
     "notice": (f"<div class='cookie-notice'><p>{WORDS} Accept?</p></div><div role=alert>{WORDS}</div><article>{BODY}</article>", "{}"),
     "headers": (f"<header><h1>The Paper</h1><p>{WORDS}</p></header><article><header><h1>A flood</h1></header>{BODY}</article>", "A flood\n{}"),
     "menu not closed": (f"<nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul><article>{BODY}</article>", "{}"),
