@@ -260,7 +260,9 @@ def ranked_clips(clips: DataFrame, sentences: DataFrame, words: DataFrame, idf:
     measured here; energy and pitch come from ``measured`` (clip_id, energy_delta, pitch_range_st, pitch_delta_st) by
     the clip's id, video_id:first:last, where there are any. What was not measured has no weight.
     """
-    found = pause_aligned(clips, sentences, words)
+    # what found the clips runs once, not at each look at them
+    own = scratch.written(clips.select("video_id", "first", "last"), scratch.folder(clips.sparkSession, "clips"))
+    found = pause_aligned(own, sentences, words)
     moved = found.select("video_id", F.col("new_first").alias("first"), F.col("new_last").alias("last"), "gain", "score").groupBy("video_id", "first", "last").agg(F.max("gain").alias("gain"), F.max("score").alias("score"))
     before = F.lag("sentence_idx").over(W.partitionBy("video_id").orderBy("sentence_idx"))
     # a sentence that points back needs the one before it: only a clip's first can be without
