@@ -8,13 +8,16 @@ shuffle brings their members instead of being broadcast: all trees together are
 which has no bound. A shard of more than MOST_IN_TREE members is linked exactly without comparing pairs: two
 fingerprints within two bits have a value within one bit of both, and at most 65 fingerprints are within one bit of a value.
 
-``alike`` finds near-duplicates by the similarity of their shingle sets instead. Sets 0.8 alike lie about ten bits apart,
-some of them twenty, where neither trees nor blocks prune; so MinHash bands propose the pairs and the sets confirm them.
+``alike`` finds near-duplicates by the similarity of their shingle sets instead. Of 64 bits, sets 0.8 alike differ in ten,
+some of them in twenty, more than blocks or trees tell from others. So it takes SimHashes of hundreds of bits, each bit a side
+of a random hyperplane, deals them by each of their bit blocks and links a shard's within WIDE_RADIUS by a BK-tree; the
+shingle sets then confirm or reject what the links connect.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import cut
-from .text import fresh, per_text, table
+from .text import fresh, per_text, table, tidy
 
 SHINGLE = 3
 SEED = 42
@@ -35,8 +38,13 @@ BLOCKS = ((1 << 24, 3), (1 << 34, 4), (1 << 64, 5))
 MOST_IN_TREE = 256
 #: Texts are alike if LEAST_SAME / LEAST_OF of the shingles of either are shingles of both.
 ALIKE_SHINGLE, LEAST_SAME, LEAST_OF = 5, 4, 5
-#: Of pairs just as much alike, all bands miss one in 20 million: (1 - 0.8 ** ROWS) ** BANDS.
-BANDS, ROWS = 32, 4
+#: By the count of texts, the bits of a block and the blocks of a wide fingerprint. Sets just alike differ in 0.1515 of all bits, those of
+#: five words' texts in 0.158: that no block agrees happens to one pair of either in ten million at most, (1 - 0.842 ** bits) ** blocks.
+WIDE = ((1 << 20, 8, 60), (1 << 24, 12, 124), (1 << 64, 16, 248))
+#: Trees compare the first 192 bits. Of pairs just alike one in a hundred million differs in more than the radius, of unrelated ones all but one in a million do.
+TREE_WORDS, WIDE_RADIUS = 3, 62
+#: So many fingerprints of a tree are compared with all that reach them at once, without edges; and with so many others at a time.
+LEAF, AT_ONCE = 64, 1 << 14
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -202,18 +210,109 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(named.unionByName(alone), "fp").select(key, "fp", "component_id")
 
 
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+def _planes(bits: int) -> np.ndarray:
+    """An odd factor for each eight hyperplanes."""
+    return np.random.default_rng(SEED).integers(0, 1 << 63, -(-bits // 8), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A signed number a band from the smallest products of the hashes with ROWS factors; none without hashes."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, _MASK, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        np.minimum(least, (_FACTORS[0][:, None] * hashes[at : at + (1 << 12)]).min(axis=1), out=least)
-    mixed = (least ^ (least >> np.uint64(29))) * _FACTORS[1]
-    return (mixed ^ (mixed >> np.uint64(32))).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+def wide_fingerprint(hashes: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """The bits of a SimHash by hyperplanes: each has a number from -128 to 127 for a hash, and a bit is 1 if they sum to more than is expected."""
+    sums = np.zeros(8 * len(planes), np.int64)
+    for at in range(0, len(hashes), 1 << 10):
+        x = hashes[at : at + (1 << 10), None] * planes
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        sums += x.view(np.int8).sum(axis=0, dtype=np.int32)
+    return 2 * sums > -len(hashes)
+
+
+def _distances(prints: np.ndarray, others: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Differing bits of each of some fingerprints and each of others."""
+    return sum(np.bitwise_count(prints[at, k][:, None] ^ prints[others, k]) for k in range(prints.shape[1]))
+
+
+def tree_groups(prints: np.ndarray, radius: int) -> np.ndarray:
+    """A label for each fingerprint (a row of unsigned words), the same for all that links within the radius connect.
+
+    One BK-tree of all, whose searches go down together: a node is compared at once with its subtree and with all whose
+    search reaches it, and they follow only edges within the radius of their distance. A subtree of one label is no
+    longer compared within itself or with that label, so that a large group of copies costs one look at each.
+    """
+    label = np.arange(len(prints), dtype=np.int32)
+
+    def unite(at: np.ndarray) -> None:
+        old = label[at]
+        if (old != old[0]).any():
+            label[np.isin(label, old)] = old.min()
+
+    todo = []
+
+    def later(members: np.ndarray, queries: np.ndarray) -> None:
+        first = label[members[0]]
+        if (label[members] == first).all():
+            queries = queries[label[queries] != first]
+            if not len(queries):
+                return
+        todo.append((members, queries))
+
+    later(label.copy(), label[:0].copy())
+    while todo:
+        members, queries = todo.pop()
+        if len(members) <= LEAF:
+            others = np.concatenate([members, queries])
+            for at in range(0, len(others), AT_ONCE):
+                near = _distances(prints, part := others[at : at + AT_ONCE], members) <= radius
+                a, b = (x[k] for x, k in zip((members, part), np.nonzero(near), strict=True))
+                for k in np.unique(a[label[a] != label[b]]):
+                    unite(np.append(b[a == k], k))
+            continue
+        node, rest = members[:1], members[1:]
+        of_rest, of_queries = (_distances(prints, x, node)[0].astype(np.int64) for x in (rest, queries))
+        unite(np.concatenate([node, rest[of_rest <= radius], queries[of_queries <= radius]]))
+        by, by_queries = np.argsort(of_rest, kind="stable"), np.argsort(of_queries, kind="stable")
+        rest, of_rest, queries, of_queries = rest[by], of_rest[by], queries[by_queries], of_queries[by_queries]
+        edges, starts = np.unique(of_rest, return_index=True)
+        ends = np.append(starts[1:], len(rest))
+        # of two subtrees the one at the longer edge is searched for the other's members
+        lows, (q_lows, q_highs) = np.searchsorted(of_rest, edges - radius), (np.searchsorted(of_queries, edges - radius), np.searchsorted(of_queries, edges + radius, "right"))
+        for a, b, low, q_low, q_high in zip(starts, ends, lows, q_lows, q_highs, strict=True):
+            later(rest[a:b], np.concatenate([rest[low:a], queries[q_low:q_high]]))
+    return label
+
+
+def _shard_groups(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(band, d, n) of all groups of n > 1 members that the shards' trees connect, from rows sorted by shard; a shard may go on in the next batch."""
+
+    def groups(rows: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.diff(rows[0], prepend=rows[0][:1] - 1))
+        found = [np.empty((3, 0), np.int64)]
+        for a, b in zip(starts, np.append(starts[1:], rows.shape[1]), strict=True):
+            if b - a < 2:
+                continue
+            d = rows[1, a:b]
+            label = tree_groups(np.ascontiguousarray(rows[2:, a:b].T).view(np.uint64), radius)
+            n = np.bincount(label, minlength=b - a)[label]
+            if (many := n > 1).any():
+                band = rows[0, a] * np.int64(0x1E3779B97F4A7C15) ^ d[label[many]]  # equal ones of two groups would only be compared in vain
+                found.append(np.stack([band, d[many], n[many]]))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(found, axis=1)], names=["band", "d", "n"])
+
+    waiting: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if not rows.shape[1]:
+            continue
+        last = int(np.searchsorted(rows[0], rows[0, -1]))
+        if last or (waiting and waiting[-1][0, -1] != rows[0, 0]):
+            with np.errstate(over="ignore"):
+                yield groups(np.concatenate([*waiting, rows[:, :last]], axis=1))
+            waiting = []
+        waiting.append(rows[:, last:])
+    if waiting:
+        with np.errstate(over="ignore"):
+            yield groups(np.concatenate(waiting, axis=1))
+    tidy()
 
 
 def _set(text: str | None) -> tuple[int, np.ndarray]:
@@ -229,15 +328,25 @@ _ALIKE = f"{LEAST_OF} * size(a) >= {LEAST_SAME} * size(b) AND {LEAST_OF} * size(
 def alike(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row with a key: key, component_id: the smallest key that it reaches over pairs of texts that are alike.
 
-    Equal sets are one node. A band's members are first compared with the one that meets most others in all bands, the
+    Equal sets are one node. Each bit block of the wide fingerprints deals them into shards, whose BK-trees give bands: what
+    a shard's links connect. A band's members are first compared with the one that meets most others in all bands, the
     least changed of a group of copies, which settles the group without its pairs; then all pairs of a band's members
     that are not yet connected are.
     """
+    named = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    n = named.count()
+    bits, blocks = next((b, k) for most, b, k in WIDE if n <= most)
 
     def sketches():
+        planes = _planes(bits * blocks)
+        first, values = np.arange(blocks) << bits, 1 << np.arange(bits)
+
         def one(x: str) -> tuple:
             d, hashes = _set(x)
-            return d, bands(hashes)
+            if not len(hashes):
+                return d, hashes.view(np.int64), hashes.view(np.int64)
+            set_ = wide_fingerprint(hashes, planes)
+            return d, first + set_[: bits * blocks].reshape(blocks, bits) @ values, np.packbits(set_[: 64 * TREE_WORDS], bitorder="little").view("<i8")
 
         return one
 
@@ -248,12 +357,11 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
         return one
 
-    named = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = cut(named.select("key", per_text(sketches, "d bigint, bands array<bigint>")(F.col("text")).alias("s")).select("key", "s.*"))
+    rows = cut(named.select("key", per_text(sketches, "d bigint, blocks array<bigint>, print array<bigint>")(F.col("text")).alias("s")).select("key", "s.*"))
     nodes = cut(rows.groupBy("d").agg(F.min("key").alias("rep")))
-    banded = rows.select("d", F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(banded.join(shared, "band").select("band", "d", "n"))
+    prints = rows.dropDuplicates(["d"]).select(F.explode("blocks").alias("shard"), "d", *[F.col("print")[k].alias(f"w{k}") for k in range(TREE_WORDS)])
+    trees = partial(_shard_groups, radius=WIDE_RADIUS)
+    members = cut(prints.repartition("shard").sortWithinPartitions("shard", "d").mapInArrow(trees, "band bigint, d bigint, n bigint"))
     members = members.join(cut(members.groupBy("d").agg(F.sum("n").alias("w"))), "d")
     hubs = cut(members.groupBy("band").agg(F.max(F.struct("w", "d"))["d"].alias("v")))
     members = cut(members.join(hubs, "band").select("band", "d", "v"))

@@ -133,6 +133,38 @@ def test_links_between_fingerprints_are_whole(spark, most, monkeypatch):
     assert got == [least[p] for p in plain]
 
 
+@pytest.mark.parametrize("leaf", [1, 64])
+def test_tree_groups_connect_what_all_pairs_do(leaf, monkeypatch):
+    """Fingerprints of several words around some of their own, equal ones among them; with other radii than the pipeline's too."""
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 40, 250):
+        bits = rng.integers(0, 2, (n // 6 + 1, 192), np.uint8)[rng.integers(0, n // 6 + 1, n)]
+        for row in bits:
+            row[rng.choice(192, rng.integers(0, 60), replace=False)] ^= 1
+        prints = np.packbits(bits, axis=1).view(np.uint64)
+        for radius in (0, 40, simhash.WIDE_RADIUS):
+            root = np.arange(n)
+            for i, j in np.argwhere((bits[:, None] != bits).sum(axis=2) <= radius):
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+            found = simhash.tree_groups(prints, radius)
+            assert len(set(zip(found.tolist(), root.tolist(), strict=True))) == len(set(found.tolist())) == len(set(root.tolist()))
+
+
+def test_wide_fingerprints_differ_by_the_angle_of_the_sets():
+    """Sets just alike in 0.15 of the bits, unrelated ones in half; short and long ones."""
+    rng = np.random.default_rng(12)
+    planes = simhash._planes(60 * 8)
+    for same, own, most in ((4, 1, 0.21), (16, 2, 0.2), (800, 100, 0.2)):
+        apart, unrelated = [], []
+        for _ in range(40):
+            h = rng.integers(0, 1 << 63, same + 2 * own, np.uint64) * np.uint64(2)
+            a, b, c = (simhash.wide_fingerprint(x, planes) for x in (h[: same + own], h[: same + own - 1] if own == 1 else np.delete(h, np.s_[same : same + own]), ~h))
+            apart.append((a != b).mean())
+            unrelated.append((a != c).mean())
+        assert 0.12 < np.mean(apart) < 0.18 and max(apart) < most + 0.05 and abs(np.mean(unrelated) - 0.5) < 0.03
+
+
 def test_near_duplicates_of_odd_documents(spark):
     rng = random.Random(9)
     body = prose(rng, 300)

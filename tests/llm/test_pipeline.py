@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from cuelake.llm import quality
+from cuelake.llm import quality, simhash
 
 from .helpers import docs, labels, odd_rows, prose
 from .test_across_documents import plain_dedup, plain_fingerprint, plain_roots
@@ -109,3 +109,18 @@ def test_near_deduplication_takes_all_that_are_alike(spark):
     out = corpus_pipeline.simhash_near_deduplication(spark, docs(spark, rows), "")
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(root))
     assert len(set(root)) < len(set(prints))
+
+
+def test_near_duplicates_come_from_the_fingerprints_trees(spark, monkeypatch):
+    """Pairs barely alike are found; with a radius that no pair is within, equal sets of shingles alone are."""
+    rng = random.Random(22)
+    rows = []
+    for _ in range(60):
+        words = prose(rng, 204).split()
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words)), (len(rows) + 2, " ".join([*words[:-22], *prose(rng, 22).split()]))]
+    table = docs(spark, rows)
+    found = corpus_pipeline.simhash_near_deduplication(spark, table, "")
+    assert sorted(r.doc_id for r in found.collect()) == list(range(0, 180, 3))
+    monkeypatch.setattr(simhash, "WIDE_RADIUS", -1)
+    found = corpus_pipeline.simhash_near_deduplication(spark, table, "")
+    assert sorted(r.doc_id for r in found.collect()) == [k for k in range(180) if k % 3 != 1]
