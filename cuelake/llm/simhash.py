@@ -10,8 +10,8 @@ fingerprints within two bits have a value within one bit of both, and at most 65
 
 ``alike`` finds near-duplicates by the similarity of their shingle sets instead. Of 64 bits, sets 0.8 alike differ in ten,
 some of them in twenty, more than blocks or trees tell from others. So it takes SimHashes of hundreds of bits, each bit a side
-of a random hyperplane, deals them by each of their bit blocks and links a shard's within WIDE_RADIUS by a BK-tree; the
-shingle sets then confirm or reject what the links connect.
+of a random hyperplane, deals them by each of their bit blocks and links a shard's within WIDE_RADIUS by a BK-tree. What a
+tree connects is looked at again with more bits, and the shingle sets then confirm or reject what stays connected.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -43,6 +43,11 @@ ALIKE_SHINGLE, LEAST_SAME, LEAST_OF = 5, 4, 5
 WIDE = ((1 << 20, 8, 60), (1 << 24, 12, 124), (1 << 64, 16, 248))
 #: Trees compare the first 192 bits. Of pairs just alike one in a hundred million differs in more than the radius, of unrelated ones all but one in a million do.
 TREE_WORDS, WIDE_RADIUS = 3, 62
+#: What a tree connects is connected again by the first 448 bits, which few unrelated texts pass. Of pairs just alike one in a hundred million differs in more.
+CLOSE_WORDS, CLOSE_RADIUS = 7, 118
+#: A group of more members is compared in cells: first each with its hub, then parts of these sizes with each other where they are still apart.
+#: So many shingles, in all sets of a cell's side, split it as well.
+CELL, SIDE, MOST_SHINGLES = 64, 256, 1 << 20
 #: So many fingerprints of a tree are compared with all that reach them at once, without edges; and with so many others at a time.
 LEAF, AT_ONCE = 64, 1 << 14
 
@@ -281,37 +286,43 @@ def tree_groups(prints: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables of whole runs of the first column, by which they are sorted; a run may go on in the next batch."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = batch.column(0).to_numpy()
+        last = int(np.searchsorted(first, first[-1]))
+        if last or (waiting and waiting[-1].column(0)[-1].as_py() != first[0]):
+            yield pa.Table.from_batches([*waiting, *([batch.slice(0, last)] if last else [])]).combine_chunks()
+            waiting = []
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _bounds(of: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each run of two or more equal numbers starts and ends."""
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    return ((a, b) for a, b in zip(starts, np.append(starts[1:], len(of)), strict=True) if b - a > 1)
+
+
 def _shard_groups(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(band, d, n) of all groups of n > 1 members that the shards' trees connect, from rows sorted by shard; a shard may go on in the next batch."""
-
-    def groups(rows: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.diff(rows[0], prepend=rows[0][:1] - 1))
-        found = [np.empty((3, 0), np.int64)]
-        for a, b in zip(starts, np.append(starts[1:], rows.shape[1]), strict=True):
-            if b - a < 2:
-                continue
+    """(band, head, d, n) of all groups of n > 1 members that the shards' trees connect, from rows (shard, d, words) sorted by shard and d; the head is the least d."""
+    for table_ in _runs(batches):
+        rows = np.stack([c.to_numpy() for c in table_.columns])
+        found = [np.empty((4, 0), np.int64)]
+        for a, b in _bounds(rows[0]):
             d = rows[1, a:b]
             label = tree_groups(np.ascontiguousarray(rows[2:, a:b].T).view(np.uint64), radius)
             n = np.bincount(label, minlength=b - a)[label]
             if (many := n > 1).any():
-                band = rows[0, a] * np.int64(0x1E3779B97F4A7C15) ^ d[label[many]]  # equal ones of two groups would only be compared in vain
-                found.append(np.stack([band, d[many], n[many]]))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(found, axis=1)], names=["band", "d", "n"])
-
-    waiting: list[np.ndarray] = []
-    for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        if not rows.shape[1]:
-            continue
-        last = int(np.searchsorted(rows[0], rows[0, -1]))
-        if last or (waiting and waiting[-1][0, -1] != rows[0, 0]):
-            with np.errstate(over="ignore"):
-                yield groups(np.concatenate([*waiting, rows[:, :last]], axis=1))
-            waiting = []
-        waiting.append(rows[:, last:])
-    if waiting:
-        with np.errstate(over="ignore"):
-            yield groups(np.concatenate(waiting, axis=1))
+                head = d[label[many]]
+                with np.errstate(over="ignore"):
+                    band = rows[0, a] * np.int64(0x1E3779B97F4A7C15) ^ head  # equal ones of two groups would only be compared in vain
+                found.append(np.stack([band, head, d[many], n[many]]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(found, axis=1)], names=["band", "head", "d", "n"])
     tidy()
 
 
@@ -321,32 +332,101 @@ def _set(text: str | None) -> tuple[int, np.ndarray]:
     return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), hashes
 
 
-#: That two sets a and b are enough alike, without a division; sizes rule out most that are not.
-_ALIKE = f"{LEAST_OF} * size(a) >= {LEAST_SAME} * size(b) AND {LEAST_OF} * size(b) >= {LEAST_SAME} * size(a) AND size(array_intersect(a, b)) * {LEAST_SAME + LEAST_OF} >= {LEAST_SAME} * (size(a) + size(b))"
+def cell_links(d: np.ndarray, part: np.ndarray, side: np.ndarray, prints: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (u, v) that connect a cell's members as do all its pairs of different parts and sides, or of side 2, that are close and alike.
+
+    A pair that is connected already is not compared; the others are, set by set, so that no row is made of a pair.
+    """
+    label = np.unique(part, return_inverse=True)[1]
+    size, links = np.array([len(x) for x in sets]), []
+    for k in range(len(d) - 1):
+        other = k + 1 + np.flatnonzero((label[k + 1 :] != label[k]) & ((side[k + 1 :] != side[k]) | (side[k] == 2)))
+        other = other[(LEAST_OF * size[other] >= LEAST_SAME * size[k]) & (LEAST_OF * size[k] >= LEAST_SAME * size[other])]
+        other = other[np.bitwise_count(prints[other] ^ prints[k]).sum(axis=1) <= CLOSE_RADIUS]
+        if not len(other):
+            continue
+        theirs = np.concatenate([sets[x] for x in other])
+        at = np.minimum(np.searchsorted(sets[k], theirs), size[k] - 1)
+        same = np.add.reduceat(sets[k][at] == theirs, np.append(0, np.cumsum(size[other])[:-1]), dtype=np.int64)
+        other = other[same * (LEAST_SAME + LEAST_OF) >= LEAST_SAME * (size[k] + size[other])]
+        for x in other[np.unique(label[other], return_index=True)[1]]:
+            links.append((int(d[k]), int(d[x])))
+        label[np.isin(label, label[other])] = label[k]
+    return links
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each cell from rows (cell, d, part, side, print, hashes) sorted by cell."""
+    for rows in _runs(batches):
+        cell, d, part, side = (rows.column(k).to_numpy() for k in range(4))
+        prints = rows.column(4).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(d), -1)
+        hashes = rows.column(5).combine_chunks()
+        hashes = hashes.chunk(0) if isinstance(hashes, pa.ChunkedArray) else hashes
+        ends = np.append(0, np.cumsum(hashes.value_lengths().to_numpy()))
+        values = hashes.flatten().to_numpy().view(np.uint64)
+        links = []
+        for a, b in _bounds(cell):
+            links += cell_links(d[a:b], part[a:b], side[a:b], prints[a:b], [values[ends[k] : ends[k + 1]] for k in range(a, b)])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+    tidy()
+
+
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """Links (u, v) from rows (cell, d, part, side, print, hashes)."""
+    return rows.select("cell", "d", "part", "side", "print", "hashes").repartition("cell").sortWithinPartitions("cell", "d").mapInArrow(_cells, "u bigint, v bigint")
+
+
+def _number(n: str, total: str, most: int) -> Column:
+    """Into how many cells or sides go n sets of so many shingles in all."""
+    return F.ceil(F.greatest(F.col(n) / most, F.col(total) / MOST_SHINGLES)).cast("int")
+
+
+def _still_apart(sets: DataFrame, near: DataFrame) -> DataFrame:
+    """Links between the parts that the links so far leave in groups of several cells: every two sides of a group, but never two of one part."""
+    roots = cut(components(near).withColumnRenamed("u", "d"))
+    parts = cut(sets.filter("cells > 1").select("grp", "d", "size").join(roots, "d", "left").select("grp", "d", "size", F.coalesce("root", "d").alias("part")))
+    of_part = cut(parts.groupBy("grp", "part").agg(F.count("*").alias("n"), F.sum("size").alias("total")))
+    apart = of_part.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
+    # a part that fills sides has its own, the rest of the group's share theirs
+    own = F.when((F.col("n") > SIDE) | (F.col("total") > MOST_SHINGLES), F.col("part"))
+    of_part = cut(of_part.join(apart, "grp").withColumn("own", own))
+    number = of_part.groupBy("grp", "own").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    number = cut(number.select("grp", "own", _number("n", "total", SIDE).alias("k")))
+    sides = number.select("grp", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("at")).select("grp", "own", F.xxhash64("grp", F.coalesce("own", F.lit(0)), F.col("own").isNull(), "at").alias("a"))
+    sides = cut(sides)
+    pairs = sides.alias("x").join(sides.alias("y"), F.expr("x.grp = y.grp AND (x.a < y.a AND NOT coalesce(x.own = y.own, false) OR x.a = y.a AND x.own IS NULL)"))
+    pairs = pairs.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.xxhash64("x.a", "y.a").alias("cell"))
+    ends = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("a"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("a"), F.lit(0).alias("side")), F.struct(F.col("b").alias("a"), F.lit(1).alias("side"))))
+    cells = cut(pairs.select("cell", F.explode(ends).alias("e")).select("cell", "e.a", "e.side"))
+    mine = of_part.select("grp", "part", "own").join(number.select("grp", F.col("own").alias("own_"), "k"), ["grp"]).filter("own <=> own_")
+    placed = cut(parts.select("d", "grp", "part").join(mine.select("grp", "part", "own", "k"), ["grp", "part"]))
+    placed = placed.select("d", "part", F.xxhash64("grp", F.coalesce("own", F.lit(0)), F.col("own").isNull(), F.expr("cast(pmod(xxhash64(d), k) as int)")).alias("a"))
+    return _in_cells(placed.join(cells, "a").join(sets.filter("cells > 1").select("d", "print", "hashes"), "d"))
 
 
 def alike(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row with a key: key, component_id: the smallest key that it reaches over pairs of texts that are alike.
 
     Equal sets are one node. Each bit block of the wide fingerprints deals them into shards, whose BK-trees give bands: what
-    a shard's links connect. A band's members are first compared with the one that meets most others in all bands, the
-    least changed of a group of copies, which settles the group without its pairs; then all pairs of a band's members
-    that are not yet connected are.
+    a shard's links connect. More of the bits split the bands, and what they leave connected are the groups, each set being
+    in one at most. A group's sets meet in cells, where all pairs are compared that are close and not yet connected. Those of
+    a large group meet first in one cell each, beside the one that has most others in its bands, the least changed of a
+    group of copies; only parts that this leaves apart meet again.
     """
     named = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     n = named.count()
     bits, blocks = next((b, k) for most, b, k in WIDE if n <= most)
+    words = -(-bits * blocks // 64)
 
     def sketches():
         planes = _planes(bits * blocks)
-        first, values = np.arange(blocks) << bits, 1 << np.arange(bits)
 
         def one(x: str) -> tuple:
             d, hashes = _set(x)
-            if not len(hashes):
-                return d, hashes.view(np.int64), hashes.view(np.int64)
-            set_ = wide_fingerprint(hashes, planes)
-            return d, first + set_[: bits * blocks].reshape(blocks, bits) @ values, np.packbits(set_[: 64 * TREE_WORDS], bitorder="little").view("<i8")
+            packed = np.zeros(8 * words if len(hashes) else 0, np.uint8)
+            if len(hashes):
+                packed[: len(planes)] = np.packbits(wide_fingerprint(hashes, planes), bitorder="little")
+            return d, len(hashes), packed.view("<i8")
 
         return one
 
@@ -357,30 +437,37 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
         return one
 
-    rows = cut(named.select("key", per_text(sketches, "d bigint, blocks array<bigint>, print array<bigint>")(F.col("text")).alias("s")).select("key", "s.*"))
+    def block(k: int) -> Column:
+        word, at = divmod(k * bits, 64)
+        found = F.shiftrightunsigned(F.col("print")[word], at)
+        if at + bits > 64:
+            found = found.bitwiseOR(F.shiftleft(F.col("print")[word + 1], 64 - at))
+        return found.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).bitwiseOR(F.lit(k << bits).cast("bigint"))
+
+    def first(n: int) -> list[Column]:
+        return [F.col("print")[k].alias(f"w{k}") for k in range(n)]
+
+    def trees(shards: DataFrame, radius: int) -> DataFrame:
+        found = shards.repartition(shards.columns[0]).sortWithinPartitions(*shards.columns[:2])
+        return cut(found.mapInArrow(partial(_shard_groups, radius=radius), "band bigint, head bigint, d bigint, n bigint"))
+
+    rows = cut(named.select("key", per_text(sketches, "d bigint, size int, print array<bigint>")(F.col("text")).alias("s")).select("key", "s.*"))
     nodes = cut(rows.groupBy("d").agg(F.min("key").alias("rep")))
-    prints = rows.dropDuplicates(["d"]).select(F.explode("blocks").alias("shard"), "d", *[F.col("print")[k].alias(f"w{k}") for k in range(TREE_WORDS)])
-    trees = partial(_shard_groups, radius=WIDE_RADIUS)
-    members = cut(prints.repartition("shard").sortWithinPartitions("shard", "d").mapInArrow(trees, "band bigint, d bigint, n bigint"))
-    members = members.join(cut(members.groupBy("d").agg(F.sum("n").alias("w"))), "d")
-    hubs = cut(members.groupBy("band").agg(F.max(F.struct("w", "d"))["d"].alias("v")))
-    members = cut(members.join(hubs, "band").select("band", "d", "v"))
-    reps = nodes.join(members.select("d").distinct(), "d")
-    texts = named.join(reps.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
+    prints = cut(rows.filter("size > 0").dropDuplicates(["d"]).select("d", "size", "print"))
+    bands = trees(prints.select(F.explode(F.array(*[block(k) for k in range(blocks)])).alias("shard"), "d", *first(TREE_WORDS)), WIDE_RADIUS)
+    close = trees(bands.select("band", "d").join(prints, "d").select("band", "d", *first(CLOSE_WORDS)), CLOSE_RADIUS)
+    groups = cut(components(close.select(F.col("d").alias("u"), F.col("head").alias("v"))).select(F.col("u").alias("d"), F.col("root").alias("grp")))
+    weights = close.groupBy("d").agg(F.sum("n").alias("w"))
+    groups = cut(groups.join(weights, "d").join(prints.select("d", "size", F.slice("print", 1, CLOSE_WORDS).alias("print")), "d"))
+    hubs = groups.groupBy("grp").agg(F.max(F.struct("w", "d"))["d"].alias("hub"), F.count("*").alias("n"), F.sum("size").alias("total"))
+    hubs = cut(hubs.select("grp", "hub", _number("n", "total", CELL).alias("cells")))
+    groups = groups.join(hubs, "grp").select("grp", "d", "size", "hub", "cells", "print")
+    texts = named.join(nodes.join(groups.select("d"), "d").select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
     found = texts.select(per_text(whole, "d bigint, hashes array<bigint>")(F.col("text")).alias("s")).select("s.*")
-    sets = cut(found.join(reps.select("d"), "d", "left_semi").dropDuplicates(["d"]))
-    stars = cut(members.filter("d <> v").select(F.greatest("d", "v").alias("u"), F.least("d", "v").alias("v")).distinct())
-    left, right = (sets.select(F.col("d").alias(x), F.col("hashes").alias(y)) for x, y in (("u", "a"), ("v", "b")))
-    near = cut(stars.join(left, "u").join(right, "v").filter(_ALIKE).select("u", "v"))
-    roots = cut(components(near).withColumnRenamed("u", "d"))
-    parts = cut(members.join(roots, "d", "left").select("band", "d", F.coalesce("root", "d").alias("part")))
-    apart = parts.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).filter("a <> b AND n > 2").select("band")
-    parts = cut(parts.join(apart, "band"))
-    # the sets are compared within the join, which gives the links alone and never writes a group's pairs
-    one = parts.select("band", F.col("d").alias("u"), F.col("part").alias("p")).join(left, "u")
-    other = parts.select(F.col("band").alias("band_"), F.col("d").alias("v"), F.col("part").alias("q")).join(right, "v")
-    rest = one.join(other, F.expr(f"band = band_ AND u > v AND p <> q AND {_ALIKE}")).select("u", "v").distinct()
-    roots = cut(components(near.unionByName(rest)).withColumnRenamed("u", "d"))
+    sets = cut(found.join(groups, "d").dropDuplicates(["d"]))
+    at = F.expr("if(d = hub, sequence(0, cells - 1), array(cast(pmod(xxhash64(d), cells) as int)))")
+    near = cut(_in_cells(sets.select(F.explode(at).alias("at"), "*").select(F.xxhash64("grp", "at").alias("cell"), "d", F.col("d").alias("part"), F.lit(2).alias("side"), "print", "hashes")))
+    roots = cut(components(near.unionByName(_still_apart(sets, near))).withColumnRenamed("u", "d"))
     linked = nodes.join(roots, "d")
     least = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id")))
     of = roots.join(least, "root").select("d", "component_id")

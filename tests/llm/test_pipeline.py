@@ -124,3 +124,32 @@ def test_near_duplicates_come_from_the_fingerprints_trees(spark, monkeypatch):
     monkeypatch.setattr(simhash, "WIDE_RADIUS", -1)
     found = corpus_pipeline.simhash_near_deduplication(spark, table, "")
     assert sorted(r.doc_id for r in found.collect()) == [k for k in range(180) if k % 3 != 1]
+
+
+def test_large_groups_of_near_copies_are_compared_without_rows_of_pairs(spark, monkeypatch):
+    """Most copies are not alike, but some are in chains; the same by all pairs, in one cell and in many. No set is written for each of its bands."""
+    rng = random.Random(23)
+    start, rows = prose(rng, 150).split(), []
+    for _ in range(160):
+        copy = start[:] if rng.random() < 0.8 or not rows else rng.choice(rows)[1].split()
+        for at in rng.sample(range(len(copy)), rng.choice([1, 2, 4, 6])):
+            copy[at] = f"changed{len(rows)}x{at}"
+        rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows if (w := t.split())]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    table = docs(spark, rows)
+    written = []
+    monkeypatch.setattr(simhash, "cut", lambda df, cut=simhash.cut: written.append(cut(df)) or written[-1])
+    for cell, side in ((64, 256), (16, 24), (1, 8)):
+        monkeypatch.setattr(simhash, "CELL", cell, raising=False)
+        monkeypatch.setattr(simhash, "SIDE", side, raising=False)
+        written.clear()
+        assert {r.doc_id: r.component_id for r in simhash.alike(table).collect()} == dict(enumerate(root))
+        pairs = [x for x in written if x.columns == ["u", "v"]]
+        assert max(x.count() for x in pairs) <= 2 * len(rows)
+    assert 1 < len(set(root)) < len(rows)
