@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -166,3 +167,14 @@ def test_streams_give_the_batch_rows(spark, tmp_path):
     q = usage.index_incrementally(stream, str(tmp_path / "index"), str(tmp_path / "check"), lambda b: b.select("id"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "index")).count() == 200
+
+
+def test_whether_a_long_text_points_back_takes_one_look_at_its_words(spark):
+    """The words were found anew for each word, in time that grew with the square of a text's length."""
+    long = " the old bridge over the river" * 3000
+    said = [("So it happened." + long, False), ("And they left." + long, True), ("But now that bridge" + long, True), ("This week" + long, False), ("Well it ate" + long, True), ("So and but it ate" + long, True), ("So and but now it ate" + long, False), ("so", False), ("", False), (None, False)]
+    began = time.monotonic()
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(said)], "k int, text string")
+    got = {r.k: r.b for r in rows.select("k", texts.points_back(F.col("text")).alias("b")).collect()}
+    assert [got[k] for k in range(len(said))] == [b for _, b in said]
+    assert time.monotonic() - began < 30
