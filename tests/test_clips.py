@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,18 @@ def test_a_library_puts_clips_on_pauses(spark, tmp_path):
     moved = lib.table("clips").collect()
     assert plain and all(r.gain == 0 for r in plain.values()) and [(r.last, r.gain > 0) for r in moved] == [(3, True)]
     assert all(r.end_sec == rows[r.last][1] and r.start_sec == rows[r.first][0] for r in moved)
+
+
+def test_a_long_video_is_solved_in_steps_that_grow_with_it(spark):
+    """Every answer needs the question before it: paths through all beats, which were walked anew for each of them."""
+    n, began = 20_000, time.monotonic()
+    said = [(k, 6.0 * k, 6.0 * k + 6, k % 3 == 0) for k in range(n)]
+    beats = [("payoff", k, k + 1, k - 1 if k else None) for k in range(0, n - 1, 2)]
+    video = solver.Video(said, beats)
+    assert [video.setup(b) for b in beats[:3]] == [(0, 0, 1), (1, 1, 2), (3, 1, 3)] and video.setup(beats[-1]) == (n - 3, 1, n // 2)
+    found = video.candidates()
+    assert found[:3] == [(0, 1, 1, 0.0, []), (1, 3, 2, 0.0, []), (1, 11, 6, 0.0, [])] and len(found) > n // 3
+    assert time.monotonic() - began < 20
+    rows = spark.createDataFrame([("v", k, "It ate." if back else "Lamps.", int(s), int(e)) for k, s, e, back in said[:300]], SENTENCES)
+    solved = solver.solve(rows, spark.createDataFrame([("v", *b) for b in beats[:150]], "video_id string, beat_type string, first bigint, last bigint, needs bigint"))
+    assert sorted((r["first"], r["last"]) for r in solved.collect()) == sorted(c[:2] for c in solver.Video(said[:300], beats[:150]).candidates())
