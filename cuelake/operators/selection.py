@@ -175,7 +175,7 @@ def focus_quotes(sentences: DataFrame) -> DataFrame:
 
 
 def pauses(points: DataFrame, words: DataFrame) -> DataFrame:
-    """Points (video_id, at, side, ..), where side is start or end, with ``pause``: the seconds of silence in the speech there; null if nothing is said on the other side.
+    """Points (video_id, at, side, ..), where side is start or end, with ``word``, the onset or offset of the word there, and ``pause``: the seconds of silence in the speech there; null if nothing is said on the other side.
 
     Pauses are whole microseconds. Of a start it is the gap before the first word from then on, of an end the gap behind the last word until then: a
     property of the speech, which doesn't change as a cut moves inside a pause. Words are (video_id, start, end); four as-of joins for all points.
@@ -188,7 +188,7 @@ def pauses(points: DataFrame, words: DataFrame) -> DataFrame:
     after = as_of(offset, "_edge", words, "video_id", "start", "_other", forward=True).withColumn("pause", F.greatest(F.lit(0.0), F.col("_other") - F.col("_word")))
     both = before.unionByName(after)
     known = F.col("_word").isNotNull() & F.col("_other").isNotNull()  # greatest passes over nulls
-    return both.withColumn("pause", F.when(known, F.round("pause", 6))).select(*points.columns, "pause")
+    return both.withColumn("pause", F.when(known, F.round("pause", 6))).select(*points.columns, F.col("_word").alias("word"), "pause")
 
 
 def cleanliness(start_pause: Column, end_pause: Column, timed: Column) -> Column:
@@ -203,6 +203,11 @@ def pause_aligned(clips: DataFrame, sentences: DataFrame, words: DataFrame) -> D
     bounds the cleanest wins if it gains LEAST_GAIN; of equally clean ones the tightest, then that which begins later. A clip whose own
     length is outside the limits has no row. Twelve bounds a clip come from seven points, each of which is looked up once.
     """
+    return _aligned(clips, sentences, words).drop("onset", "offset")
+
+
+def _aligned(clips: DataFrame, sentences: DataFrame, words: DataFrame) -> DataFrame:
+    """``pause_aligned`` with the words at both bounds: ``onset`` of the first from the start on, ``offset`` of the last until the end."""
     own = clips.select("video_id", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last")).distinct()
     timed = words.select("video_id").distinct().withColumn("_timed", F.lit(True))
     at = sentences.select("video_id", F.col("sentence_idx").cast("bigint").alias("idx"), F.col("start_sec").cast("double").alias("_s"), F.col("end_sec").cast("double").alias("_e"))
@@ -212,18 +217,18 @@ def pause_aligned(clips: DataFrame, sentences: DataFrame, words: DataFrame) -> D
     # clips share points: each sentence's start and end are looked up once
     points = pauses(named.select("video_id", "idx", "at", "side").distinct(), words)
     found = named.join(points, ["video_id", "idx", "at", "side"])
-    mine = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("idx", "at", "pause")))
+    mine = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("idx", "at", "pause", "word")))
     each = found.groupBy("video_id", "first", "last").agg(mine("start").alias("a"), mine("end").alias("b")).join(timed, "video_id", "left")
     known = F.coalesce("_timed", F.lit(False))
 
     def bound(x: Column, y: Column) -> Column:
         score, wider = cleanliness(x["pause"], y["pause"], known), (F.col("first") - x["idx"]) + (y["idx"] - F.col("last"))
-        return F.struct(score.alias("score"), (-wider).alias("tight"), x["idx"].alias("x"), y["idx"].alias("y"), (y["at"] - x["at"]).alias("length"))
+        return F.struct(score.alias("score"), (-wider).alias("tight"), x["idx"].alias("x"), y["idx"].alias("y"), (y["at"] - x["at"]).alias("length"), x["word"].alias("onset"), y["word"].alias("offset"))
 
     bounds = F.filter(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: bound(x, y)))), lambda c: c["length"].between(MIN_CLIP, MAX_CLIP))
     listed = each.withColumn("_all", bounds).withColumn("_own", F.get(F.filter("_all", lambda c: c["tight"] == 0), F.lit(0))).filter("_own IS NOT NULL")
     best = F.array_max(F.filter("_all", lambda c: (c["tight"] == 0) | (c["score"] >= F.col("_own.score") + LEAST_GAIN)))
-    return listed.withColumn("_best", best).select("video_id", "first", "last", F.col("_best.x").alias("new_first"), F.col("_best.y").alias("new_last"), F.round(F.col("_best.score") - F.col("_own.score"), 4).alias("gain"), F.col("_best.score").alias("score"))
+    return listed.withColumn("_best", best).select("video_id", "first", "last", F.col("_best.x").alias("new_first"), F.col("_best.y").alias("new_last"), F.round(F.col("_best.score") - F.col("_own.score"), 4).alias("gain"), F.col("_best.score").alias("score"), "_best.onset", "_best.offset")
 
 
 def on_pauses(clips: DataFrame, sentences: DataFrame, words: DataFrame) -> DataFrame:
@@ -260,15 +265,17 @@ def ranked_clips(clips: DataFrame, sentences: DataFrame, words: DataFrame, idf:
     measured here; energy and pitch come from ``measured`` (clip_id, energy_delta, pitch_range_st, pitch_delta_st) by
     the clip's id, video_id:first:last, where there are any. What was not measured has no weight.
     """
-    # what found the clips runs once, not at each look at them
+    # what found the clips and times the words runs once, not at each look at them; videos without clips have no use for their words
     own = scratch.written(clips.select("video_id", "first", "last"), scratch.folder(clips.sparkSession, "clips"))
-    found = pause_aligned(own, sentences, words)
-    moved = found.select("video_id", F.col("new_first").alias("first"), F.col("new_last").alias("last"), "gain", "score").groupBy("video_id", "first", "last").agg(F.max("gain").alias("gain"), F.max("score").alias("score"))
+    words = scratch.written(words.select("video_id", "start", "end").join(own.select("video_id").distinct(), "video_id", "left_semi"), scratch.folder(clips.sparkSession, "words"))
+    found = _aligned(own, sentences, words)
+    moved = found.groupBy("video_id", F.col("new_first").alias("first"), F.col("new_last").alias("last")).agg(*[F.max(c).alias(c) for c in ("gain", "score", "onset", "offset")])
     before = F.lag("sentence_idx").over(W.partitionBy("video_id").orderBy("sentence_idx"))
     # a sentence that points back needs the one before it: only a clip's first can be without
     lines = sentences.select("video_id", F.col("sentence_idx").cast("bigint").alias("first"), "text", "start_sec", (texts.points_back(F.col("text")) & before.isNotNull()).cast("int").alias("_open"))
     until = sentences.select("video_id", F.col("sentence_idx").cast("bigint").alias("last"), "end_sec")
-    placed = snap_to_words(moved.join(lines, ["video_id", "first"]).join(until, ["video_id", "last"]), words)
+    # a bound on words needs the same onsets and offsets as its pause
+    placed = snapped(moved.join(lines, ["video_id", "first"]).join(until, ["video_id", "last"]), "onset", "offset")
     # clips are few and looked at five times: they are written once
     named = placed.select("video_id", "first", "last", "gain", "score", "text", "_open", F.col("new_start").alias("start_sec"), F.col("new_end").alias("end_sec"), F.concat_ws(":", "video_id", "first", "last").alias("clip_id"))
     named = scratch.written(named, scratch.folder(clips.sparkSession, "clips"))

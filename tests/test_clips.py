@@ -159,3 +159,20 @@ def test_a_long_video_is_solved_in_steps_that_grow_with_it(spark):
     rows = spark.createDataFrame([("v", k, "It ate." if back else "Lamps.", int(s), int(e)) for k, s, e, back in said[:300]], SENTENCES)
     solved = solver.solve(rows, spark.createDataFrame([("v", *b) for b in beats[:150]], "video_id string, beat_type string, first bigint, last bigint, needs bigint"))
     assert sorted((r["first"], r["last"]) for r in solved.collect()) == sorted(c[:2] for c in solver.Video(said[:300], beats[:150]).candidates())
+
+
+def test_ranking_clips_reads_the_words_once(spark, tables):
+    """Words that take a pass over all texts to time were timed anew for each look at them, thirteen times."""
+    said, _, s, w = tables
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    clips = spark.createDataFrame([(v, 0, 3) for v in {r[0] for r in said}], "video_id string, first bigint, last bigint")
+    beats = spark.createDataFrame([("v0", "hook", 0, 1)], "video_id string, beat_type string, first bigint, last bigint")
+    idf = spark.createDataFrame([("secret", 8.0)], "term string, idf double")
+    found = selection.ranked_clips(clips, s, w.mapInPandas(counted, w.schema), idf, beats)
+    assert found.count() > 0 and read.value == w.count()
