@@ -106,7 +106,7 @@ def emotional_delta(arc: Column, measured: Column) -> Column:
 
 def rate_delta(words: DataFrame, clips: DataFrame, key: str = "video_id", clip: str = "clip_id") -> DataFrame:
     """(clip, rate_delta): how much the rate of words changes between a clip's halves; no row of fewer than four words."""
-    inside = range_join(words, "start", clips.select(key, clip, "start_sec", "end_sec"), key, "start_sec", "end_sec", CELL)
+    inside = range_join(words, "start", clips.select(key, clip, "start_sec", "end_sec"), key, "start_sec", "end_sec", CELL, mixed=True)
     w = W.partitionBy(clip)
     placed = inside.withColumn("p", F.row_number().over(w.orderBy("start", "end")) - 1).withColumn("n", F.count("*").over(w)).filter("n >= 4").withColumn("h", F.floor(F.col("n") / 2))
     g = placed.groupBy(clip, "n", "h").agg(F.min("start").alias("first"), F.min(F.when(F.col("p") == F.col("h"), F.col("start"))).alias("mid"), F.max(F.when(F.col("p") == F.col("n") - 1, F.col("end"))).alias("last"))

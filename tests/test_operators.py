@@ -178,3 +178,19 @@ def test_whether_a_long_text_points_back_takes_one_look_at_its_words(spark):
     got = {r.k: r.b for r in rows.select("k", texts.points_back(F.col("text")).alias("b")).collect()}
     assert [got[k] for k in range(len(said))] == [b for _, b in said]
     assert time.monotonic() - began < 30
+
+
+def test_spans_of_any_length_meet_their_points_in_few_cells(spark):
+    """A span's cells were as many as its hours, and a small table of long spans was broadcast with all of them."""
+    rng = random.Random(5)
+    spans = [("ab"[k % 2], k, s := rng.choice([0.0, 3600.0, rng.uniform(0, 1e6)]), s + rng.choice([0.0, -1.0, 30.0, 3600.0, 28_800.0, rng.uniform(0, 1e6)])) for k in range(60)] + [("a", 60, None, 5.0)]
+    points = [("abc"[k % 3], k, rng.choice([0.0, 3600.0, rng.uniform(0, 1.5e6)])) for k in range(300)]
+    p, s = spark.createDataFrame(points, "key string, p int, at double"), spark.createDataFrame(spans, "key string, s int, start double, end double")
+    found = intervals.range_join(p, "at", s, "key", "start", "end", 3600.0, mixed=True)
+    want = sorted((i, j) for key, i, t in points for k, j, a, b in spans if key == k and a is not None and a <= t <= b)
+    assert sorted((r.p, r.s) for r in found.collect()) == want and want
+    for x in (found, intervals.range_join(p, "at", s, "key", "start", "end", 3600.0)):
+        assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
+    long = spark.createDataFrame([("a", 0, 0.0, 864_000.0)], "key string, s int, start double, end double")
+    plan = intervals.range_join(p, "at", long, "key", "start", "end", 3600.0, mixed=True)
+    assert plan.count() == sum(k == "a" and t <= 864_000 for k, _, t in points)
