@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cuelake.functions import numbers
 from cuelake.library import Library
 from cuelake.operators import captions, contract, dependencies, metrics, ranking, retrieval, search, selection, studio, tools
 
@@ -260,3 +261,27 @@ def test_tools_run_and_make_blocks_anew(spark, tmp_path):
     for bad in (lambda: lib.run_tool(known, "none", {}, 1.0), lambda: lib.run_tool(known, "notes", {"t": "w " * 15_001}, 1.0), lambda: lib.regenerate(known, "run-x", "title", 1.0)):
         with pytest.raises(tools.ToolError):
             bad()
+
+
+def test_nearest_by_blocks_is_the_best_of_all_pairs(spark, monkeypatch):
+    """Pairs were rows of a join, each with a fold over its vectors; now a task gives each of its queries' best alone."""
+    rng = random.Random(8)
+    whole = [[rng.choice([0.0, 0.5, -0.25, rng.uniform(-1, 1)]) for _ in range(3)] for _ in range(120)]
+    odd = [None, [], [1.0], [0.5, None, 0.25], [float("nan"), 1.0, 0.0], [1e30, 0.0, 0.0], [float("inf"), 0.0, 1.0]]
+    rows = [(k, v) for k, v in enumerate(whole + [whole[0]] * 40 + [[0.5, 0.25, 0.0000005]] * 3 + odd)]
+    rng.shuffle(rows)
+    e = spark.createDataFrame(rows, "k bigint, v array<float>")
+    asked = e.filter("k % 5 = 0 OR k > 160").select(F.col("k").alias("q"), "v")
+    pairs = asked.crossJoin(e.select("k", F.col("v").alias("w"))).select("q", "k", F.round(numbers.dot(F.col("w"), F.col("v")), 6).alias("score"))
+    for most in (4, 200):
+        want = {(r.q, r.k): r["rank"] for r in retrieval.top(pairs, "q", ["k"], most).collect()}
+        for queries, block, tile in ((10_000, 8192, 256), (9, 50, 4)):
+            monkeypatch.setattr(retrieval, "MOST_QUERIES", queries)
+            monkeypatch.setattr(retrieval, "BLOCK", block)
+            monkeypatch.setattr(retrieval, "TILE", tile)
+            monkeypatch.setattr(retrieval, "PAIRS", 64)
+            found = retrieval.nearest(asked, "q", "v", e, "k", "v", most)
+            assert {(r.q, r.k): r["rank"] for r in found.collect()} == want
+    plan = retrieval.nearest(asked, "q", "v", e, "k", "v", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert retrieval.nearest(asked.limit(0), "q", "v", e, "k", "v", 4).count() == 0 == retrieval.nearest(asked, "q", "v", e.limit(0), "k", "v", 4).count()
