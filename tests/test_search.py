@@ -285,3 +285,46 @@ def test_nearest_by_blocks_is_the_best_of_all_pairs(spark, monkeypatch):
     plan = retrieval.nearest(asked, "q", "v", e, "k", "v", 4)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert retrieval.nearest(asked.limit(0), "q", "v", e, "k", "v", 4).count() == 0 == retrieval.nearest(asked, "q", "v", e.limit(0), "k", "v", 4).count()
+
+
+def test_bm25_by_matrices_is_that_by_joins(spark, monkeypatch):
+    """Each occurrence of an asked term was a row that met all its queries, and texts were split three times to count them."""
+    rng = random.Random(4)
+    said = ["river", "Town", "the", "it's", "lamp", "bridge", "äther", "42"]
+    rows = [(k, f"n{k % 5}" if k % 9 else None, " ".join(rng.choices(said, k=rng.randint(0, 12)))) for k in range(300)] + [(1000, "none", None), (1001, "empty", "")]
+    chunks = spark.createDataFrame(rows, "k bigint, name string, text string").cache()
+    asked = spark.createDataFrame([(0, "The river, the town"), (1, "lamp lamp unknown"), (2, "nothing"), (3, None), (4, "42 it's")], "q int, t string")
+    split = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            split.add(len(pdf))
+            yield pdf
+
+    def scores(c, by=retrieval.bm25_by_counts):
+        return {(r.q, r.k, r.name): round(r.score, 9) for r in by(c, ["k", "name"], "text", asked, "q", "t").collect()}
+
+    got = scores(chunks.mapInPandas(counted, chunks.schema))
+    assert split.value == 3 * len(rows)  # the keys, the statistics and the scores
+    twice = chunks.unionByName(chunks.filter("k < 40"))
+    assert got == scores(chunks, retrieval.bm25) and len(got) > 500 and scores(twice) == scores(twice, retrieval.bm25) != got
+    monkeypatch.setattr(retrieval, "MOST_CELLS", 10)
+    assert got == scores(chunks)
+    monkeypatch.undo()
+    assert scores(chunks.limit(0)) == {} == scores(chunks.filter("text IS NULL"))
+
+
+def test_ranks_and_dense_scores_of_odd_rows(spark, monkeypatch):
+    """Rows without a score came before all others, and a NaN after them."""
+    rows = [(0, "a", 0.5), (0, "b", None), (0, "c", float("nan")), (0, "d", 0.5), (0, None, 0.5), (0, "e", -1.0), (1, "a", 2.0), (1, "b", None)] + [(0, f"x{k}", 0.25 * (k % 9)) for k in range(200)]
+    scored = spark.createDataFrame(rows, "q int, k string, score double")
+    want = {(r.q, r.k): r["rank"] for r in retrieval.top(scored, "q", ["k"], 1000).collect()}
+    known = scored.filter("k IS NULL OR k IN ('a', 'b', 'c', 'e', 'x7', 'x8', 'x16')").select("q", "k").union(spark.createDataFrame([(0, "gone"), (7, "a")], "q int, k string"))
+    got = {(r.q, r.k): r["rank"] for r in retrieval.ranks_of(known, scored, "q", ["k"], 12).collect()}
+    assert got == {x: r for x, r in want.items() if x[1] in ("a", "b", "c", "e", "x7", "x8", "x16")}
+    assert retrieval.ranks_of(known.limit(0), scored, "q", ["k"], 12).count() == 0
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [3.0]), (4, []), (5, [0.1, 0.2])], "k bigint, v array<float>")
+    asked = vectors.select(F.col("k").cast("string").alias("q"), F.col("v").alias("w"))
+    plain = {(r.q, r.k): r.s for r in asked.crossJoin(vectors).select("q", "k", numbers.dot(F.col("v"), F.col("w")).alias("s")).collect()}
+    monkeypatch.setattr(retrieval, "PAIRS", 12)
+    assert {(r.q, r.k): r.score for r in retrieval.dense(asked, "q", "w", vectors, "k", "v").collect()} == plain
